@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality_rules
+from .warc import op4_warc
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
