@@ -103,3 +103,42 @@ def class_sums(texts: list[bytes], *tables: np.ndarray) -> list[np.ndarray]:
 CHAR_START = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.uint8)
 #: One entry per byte: 1 for the white space that separates words.
 SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)], np.uint8)
+
+#: Ids that are broadcast at most: 16 MB.
+FEW_IDS = 1_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with the staged table ``ids`` (distinct in ``key``): by broadcast up to FEW_IDS rows, else by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key)
+
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
+    x = x + _MIX[2]
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and where each text begins (one entry more than texts)."""
+    from xxhash import xxh3_64_intdigest
+
+    split = [t.lower().split() for t in texts] if lower else [t.split() for t in texts]  # bytes.lower() knows A-Z only
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+    hashes = np.fromiter((xxh3_64_intdigest(w) for words in split for w in words), np.uint64, int(starts[-1]))
+    return hashes, starts
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` consecutive entries of ``words``; len(words) - size + 1 of them."""
+    n = max(len(words) - size + 1, 0)
+    with np.errstate(over="ignore"):
+        out = np.zeros(n, np.uint64)
+        for i in range(size):
+            out = mixed(out ^ words[i : i + n]) if n else out
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .jaccard import op7_ngram_jaccard
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality_rules
 from .warc import op4_warc
@@ -10,6 +11,7 @@ from .warc import op4_warc
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
