@@ -8,12 +8,14 @@ from .licenses import op2_license_scan
 from .lines import OP8_SQL, op8_line_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality_rules
+from .substrings import op5_substring_dedup
 from .warc import op4_warc
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
