@@ -6,12 +6,14 @@ from .bpe import op9_bpe
 from .jaccard import op7_ngram_jaccard
 from .licenses import op2_license_scan
 from .lines import OP8_SQL, op8_line_dedup
+from .mixture import op1_context_mixing
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality_rules
 from .substrings import op5_substring_dedup
 from .warc import op4_warc
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
