@@ -83,11 +83,11 @@ def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def without_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with ``_lines``, ``_recurring`` (places of lines) and ``_kept`` (the text left)."""
-    found = staged(recurring_lines(docs, least_docs), "recurring-lines").withColumnsRenamed({"doc_id": "_d", "text_id": "_t"})
+    found = staged(recurring_lines(docs, least_docs), "recurring-lines").withColumnsRenamed({"doc_id": "_d", "text_id": "_t", "lines": "_l"})
     keyed = docs.withColumn("_id", F.xxhash64("text"))
     met = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_d"]) & (keyed["_id"] == found["_t"]), "left")
     numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    met = met.withColumn("_lines", numbered).withColumn("_recurring", F.coalesce("lines", F.array().cast("array<int>")))
+    met = met.withColumn("_lines", numbered).withColumn("_recurring", F.coalesce("_l", F.array().cast("array<int>")))
 
     def words(lines: Column) -> Column:
         return F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(_tokens(x["line"])))
@@ -96,7 +96,7 @@ def without_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFram
     half = words(left) * 2 >= words(F.col("_lines"))
     kept = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
     text = F.when(F.size("_recurring") == 0, F.col("text")).when(half, kept).otherwise(F.col("text"))
-    return met.withColumn("_kept", text).drop("_id", "_d", "_t", "lines")
+    return met.withColumn("_kept", text).drop("_id", "_d", "_t", "_l")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

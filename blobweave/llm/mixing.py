@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import FEW_IDS, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -60,55 +60,48 @@ def water_fill(sources: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_
 
 
 def repetitions(docs: DataFrame, *, seed: int = SEED, **fill) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, size): source_size, target and ``copies``.
+    """``docs`` (doc_id, source, size and any others) with _source_size, _target and _copies, a row per row.
 
     Within a source the documents stand in the order of a seeded hash.  All get
     the whole epochs; those whose middle comes before the fraction is used up get
     one more.  So the words taken differ from the target by at most half of the
     document at which the fraction ends.
     """
-    rows = docs.select("doc_id", "source", "size", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"))
-    rows = staged(rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)), "mix")
-    buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
-    by_source = buckets.groupBy("source").agg(F.sum("_in").alias("source_size"))
-    filled = water_fill(by_source, **fill)
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    filled = filled.withColumn("_whole", F.coalesce(F.when(F.col("source_size") > 0, whole), F.lit(0)).cast("long"))
-    filled = filled.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rows = docs.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    buckets = staged(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_in")), "mix-buckets")
+    filled = water_fill(buckets.groupBy("source").agg(F.sum("_in").alias("source_size")), **fill)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    filled = filled.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    filled = filled.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest")
     upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     table = buckets.withColumn("_from", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
-    table = table.join(filled, table["source"].eqNullSafe(filled["source"])).drop(filled["source"])
-    table = staged(table.withColumn("_cut", (F.col("_from") < F.col("_rest")) & (F.col("_from") + F.col("_in") >= F.col("_rest"))), "mix-buckets")
-    key = ["source", "_bucket"]
-    # at most 16 ** BUCKET_DIGITS rows a source; Spark broadcasts the table or deals both sides by bucket, which splits every source
-    table = table.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
-    placed = rows.join(table, rows["source"].eqNullSafe(table["_s"]) & (rows["_bucket"] == table["_b"])).drop("_s", "_b")
-    plain = placed.where("NOT _cut").withColumn("copies", F.col("_whole") + F.when(F.col("_from") < F.col("_rest"), 1).otherwise(0))
-    inside = W.partitionBy(*key).orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    table = table.join(filled, table["source"].eqNullSafe(filled["_s"])).drop("_s")
+    table = table.withColumn("_cut", (F.col("_from") < F.col("_rest")) & (F.col("_from") + F.col("_in") >= F.col("_rest")))
+    table = staged(table.withColumnsRenamed({"source": "_s", "_bucket": "_b"}).drop("_in"), "mix-table")
+    # a source is up to 16 ** BUCKET_DIGITS keys, so it is split if the table is too large to broadcast
+    near = F.broadcast(table) if table.count() <= FEW_IDS else table
+    placed = rows.join(near, rows["source"].eqNullSafe(near["_s"]) & (rows["_bucket"] == near["_b"])).drop("_s", "_b")
+    plain = placed.where("NOT _cut").withColumn("_copies", F.col("_whole") + F.when(F.col("_from") < F.col("_rest"), 1).otherwise(0))
+    inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *[c for c in docs.columns if c not in ("doc_id", "source", "size")]).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_from") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    cut = placed.where("_cut").withColumn("copies", F.col("_whole") + F.when(start + F.col("size") / 2.0 <= F.col("_rest"), 1).otherwise(0))
-    return plain.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", "copies")
+    cut = placed.where("_cut").withColumn("_copies", F.col("_whole") + F.when(start + F.col("size") / 2.0 <= F.col("_rest"), 1).otherwise(0))
+    return plain.unionByName(cut).select(*docs.columns, "_source_size", "_target", "_copies")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = repetitions(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) repeated as the mix takes them, whole."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = repetitions(slim).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"), F.max("copies").alias("_most"))
-    copies = copies.withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    met = sized.join(copies, sized["doc_id"].eqNullSafe(copies["_d"]) & sized["source"].eqNullSafe(copies["_s"]) & (sized["_size"] == copies["_z"]))
-    # rows that repeat doc_id, source and size share their copies: each the floor, and by their order one more
-    repeated = W.partitionBy("_d", "_s", "_z").orderBy(*[c for c in docs.columns])
-    one = met.where("_rows = 1").withColumn("_n", F.col("_sum"))
-    many = met.where("_rows > 1").withColumn("_n", F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.row_number().over(repeated) <= F.col("_sum") % F.col("_rows"), 1).otherwise(0))
-    dealt = one.unionByName(many).where("_n > 0")
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # other columns may have any name
+    inner = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(n) for c, n in names.items()])
+    dealt = repetitions(inner).where("_copies > 0")
+    dealt = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return dealt.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 _FILL_SQL = """

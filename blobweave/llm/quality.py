@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, seed:
     return forest
 
 
-def judge(docs: DataFrame, forest: Forest | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with the statistics, ``anomaly`` (mean path length), ``base_failed`` and ``kept``."""
+def judge(docs: DataFrame, forest: Forest | None, keep: list[str], *, text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` with the statistics of ``text``, ``anomaly`` (mean path length), ``base_failed`` and ``kept``."""
     added = T.StructType([T.StructField(c, T.LongType()) for c in STATS] + [T.StructField("anomaly", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
     names = {f.name for f in added}
     schema = T.StructType([docs.schema[c] for c in keep if c not in names] + list(added))
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, forest: Forest | None, keep: list[str]) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):  # bounds the memory that a batch of long texts takes
                 batch = whole.slice(start, 500)
-                s = batch_statistics(texts_of(batch["text"]))
+                s = batch_statistics(texts_of(batch[text]))
                 paths = forest.path_lengths(features(s)) if forest else np.full(batch.num_rows, np.inf)
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED_PERCENT * s["n_words"])
                 kept = ~failed & (paths >= forest.cut if forest else True)
@@ -216,7 +216,7 @@ def judge(docs: DataFrame, forest: Forest | None, keep: list[str]) -> DataFrame:
                 out += [pa.array(paths, pa.float64(), mask=~np.isfinite(paths)), pa.array(failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(out, [f.name for f in schema])
 
-    return docs.select(*dict.fromkeys([*kept_columns, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept_columns, text])).mapInArrow(run, schema)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -227,4 +227,7 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judge(docs.withColumn("_row", F.struct(*docs.columns)), fit(docs, labels), ["_row"]).where("kept").select("_row.*")
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # other columns may have any name
+    inner = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    kept = judge(inner, fit(docs, labels), list(names.values()), text=names["text"]).where("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
