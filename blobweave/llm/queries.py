@@ -10,6 +10,7 @@ from .mixture import op1_context_mixing
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality_rules
 from .substrings import op5_substring_dedup
+from .vectors import op6_near_vectors
 from .warc import op4_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_near_vectors": op6_near_vectors,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
