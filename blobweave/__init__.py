@@ -1,0 +1 @@
+"""Region analysis of binarised images on Spark, and corpus operators in ``llm``."""
