@@ -12,7 +12,8 @@ of every two sets.  Only blocks of it are computed that can hold a link:
   bucket, so it makes no block.  Sets with so few filled buckets that the argument
   fails share one key per level, which keeps the join exact.
 * The smallest set of a key leads its block: each other set becomes a row of the
-  leader's block.  In a block the product with the leader comes first; then that
+  leader's block.  Blocks that share sets are merged while they are small, so that
+  most sets are sent once.  In a block the product with the leader comes first; then that
   of all rows with those rows that do not link with the leader, as any two that do
   are connected already.  Large blocks are split; rows that do not link with the
   leader then visit the other parts too.
@@ -43,6 +44,8 @@ N, LEAST_PERCENT = 4, 85
 #: Rows of a block that are multiplied in one task.
 BLOCK_ROWS = 400
 DOCS_AT_ONCE = 400
+#: Bytes of a key that are sent beside its slice; keys that agree in these by chance only cost a product.
+KEY_BYTES = 5
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +153,8 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Distinct (leader, class): the classes of each block but its leader.
 
     Keys travel packed: a task's (key, class) pairs go out as one binary row per
-    slice of the key range, sorted and without repeats.
+    slice of the key range, sorted and without repeats, a key as its low bytes and
+    a class as its place among the row's classes.
     """
     slices = 8 * partitions(docs.sparkSession)
 
@@ -160,11 +164,18 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(held).view("u8,u8").ravel()) if held else np.zeros(0, "u8,u8")
             held.clear()
-            where = (pairs["f0"] >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-            cuts = np.flatnonzero(np.diff(where)) + 1
-            found = [x for x in np.split(pairs, cuts) if len(x)]
-            at = [int(w[0]) for w in np.split(where, cuts) if len(w)]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["slice", "pairs"])
+            key = pairs["f0"]
+            classes, index = np.unique(pairs["f1"], return_inverse=True)
+            where = (key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(key)]
+            rows = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    own, local = np.unique(index[i:j], return_inverse=True)
+                    low = key[i:j].copy().view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                    rows.append((int(where[i]), low.tobytes(), local.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), classes[own].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["slice", "keys", "index", "classes"])
 
         total = 0
         for whole in batches:
@@ -182,8 +193,16 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         # all pairs of a key are in one slice; rows come sorted by slice
         slice_now, held = -1, []
 
+        def unpacked(keys: bytes, index: bytes, classes: bytes) -> np.ndarray:
+            low = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+            local = np.frombuffer(index, "<u2" if len(index) == 2 * len(low) else "<u4")
+            pairs = np.zeros((len(low), 2), np.uint64)
+            pairs.view(np.uint8).reshape(len(low), 16)[:, :KEY_BYTES] = low
+            pairs[:, 1] = np.frombuffer(classes, np.uint64)[local]
+            return pairs.view("u8,u8").ravel()
+
         def out() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([np.frombuffer(x, "u8,u8") for x in held])) if held else np.zeros(0, "u8,u8")
+            pairs = np.unique(np.concatenate([unpacked(*x) for x in held])) if held else np.zeros(0, "u8,u8")
             held.clear()
             key, member = pairs["f0"], pairs["f1"]
             first = np.ones(len(key), bool)
@@ -193,14 +212,14 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([_signed(links[:, 0].copy()), _signed(links[:, 1].copy())], ["leader", "class"])
 
         for batch in batches:
-            for at, pairs in zip(batch["slice"].to_pylist(), batch["pairs"], strict=True):
+            for at, *packed in zip(batch["slice"].to_pylist(), batch["keys"].to_pylist(), batch["index"].to_pylist(), batch["classes"].to_pylist(), strict=True):
                 if at != slice_now:
                     yield out()
                     slice_now = at
-                held.append(pairs.as_py())
+                held.append(packed)
         yield out()
 
-    packed = docs.select("text").mapInArrow(pack, "slice int, pairs binary")
+    packed = docs.select("text").mapInArrow(pack, "slice int, keys binary, index binary, classes binary")
     dealt = packed.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
     return dealt.mapInArrow(lead, "leader long, class long").distinct()
 
@@ -279,7 +298,22 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     found = staged(block_rows(docs, n, percent), "block-rows")
     reps = table.where("rep IS NOT NULL").select("class", "rep")
-    wanted = staged(found.select("class").unionByName(found.select(F.col("leader").alias("class"))).distinct().join(reps, "class"), "wanted")
+
+    # blocks that share classes are one, with each class once, unless that gets too large
+    merged = staged(components(found.select(F.col("class").alias("u"), F.col("leader").alias("v"))), "merged")
+    counts = staged(merged.groupBy("component").agg(F.count("*").alias("_n")), "merged-sizes")
+    few = counts.where(F.col("_n") < BLOCK_ROWS).select("component")
+    small = merged.join(few, "component").select(F.col("component").alias("leader"), F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), F.col("node").alias("class"))
+    small_heads = few.select(F.col("component").alias("leader"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("role"), F.col("component").alias("class"))
+    large = counts.where(F.col("_n") >= BLOCK_ROWS).select("component")
+    members = large.select(F.col("component").alias("class")).unionByName(merged.join(large, "component").select(F.col("node").alias("class")))
+    found = staged(found.join(staged(members, "large-members"), "class"), "large-rows")
+
+    sizes = staged(found.groupBy("leader").agg(F.count("*").alias("_n")).withColumn("parts", F.ceil(F.col("_n") / BLOCK_ROWS)), "block-sizes")
+    dealt = look_up(found, sizes, "leader", "_n").withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
+    own = dealt.select("leader", "part", F.lit(1).alias("role"), "class")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("class"))
+    placed = staged(small.unionByName(small_heads).unionByName(own).unionByName(heads), "placed")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -287,35 +321,30 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
                 hashes, starts = shingle_sets(texts_of(batch["text"]), n)
                 got = [hashes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 right = pa.array(set_ids(hashes, starts).view(np.int64) == np.array(batch["class"]))
-                yield pa.RecordBatch.from_arrays([batch["class"], batch["doc_id"], pa.array(got, pa.binary())], ["class", "node", "grams"]).filter(right)
-
-    by_id = wanted.select(F.col("rep").alias("doc_id"), "class")
-    texts = only(docs.select("doc_id", "text"), by_id, "doc_id").select("doc_id", "class", "text")
-    sets = staged(texts.mapInArrow(grams, "class long, node long, grams binary").dropDuplicates(["class"]), "sets")
-
-    sizes = staged(found.groupBy("leader").agg(F.count("*").alias("_n")).withColumn("parts", F.ceil(F.col("_n") / BLOCK_ROWS)), "block-sizes")
-    dealt = look_up(found, sizes, "leader", "_n").withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
-    own = dealt.select("leader", "part", F.lit(1).alias("role"), "class")
-    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("class"))
-    placed = staged(own.unionByName(heads), "placed")
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["places"], pa.array(got, pa.binary())], ["node", "places", "grams"]).filter(right)
 
     def multiplied(rows: DataFrame) -> DataFrame:
-        met = rows.join(sets, "class").select("leader", "part", "role", "node", "grams")
+        """The product of the blocks in ``rows``; texts go from the scan to their places, without a join of sets."""
+        places = rows.groupBy("class").agg(F.collect_list(F.struct("leader", "part", "role")).alias("places"))
+        wanted = staged(places.join(reps, "class").select(F.col("rep").alias("doc_id"), "class", "places"), "places")
+        texts = only(docs.select("doc_id", "text"), wanted, "doc_id").select("doc_id", "class", "places", "text")
+        sets = texts.mapInArrow(grams, f"node long, places {wanted.schema['places'].dataType.simpleString()}, grams binary")
+        met = sets.select("node", "grams", F.explode("places").alias("p")).select("p.leader", "p.part", "p.role", "node", "grams")
         blocks = met.repartition(partitions(spark), "leader", "part").sortWithinPartitions("leader", "part", "role", "node")
         return blocks.mapInArrow(_multiply(percent), "u long, v long, apart boolean, part long")
 
     first = staged(multiplied(placed), "links")
     edges = first.where("NOT apart").select("u", "v")
     # rows that don't link with the leader of a block of several parts visit the other parts
-    alone = first.where("apart").select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("part").alias("own"))
+    alone = first.where("apart").select(F.col("u").alias("leader"), F.col("v").alias("rep"), F.col("part").alias("own"))
     many = sizes.where("parts > 1").select("leader", "parts")
-    visits = alone.join(many, "leader").join(sets.select("node", "class"), "node")
+    visits = alone.join(many, "leader").join(reps, "rep")
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> own")
     visits = staged(visits.select("leader", "part", F.lit(2).alias("role"), "class"), "visits")
     if visits.isEmpty():
         return edges
     hosts = placed.where("role = 1").join(visits.select("leader", "part").distinct(), ["leader", "part"])
-    second = multiplied(hosts.unionByName(visits, allowMissingColumns=True).select("leader", "part", "role", "class"))
+    second = multiplied(hosts.select("leader", "part", "role", "class").unionByName(visits))
     return edges.unionByName(second.where("NOT apart").select("u", "v"))
 
 
