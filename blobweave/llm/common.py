@@ -89,13 +89,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def class_sums(texts: list[bytes], *tables: np.ndarray) -> list[np.ndarray]:
     """For each text the sum of ``table[byte]`` over its bytes, for each 256-entry table."""
-    data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = np.concatenate([[0], ends[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    if not len(data):
+        return [np.zeros(len(texts), np.int64) for _ in tables]
+    full = np.flatnonzero(ends > starts)  # the sum over an empty range would be that of one byte
     out = []
     for table in tables:
-        sums = np.add.reduceat(table[data], starts, dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
-        out.append(np.where(ends > starts, sums, 0))  # reduceat gives an empty text the byte after it
+        sums = np.zeros(len(texts), np.int64)
+        sums[full] = np.add.reduceat(table[data], starts[full], dtype=np.int64)
+        out.append(sums)
     return out
 
 
