@@ -35,7 +35,8 @@ def score(value: Column, v_min: Column, v_max: Column, direction: Column) -> Col
 
 def long_form(features: DataFrame, names: list[str]) -> DataFrame:
     """(key, feature, value) for the features ``names``."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("p")
+    made = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    pairs = F.explode(made.cast("array<struct<feature:string,value:double>>")).alias("p")
     return features.select(*KEY, pairs).select(*KEY, "p.feature", "p.value")
 
 
