@@ -270,10 +270,11 @@ def test_context_mixing(spark):
 
 def test_model_is_a_distribution():
     """The probabilities of all one-letter continuations of the code sum to one: each bit's two sides do."""
-    length, nodes, bits = mixture.prefix_code(np.arange(256))
-    assert sum(2.0**-n for n in length) == pytest.approx(1)
-    codes = {tuple(bits[b, : length[b]]) for b in range(256)}
+    paths = mixture.prefix_code(np.arange(256))
+    assert sum(2.0 ** -len(p) for p in paths) == pytest.approx(1)
+    codes = {tuple(bit for _, bit in p) for p in paths}
     assert len(codes) == 256 and not any(c[:k] in codes for c in codes for k in range(1, len(c)))
+    length, nodes, bits = mixture.code_table(np.random.default_rng(1).integers(0, 50, 1 << 16))
     rng = np.random.default_rng(0)
     model = mixture.Model(length, nodes, bits, np.zeros((1 << 16, mixture.KINDS), np.int16), np.full((mixture.PREDICTORS, mixture.CONFIDENCES), 0.3, np.float32), rng.integers(0, 256, 1 << mixture.TABLE_BITS).astype(np.uint8))
     texts = [b"ab" + bytes([b]) for b in range(256) if b not in (0x20,)] + [b"ab "]
