@@ -69,13 +69,14 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def set_ids(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit id of each set, 0 for empty ones."""
-    with np.errstate(over="ignore"):
-        sizes = np.diff(starts)
-        padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
-        at = np.minimum(starts[:-1], len(hashes))
-        sums = np.add.reduceat(mixed(padded), at) if len(at) else np.zeros(0, np.uint64)
-        ids = mixed(sums ^ mixed(sizes.astype(np.uint64)))
-        return np.where(sizes > 0, ids, np.uint64(0))
+    sizes = np.diff(starts)
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mixed(hashes), starts[full])
+            out[full] = mixed(sums ^ mixed(sizes[full].astype(np.uint64)))
+    return out
 
 
 def levels(most: int, percent: int) -> np.ndarray:
