@@ -53,7 +53,7 @@ def corpus(seed: int, n: int, size: int = 60, edit: float = 0.04) -> list[str]:
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1020)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     want = roots({x for e in edges for x in e}, edges)
     assert got == {n: c for n, c in want.items() if n != c}
@@ -72,7 +72,7 @@ def jaccard_truth(rows, n, percent):
 @pytest.mark.parametrize(("block", "n", "percent"), [(400, 4, 85), (3, 5, 80)])
 def test_jaccard_join(spark, monkeypatch, block, n, percent):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)  # 3: most blocks have several parts
-    texts = corpus(4, 150) + [None, "", "one", "ONE", "two three", " Two  Three ", "a b c d", "a b c d e"]
+    texts = corpus(4, 150, edit=0.008) + [None, "", "one", "ONE", "two three", " Two  Three ", "a b c d", "a b c d e"]
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
     sizes, comps = jaccard_truth(rows, n, percent)
@@ -82,6 +82,16 @@ def test_jaccard_join(spark, monkeypatch, block, n, percent):
     assert len(set(comps.values())) < len(comps) - 20
 
 
+def test_set_ids_do_not_depend_on_place():
+    texts = [b"a b c d e", b"", b"x", b"a b c d e", b"", b"x"]
+    for order in itertools.permutations(range(6)):
+        ids = jaccard.set_ids(*jaccard.shingle_sets([texts[i] for i in order], 4))
+        by = {texts[i]: set() for i in order}
+        for i, x in zip(order, ids.tolist(), strict=True):
+            by[texts[i]].add(x)
+        assert by[b""] == {0} and all(len(v) == 1 for v in by.values())
+
+
 def test_block_keys_reach_every_link():
     rng = np.random.default_rng(0)
     for size in [1, 2, 3, 5, 8, 13, 30, 77, 200]:
@@ -232,8 +242,8 @@ def test_lines(spark):
     assert got[0]["text"] == texts[0] and got[20]["text"] is None and got[22]["text"] == rows[8][1]
     assert lines.without_recurring(docs).where("doc_id = 1").first()["_recurring"] is not None
     assert lines.drop_recurring(docs.limit(0)).count() == 0
-    body = " ".join(f"word{chr(97 + i)}" for i in range(26))
-    long = spark.createDataFrame([(i, f"{body} {chr(97 + i)}\nCookie notice id {i} please accept now\nlast words of {chr(97 + i)} are these ones") for i in range(5)], "doc_id long, text string")
+    own = [" ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(26)) for i in range(5)]
+    long = spark.createDataFrame([(i, f"{own[i]}\nCookie notice id {i} please accept now\n{own[i][::-1]}") for i in range(5)], "doc_id long, text string")
     left = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_recurring(long).collect()}
     assert len(left[0]) == 3 and all(len(left[i]) == 2 and "Cookie" not in left[i][1] for i in range(1, 5))
 
