@@ -30,30 +30,31 @@ from .common import look_up, only, staged
 DEPTH, MIN_WORDS, LEAST_DOCS = 3, 5, 3
 CONSTANT_PERCENT = 80
 WILD = "<*>"
-_BREAK = r"[\x20\x09-\x0D]+"
+#: White space within a line, where it is not single spaces.
+_LOOSE = r"[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$|\n\x20|\x20\n"
+#: A word with a digit: from a word's start, what is no digit, then the rest.
+_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _BREAK), lambda t: t != "")
+def _normal(text: Column) -> Column:
+    """``text`` with single spaces between the words of a line and variable words as wild cards."""
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _VARIABLE, WILD)).otherwise(text)
+    single = F.regexp_replace(F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " "), r"(?dm)^\x20|\x20$", "")
+    return F.when(text.rlike(_LOOSE), single).otherwise(masked)
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """A row per line of at least MIN_WORDS words: doc_id, text_id, line (from 0), masked (normal), words, leaf, own."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("line", "masked"))
+    words = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
+    counted = lines.withColumn("words", words).where(F.col("words") >= MIN_WORDS)
+    return counted.withColumn("leaf", F.xxhash64("words", F.substring_index("masked", " ", DEPTH))).withColumn("own", F.xxhash64("masked"))
 
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row per line of at least MIN_WORDS words: doc_id, text_id, line (from 0), words, masked, leaf, own."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    words = lines.select("doc_id", "text_id", "line", _tokens(F.col("value")).alias("tokens")).where(F.size("tokens") >= MIN_WORDS)
-    masked = words.select("doc_id", "text_id", "line", F.size("tokens").alias("words"), _masked(F.col("tokens")).alias("masked"))
-    leaf = F.xxhash64("words", F.slice("masked", 1, DEPTH))
-    return masked.select("*", leaf.alias("leaf"), F.xxhash64("masked").alias("own"))
-
-
-def leaf_templates(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """leaf and constants (a map from place to word) of those ``leaves`` whose template is at least half words."""
-    met = only(parsed_lines(docs).select("leaf", "words", "masked"), leaves, "leaf")
-    places = met.select("leaf", "words", F.posexplode("masked").alias("place", "word")).groupBy("leaf", "words", "place", "word").agg(F.count("*").alias("n"))
+def leaf_templates(kinds: DataFrame) -> DataFrame:
+    """leaf and constants (a map from place to word) of the leaves in ``kinds`` whose template is at least half words."""
+    met = kinds.select("leaf", "words", "n", F.posexplode(F.split("masked", " ")).alias("place", "word"))
+    places = met.groupBy("leaf", "words", "place", "word").agg(F.sum("n").alias("n"))
     best = places.groupBy("leaf", "words", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "word")).alias("top"))
     constant = best.where((F.col("top.n") * 100 >= F.col("all") * CONSTANT_PERCENT) & (F.col("top.word") != WILD))
     by_leaf = constant.groupBy("leaf", "words").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("top.word")))).alias("constants"))
@@ -61,49 +62,49 @@ def leaf_templates(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, text_id, lines (an array) and words of the recurring lines that other documents hold first."""
+    """doc_id, text_id and lines (line, words) of the recurring lines that other documents hold first."""
     slim = staged(parsed_lines(docs).drop("masked"), "lines")
     texts = F.count_distinct("text_id").alias("texts")
-    leaves = slim.groupBy("leaf").agg(texts, F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("_n"))
+    leaves = slim.groupBy("leaf").agg(texts, F.min("own").alias("a"), F.max("own").alias("b"))
     open_leaves = staged(leaves.where((F.col("texts") >= least_docs) & (F.col("a") != F.col("b"))).select("leaf"), "leaves")
-    templates = staged(leaf_templates(docs, open_leaves), "leaf-templates")
-    # the lines that fit, by their own template: distinct ones suffice
-    kinds = only(parsed_lines(docs).select("leaf", "own", "masked"), templates, "leaf")
-    fits = F.forall(F.map_entries("constants"), lambda e: F.element_at("masked", e["key"] + 1) == e["value"])
-    fitting = staged(kinds.where(fits).select("own", "leaf").distinct().withColumn("_fits", F.lit(True)), "fitting")
+    # the distinct lines of those leaves, with their number
+    met = only(parsed_lines(docs).select("leaf", "own", "words", "masked"), open_leaves, "leaf")
+    kinds = staged(met.groupBy("leaf", "own", "words").agg(F.first("masked").alias("masked"), F.count("*").alias("n")), "kinds")
+    templates = staged(leaf_templates(kinds), "leaf-templates")
+    fits = F.forall(F.map_entries("constants"), lambda e: F.element_at(F.col("_at"), e["key"] + 1) == e["value"])
+    fitting = kinds.join(templates, "leaf").withColumn("_at", F.split("masked", " ")).where(fits).select("own", "leaf").withColumn("_fits", F.lit(True))
     sizes = slim.groupBy("own", "leaf").agg(F.count("*").alias("_n"))
-    named = staged(sizes.join(fitting, ["own", "leaf"], "left").select("own", "_n", F.when(F.col("_fits"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64(F.lit("own"), "own")).alias("template")), "named")
-    lines = staged(look_up(slim.select("doc_id", "text_id", "line", "words", "own"), named.dropDuplicates(["own"]), "own", "_n").drop("own"), "templated")
+    template = F.when(F.col("_fits"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.xxhash64(F.lit("own"), "own")).alias("template")
+    named = sizes.join(fitting, ["own", "leaf"], "left").select("own", "_n", "leaf", template)
+    # lines that keep their own template are most; they need no lookup
+    changed = staged(named.where(F.col("template") == F.xxhash64(F.lit("leaf"), "leaf")).select("own", "_n", "template"), "changed")
+    looked = look_up(slim.select("doc_id", "text_id", "line", "words", "own"), changed, "own", "_n")
+    lines = looked.withColumn("template", F.coalesce("template", F.xxhash64(F.lit("own"), "own"))).drop("own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("_first")
     found = staged(lines.groupBy("template").agg(texts, first, F.count("*").alias("_n")).where(F.col("texts") >= least_docs).select("template", "_first", "_n"), "recurring")
     met = look_up(lines, found, "template", "_n").where("_first IS NOT NULL")
     later = met.where(~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
-    return later.groupBy("doc_id", "text_id").agg(F.collect_set("line").alias("lines"))
+    return later.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("line", "words")).alias("lines"))
 
 
 def without_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``docs`` with ``_lines``, ``_recurring`` (places of lines) and ``_kept`` (the text left)."""
+    """``docs`` with ``_recurring`` (places of lines, null if none) and ``_kept`` (the text left)."""
     found = staged(recurring_lines(docs, least_docs), "recurring-lines").withColumnsRenamed({"doc_id": "_d", "text_id": "_t", "lines": "_l"})
     keyed = docs.withColumn("_id", F.xxhash64("text"))
     met = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_d"]) & (keyed["_id"] == found["_t"]), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    met = met.withColumn("_lines", numbered).withColumn("_recurring", F.coalesce("_l", F.array().cast("array<int>")))
-
-    def words(lines: Column) -> Column:
-        return F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(_tokens(x["line"])))
-
-    left = F.filter("_lines", lambda x: ~F.array_contains("_recurring", x["i"]))
-    half = words(left) * 2 >= words(F.col("_lines"))
-    kept = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
-    text = F.when(F.size("_recurring") == 0, F.col("text")).when(half, kept).otherwise(F.col("text"))
+    met = met.withColumn("_recurring", F.transform("_l", lambda x: x["line"]))
+    lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_recurring", i))
+    gone = F.aggregate("_l", F.lit(0), lambda n, x: n + x["words"])
+    half = gone * 2 <= F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    text = F.when(F.col("_l").isNull(), F.col("text")).when(half, F.array_join(lines, "\n")).otherwise(F.col("text"))
     return met.withColumn("_kept", text).drop("_id", "_d", "_t", "_l")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = without_recurring(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
+    n = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     whole = F.col("_kept").eqNullSafe(F.col("text"))
-    recurring = F.size("_recurring").cast("long")
+    recurring = F.coalesce(F.size("_recurring"), F.lit(0)).cast("long")
     return docs.select("doc_id", n.alias("n_lines"), recurring.alias("n_recurring"), F.when(whole, F.lit(0).cast("long")).otherwise(recurring).alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
