@@ -266,18 +266,13 @@ def meet(entries: DataFrame, anchors: bool) -> DataFrame:
     return sent.mapInArrow(run, schema).unionByName(entries.where("slice < 0").mapInArrow(told, schema))
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, items: int, how: str) -> DataFrame:
-    """Join with the staged ``lists`` by doc_id: broadcast if they hold at most FEW_IDS ``items``, else by shuffle."""
-    return docs.join(F.broadcast(lists) if items <= FEW_IDS else lists, "doc_id", how)
-
-
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """doc_id, blocks and windows (arrays of ids): what documents of smaller id hold of each document."""
     blocks = staged(meet(staged(index_blocks(docs), "block-entries"), True), "blocks")
     edges = blocks.where("NOT duplicate").distinct()
     lists = staged(edges.groupBy("doc_id").agg(F.collect_list("id").alias("boundaries")), "boundaries")
     items = lists.agg(F.sum(F.size("boundaries"))).first()[0] or 0
-    edged = with_lists(docs.select("doc_id", "text"), lists, items, "inner")
+    edged = docs.select("doc_id", "text").join(F.broadcast(lists) if items <= FEW_IDS else lists, "doc_id")
     windows = meet(staged(index_windows(edged), "window-entries"), False)
     whole = blocks.where("duplicate").select("doc_id", "id", F.lit(True).alias("is_block"))
     spans = whole.unionByName(windows.select("doc_id", "id", F.lit(False).alias("is_block"))).distinct()
@@ -287,8 +282,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: bool = True) -> DataFrame:
     """``keep`` columns of ``docs`` with n_words, n_removed, kept_sha256 and, if ``text``, ``kept`` and ``spans`` (first and last word)."""
     found = staged(duplicate_spans(docs), "spans")
-    items = found.agg(F.sum(F.size("blocks") + F.size("windows"))).first()[0] or 0
-    met = with_lists(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), found, items, "left")
+    met = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).join(found, "doc_id", "left")
     more = ", kept string, spans array<struct<first:long,last:long>>" if text else ""
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words long, n_removed long, kept_sha256 string" + more
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
