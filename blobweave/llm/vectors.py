@@ -20,8 +20,9 @@ for each vector the number of its links and a spanning forest of them, no pairs.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite
 component links with nothing, nor do vectors of different dimension; rows that
-share a vec_id are one vector; a null vec_id is in the component of its class, null
-if the class has no other.
+share a vec_id and a class are one vector; rows that share a vec_id but not a class
+are vectors with links of their own, in one component; a null vec_id is in the
+component of its class, null if the class has no other.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, mixed, only, partitions, staged
+from .common import look_up, mixed, partitions, staged
 from .graph import Forest, components
 
 LEAST_COSINE = 0.95
@@ -95,29 +96,28 @@ def class_id(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def with_class(batch: pa.RecordBatch) -> tuple[list[np.ndarray | None], pa.Array]:
-    rows = unit_rows(batch["embedding"])
-    return rows, pa.array([None if x is None else class_id(x) for x in rows], pa.int64())
-
-
 def classes_of(vectors: DataFrame) -> DataFrame:
+    """vec_id, class (null if it can link with nothing) and embedding of each row."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], with_class(batch)[1]], ["vec_id", "class"])
+            ids = [None if x is None else class_id(x) for x in unit_rows(batch["embedding"])]
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(ids, pa.int64()), batch["embedding"]], ["vec_id", "class", "embedding"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, class long")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, class long, embedding {kind}")
 
 
 def bucket_rows(reps: DataFrame, p: Plan) -> DataFrame:
-    """(class, key) for each class representative and table."""
+    """(class, key) for each class and table; ``reps`` has a row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = with_class(batch)
-            for dim in {len(x) for x in rows if x is not None}:
-                own = [i for i, x in enumerate(rows) if x is not None and len(x) == dim and ids[i] == batch["class"][i]]
-                keys, _ = p.project(np.array([rows[i] for i in own])) if own else (np.zeros((0, p.tables), np.int64), None)
-                who = np.repeat(np.array([ids[i].as_py() for i in own], np.int64), p.tables)
+            rows, ids = unit_rows(batch["embedding"]), batch["class"].to_pylist()
+            for dim in {len(x) for x in rows}:
+                own = [i for i, x in enumerate(rows) if len(x) == dim]
+                keys, _ = p.project(np.array([rows[i] for i in own]))
+                who = np.repeat(np.array([ids[i] for i in own], np.int64), p.tables)
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys.ravel())], ["class", "key"])
 
     return reps.select("class", "embedding").mapInArrow(run, "class long, key long")
@@ -188,27 +188,38 @@ def tile_links(p: Plan, least_cosine: float):
 def near_vectors(vectors: DataFrame, *, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = staged(classes_of(vectors), "vector-classes")
-    table = staged(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-table")
+    known = classes_of(vectors)
+    rows = staged(known.select("vec_id", "class"), "vector-classes")
+    ids = staged(rows.where("class IS NOT NULL").groupBy("class", "vec_id").agg(F.count("*").alias("n")), "vector-ids")
+    # rows that repeat vec_id and class are one vector; those without a vec_id are one each
+    copies = F.sum(F.when(F.col("vec_id").isNull(), F.col("n")).otherwise(1)).alias("copies")
+    table = staged(ids.groupBy("class").agg(F.min("vec_id").alias("rep"), copies, F.sum("n").alias("_n")), "vector-table")
     p = plan(table.count(), least_cosine)
-    reps = staged(table.where("rep IS NOT NULL").select(F.col("rep").alias("vec_id"), "class", "copies"), "vector-reps")
-    source = vectors.select("vec_id", "embedding")
-    keyed = staged(bucket_rows(only(source, reps.select("vec_id", "class"), "vec_id"), p), "vector-keys")
+    # a vector of each class; all tables and tiles are joined by class, never by vec_id
+    one = known.where("class IS NOT NULL").groupBy("class").agg(F.first("embedding").alias("embedding"))
+    reps = staged(one.join(table.where("rep IS NOT NULL").select("class", "copies"), "class"), "vector-reps")
+    keyed = staged(bucket_rows(reps, p), "vector-keys")
     sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / BUCKET_ROWS)), "bucket-sizes")
     # a row of part a of a bucket visits the tiles (a, j) and (j, a) for each other part j, and (a, a)
     placed = look_up(keyed, sizes, "key", "_n").where("parts IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("class"), "parts"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tiles = placed.select("class", F.struct("key", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own").alias("tile"))
-    by_class = staged(tiles.groupBy("class").agg(F.collect_list("tile").alias("tiles")).join(reps, "class"), "vector-tiles")
-    met = only(source, by_class, "vec_id").select(F.explode("tiles").alias("t"), F.col("vec_id").alias("node"), "copies", "embedding")
+    by_class = tiles.groupBy("class").agg(F.collect_list("tile").alias("tiles"))
+    met = reps.join(by_class, "class").select(F.explode("tiles").alias("t"), F.col("class").alias("node"), "copies", "embedding")
     met = met.select("t.key", "t.low", "t.high", "t.own", "node", "copies", "embedding")
     dealt = met.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
     found = staged(dealt.mapInArrow(tile_links(p, least_cosine), "u long, v long, n long"), "vector-links")
-    counts = staged(found.where("n IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links")), "link-counts")
-    named = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "rep")
-    told = table.join(counts, "rep", "left").join(named, "rep", "left")
-    told = told.select("class", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    done = look_up(rows, staged(told, "vector-components"), "class", "copies")
+    counts = staged(found.where("n IS NOT NULL").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("links")), "link-counts")
+    # classes that share a vec_id are one component
+    several = ids.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("class").alias("v"), F.count("*").alias("_n")).where("_n > 1")
+    shared = look_up(ids, staged(several, "vector-shared"), "vec_id", "_n").where("v <> class").select(F.col("class").alias("u"), "v")
+    named = components(found.where("v IS NOT NULL").select("u", "v").unionByName(shared)).withColumnRenamed("node", "class")
+    linked = table.join(counts, "class", "left").join(named, "class", "left")
+    linked = staged(linked.withColumn("component", F.coalesce("component", "class")), "vector-linked")
+    least = staged(linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_of")), "vector-least")
+    told = look_up(linked, least, "component", "_of")
+    told = told.select("class", "_n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    done = look_up(rows, staged(told, "vector-components"), "class", "_n")
     component = F.coalesce("component_id", "vec_id")
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -179,6 +179,16 @@ def test_near_vectors(spark, monkeypatch, bucket):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_repeated_ids(spark):
+    a, near, b, c = [1.0, 0.0, 0.0], [1.0, 0.001, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    run = lambda rows: sorted(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    # equal vectors: rows of one id are one vector
+    assert run([(1, a), (1, a), (2, near)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    # different vectors: links of their own, one component
+    assert run([(1, a), (1, b), (2, near), (3, b), (4, c)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    assert run([(5, a), (5, b), (2, near), (3, b)]) == [(2, 1, 2, True), (3, 1, 2, False), (5, 1, 2, False), (5, 1, 2, False)]
+
+
 def test_plan_reaches_its_recall():
     rng = np.random.default_rng(3)
     for n in (50, 5_000, 10**6):
