@@ -4,17 +4,24 @@
 It starts as a single state in which every byte may follow every byte.  The
 gadget of merge number m, (a, b) -> ab,
 
-* gives each state that has an ``a`` arc an arc ``ab`` to where ``b`` leads now,
-* splits the state after ``a``: the copy loses its ``b`` arc, as a ``b`` after an
-  ``a`` would have been merged, and every ``a`` arc leads to the copy.
-
-States are not copied.  State (t, m) is the state after token t as gadget m finds
-it: it lost what gadgets before m took from t, and what the state of t's right
-part had lost when t was born.  So a gadget costs one entry.  The finished automaton accepts a sequence of tokens exactly if the
-merges produce it, and for each word one accepted sequence spells it.  Encoding
-searches that sequence: longest token first, a step back where the automaton has
-no arc.  Transitions are looked up in a table that fills on first use.  Decoding
-joins the labels of the arcs.
+* gives each state that has an ``a`` arc an arc ``ab`` to a new state, which copies
+  the arcs that the state after ``b`` has now;
+* takes the ``b`` arc from the state after ``a``, as a ``b`` after an ``a`` would
+  have been merged.  All arcs that later merges derive from ``b`` go with it.
+
+So there is a state after each token and one to start in, and an arc leads to the
+state of its token.  A state's row of the transition table is kept as runs of
+missing arcs: tokens stand in an order in which what one gadget takes is one run.
+The automaton accepts a sequence of tokens exactly if the merges produce it, and
+for each word one accepted sequence spells it.
+
+Encoding.  Texts are split into words; the distinct words of a slice of texts are
+encoded together, byte by byte.  A second table (the goto table of a trie of all
+tokens) tells which tokens end at a byte, the longest first; the one that has an
+arc from the state before it is the last token of that prefix, and there is exactly
+one.  Read backwards from a word's end, these tokens are its encoding.  Decoding
+emits the labels of the arcs.  Work grows with the bytes of distinct words, and
+memory is bounded by the slice.
 
 Defined results: a null text counts as empty and has no tokens; the text of an
 added token is that token, as the tokenizers library has it; repeated rows are
@@ -25,7 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +41,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices_of
+
 #: Fixed values of byte-level BPE files: the pattern that splits a text into words (white space as in Unicode's property).
 _S = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
-#: Words whose encoding a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
-#: Longer words are encoded but not remembered.
-REMEMBERED_CHARS = 64
-#: Entries of the transition table; it is emptied when full.
-TRANSITIONS = 1_000_000
-NEVER = 1 << 60
+#: Bytes of text whose words are encoded together; a longer text is a slice of its own.
+SLICE_BYTES = 1_000_000
+#: Words of more bytes are encoded one at a time.
+STEP_BYTES = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,224 +61,256 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
+    """States are numbered by the token before them; the last is the one to start in."""
+
     def __init__(self, description: str):
         """``description``: the text of a tokenizer file in JSON."""
         told = json.loads(description)
         letters = byte_letters()
         vocabulary = told["model"]["vocab"]
-        self.label = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        label = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        merges = []
+        for pair in told["model"]["merges"]:
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            merges.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+        self.start = max([*label, *self.added.values()]) + 1
+        self.label = [label.get(i, b"") for i in range(self.start)]
         for content, i in self.added.items():
             self.label[i] = content.encode()
-        self.lost: dict[int, dict[int, int]] = {}  # lost[a][b]: the gadget that took arc b from the state after a
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
-        for m, pair in enumerate(told["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self._gadget(m, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        self.ends = {t: [(x, w) for x, w in self._spine(t, 1) if x in self.lost] for t in self.label}
-        self.begins = {t: self._spine(t, 0) for t in self.label}
-        self.table: dict[int, bool] = {}
-        self.next_node: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        self._spell(set(vocabulary.values()))
-        self.split = regex.compile(WORDS).findall
-        self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-
-    def _gadget(self, m: int, a: int, b: int, ab: int) -> None:
-        self.parts[ab], self.born[ab] = (a, b), m
-        self.lost.setdefault(a, {})[b] = m
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """``token`` and its parts at one side, each with the birth of the part that holds it."""
-        found, until = [(token, NEVER)], NEVER
-        while token in self.parts:
-            until, token = self.born[token], self.parts[token][side]
-            found.append((token, until))
-        return found
-
-    def _spell(self, tokens: set[int]) -> None:
-        """A trie of the labels, to find the tokens that begin at a byte."""
-        for token in tokens:
+        self._compile(merges)
+        self._index(label)
+
+    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
+        """``column`` of each token, and the runs of missing arcs (``lost_from`` to ``lost_to``) as state * width + column."""
+        width = self.width = self.start + 1
+        derived: list[list[tuple[int, int]]] = [[] for _ in range(width)]  # (merge, token) that begin with a token
+        whole = set(range(self.start))
+        for m, (a, _, ab) in enumerate(merges):
+            derived[a].append((m, ab))
+            whole.discard(ab)
+        # a token stands behind all that derive from it, those derived last nearest to it
+        column, begin, taken = [0] * width, [0] * width, 0
+        stack = [(t, 0) for t in sorted(whole, reverse=True)]
+        while stack:
+            token, done = stack.pop()
+            if not done:
+                begin[token] = taken
+            if done < len(derived[token]):
+                stack += [(token, done + 1), (derived[token][done][1], 0)]
+            else:
+                column[token], taken = taken, taken + 1
+        # gadgets: a state's row is what it copied and the runs it lost since
+        rows: list[list[int]] = [[] for _ in range(width)]
+        runs, seen = [], [0] * width
+        for m, (a, b, ab) in enumerate(merges):
+            rows[ab] = [*rows[b], *rows[ab]]
+            while seen[b] < len(derived[b]) and derived[b][seen[b]][0] < m:
+                seen[b] += 1
+            runs.append((begin[derived[b][seen[b]][1]] if seen[b] < len(derived[b]) else column[b], column[b] + 1))
+            rows[a].append(m)
+        owner = np.repeat(np.arange(width), [len(r) for r in rows])
+        run = np.array(runs, np.int64).reshape(-1, 2)[np.array([m for r in rows for m in r], np.int64)] + (owner * width)[:, None]
+        run = run[np.argsort(run[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(run[:, 1])
+        new = np.ones(len(run), bool)
+        new[1:] = run[1:, 0] > reach[:-1]
+        first = np.flatnonzero(new)
+        self.lost_from, self.lost_to = run[first, 0], reach[np.append(first[1:], len(run)) - 1] if len(run) else reach
+        self.column = np.array(column, np.int64)
+
+    def _index(self, label: dict[int, bytes]) -> None:
+        """A trie of the labels, level by level, and which token is the longest that ends at each node."""
+        child: dict[int, int] = {}
+        end = {}
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        level: list[list[tuple[int, int, int]]] = []
+        for token, text in label.items():
             node = 0
-            for byte in self.label[token]:
+            for depth, byte in enumerate(text):
                 key = node << 8 | byte
-                if key not in self.next_node:
-                    self.next_node[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = self.next_node[key]
-            self.token_at[node] = token
-
-    def has_arc(self, last: int, token: int) -> bool:
-        """Whether ``token`` may follow in the state after ``last``.
-
-        A token's arc comes with its left part's arc, at the time of the merge.  So
-        it is missing if the state lost it, or lost the arc of a left part before
-        the part's whole was born.
-        """
-        for end, found in self.ends[last]:
-            lost = self.lost[end]
-            for part, born in self.begins[token]:
-                m = lost.get(part)
-                if m is not None and m < found and m <= born:
-                    return False
-        return True
-
-    def follows(self, last: int, token: int) -> bool:
-        key = last << 32 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) >= TRANSITIONS:
-                self.table.clear()
-            known = self.table[key] = self.has_arc(last, token)
-        return known
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The accepted sequence of tokens that spells ``word``."""
-        size = len(word)
-        ids: list[int] = []
-        trail: list[tuple[int, list[int]]] = []  # for each token taken: where it begins, what else could begin there
-        closed: set[tuple[int, int]] = set()  # (where, last token) from which the end cannot be reached
-        at, choices = 0, self._choices(word, 0)
-        while at < size:
-            while choices:
-                token = choices.pop()
-                end = at + len(self.label[token])
-                if (not ids or self.follows(ids[-1], token)) and (end, token) not in closed:
-                    trail.append((at, choices))
-                    ids.append(token)
-                    at, choices = end, self._choices(word, end)
-                    break
-            else:
-                if not ids:
+                if key not in child:
+                    child[key] = len(child) + 1
+                    if depth == len(level):
+                        level.append([])
+                    level[depth].append((node, byte, child[key]))
+                node = child[key]
+            end[node] = token
+        self.levels = [tuple(np.array(x).T) for x in level]
+        self.own = np.full(len(child) + 1, -1, np.int32)
+        self.own[list(end)] = list(end.values())
+
+    @cached_property
+    def goto(self) -> np.ndarray:
+        """Next node by ``row`` of a node and byte; and with it ``longest`` (by node) and ``shorter`` (by token)."""
+        inner = np.zeros(len(self.own), bool)
+        for node, _, _ in self.levels:
+            inner[node] = True
+        # a leaf goes where the longest suffix of its label goes
+        self.row = (np.cumsum(inner) - 1).astype(np.int32)
+        goto = np.zeros((int(inner.sum()), 256), np.int32)
+        fail = np.zeros(len(self.own), np.int32)
+        self.longest = self.own.copy()
+        self.shorter = np.full(self.start, -1, np.int32)
+        for depth, (node, byte, child) in enumerate(self.levels):
+            if depth:
+                fail[child] = goto[self.row[fail[node]], byte]
+            goto[self.row[node], byte] = child
+            ends = self.own[child] >= 0
+            self.shorter[self.own[child[ends]]] = self.longest[fail[child[ends]]]
+            self.longest[child[~ends]] = self.longest[fail[child[~ends]]]
+            deep, leaf = child[inner[child]], child[~inner[child]]
+            self.row[leaf] = self.row[fail[leaf]]
+            goto[self.row[deep]] = goto[self.row[fail[deep]]]
+        return goto
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.array([len(x) for x in self.label], np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("goto", "row", "longest", "shorter", "size")}
+
+    def has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = state * self.width + self.column[token]
+        run = np.searchsorted(self.lost_from, key, "right") - 1
+        return (run < 0) | (key >= self.lost_to[run])
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words in a row, and how many each word has."""
+        goto, sizes = self.goto, self.size
+        length = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(length) - length
+        # last[base + i]: the token before byte i of a word
+        base = begin + np.arange(len(words))
+        last = np.full(len(data) + len(words), self.start, np.int64)
+        for k in np.flatnonzero(length > STEP_BYTES).tolist():
+            last[base[k] + 1 : base[k] + length[k] + 1] = self._walk(words[k])
+        order = np.argsort(-length, kind="stable")
+        order = order[length[order] <= STEP_BYTES]
+        own, from_, to = length[order], begin[order], base[order]
+        node = np.zeros(len(order), np.int64)
+        for i in range(int(own[0]) if len(own) else 0):
+            open_ = int(np.searchsorted(-own, -i))  # those longer than i
+            node = goto[self.row[node[:open_]], data[from_[:open_] + i]].astype(np.int64)
+            token, at = self.longest[node].astype(np.int64), to[:open_] + i + 1
+            while len(at):
+                if token.min() < 0:
                     raise ValueError("the vocabulary lacks a byte of the word")
-                closed.add((at, ids.pop()))
-                at, choices = trail.pop()
-        return ids
-
-    def _choices(self, word: bytes, at: int) -> list[int]:
-        """Tokens that begin at ``at``, the longest last."""
-        node, found = 0, []
-        get, token_at = self.next_node.get, self.token_at
-        for i in range(at, len(word)):
-            node = get(node << 8 | word[i], -1)
-            if node < 0:
-                break
-            if token_at[node] >= 0:
-                found.append(token_at[node])
+                fits = self.has_arc(last[at - sizes[token]], token)
+                last[at[fits]] = token[fits]
+                at, token = at[~fits], self.shorter[token[~fits]].astype(np.int64)
+        # read backwards from the ends
+        at, alive, steps = base + length, np.flatnonzero(length), []
+        count = np.zeros(len(words), np.int64)
+        while len(alive):
+            token = last[at[alive]]
+            steps.append((alive, token))
+            count[alive] += 1
+            at[alive] -= sizes[token]
+            alive = alive[at[alive] > base[alive]]
+        out = np.zeros(count.sum(), np.uint32)
+        end = np.cumsum(count)
+        for k, (who, token) in enumerate(steps):
+            out[end[who] - 1 - k] = token
+        return out, count
+
+    def _walk(self, word: bytes) -> list[int]:
+        """The last token of each prefix of one long word."""
+        node, found, known = 0, [], {}
+        for i, byte in enumerate(word):
+            node = int(self.goto[self.row[node], byte])
+            token = int(self.longest[node])
+            while True:
+                if token < 0:
+                    raise ValueError("the vocabulary lacks a byte of the word")
+                before = i - len(self.label[token])
+                key = (found[before] if before >= 0 else self.start, token)
+                if key not in known:
+                    known[key] = bool(self.has_arc(*(np.array([x]) for x in key))[0])
+                if known[key]:
+                    break
+                token = int(self.shorter[token])
+            found.append(token)
         return found
 
-    def segments(self, text: str) -> Iterator[tuple[str, int]]:
-        """The text between added tokens, and the added token after it (-1 at the end)."""
-        start = 0
-        if self.cut:
-            for m in self.cut.finditer(text):
-                yield text[start : m.start()], self.added[m[0]]
-                start = m.end()
-        yield text[start:], -1
-
-
-class Memory(dict):
-    """What ``work`` made of the strings met so far, up to a number of them."""
-
-    def __init__(self, work: Callable[[str], bytes]):
-        super().__init__()
-        self.work = work
-
-    def __missing__(self, text: str) -> bytes:
-        made = self.work(text)
-        if len(text) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[text] = made
-        return made
-
-
-#: White space after which a text can't be cut at single spaces and line feeds.
-_LOOSE = regex.compile(rf"[{_S}][{_S}]|[^\S \n]|[\x1c-\x1f\x85]|^[{_S}]|[{_S}]$").search
-
 
 class Encoder:
-    """Encodes texts to token ids as little-endian unsigned 32-bit integers, and decodes them.
-
-    Where white space is single spaces and line feeds, a word begins at each
-    space, and each line feed is a word: such texts are cut at those, and what is
-    between is remembered whole.
-    """
+    """Encodes texts to token ids as little-endian unsigned 32-bit integers, and decodes them."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.words = Memory(lambda word: np.array(automaton.encode_word(word.encode()), "<u4").tobytes())
-        self.first = Memory(self.plain)
-        self.later = Memory(lambda text: self.plain(f" {text}"))
-        self.line_feed = self.words["\n"]
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.automaton.split(text)))
-
-    def line(self, text: str) -> bytes:
-        first, *later = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
-
-    def encode(self, text: str) -> bytes:
-        parts = []
-        for segment, added in self.automaton.segments(text):
-            if not segment or _LOOSE(segment):
-                parts.append(self.plain(segment))
-            else:
-                parts.append(self.line_feed.join(map(self.line, segment.split("\n"))))
-            if added >= 0:
-                parts.append(added.to_bytes(4, "little"))
-        return b"".join(parts)
+        added = sorted(automaton.added, key=len, reverse=True)
+        self.split = regex.compile(WORDS).findall
+        self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
+
+    def words(self, text: str, found: list[str], marks: list[tuple[int, int]]) -> None:
+        """Adds the words of ``text`` to ``found``, an empty one for an added token; ``marks``: where, and which token."""
+        start = 0
+        if self.cut and self.cut.search(text):
+            for m in self.cut.finditer(text):
+                found += self.split(text[start : m.start()])
+                marks.append((len(found), self.automaton.added[m[0]]))
+                found.append("")
+                start = m.end()
+        found += self.split(text[start:])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words: list[str] = []
+        marks: list[tuple[int, int]] = []
+        ends = [0]
+        for text in texts:
+            self.words(text, words, marks)
+            ends.append(len(words))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        place = coded.indices.to_numpy()
+        ids, count = self.automaton.encode_words([w.encode() for w in coded.dictionary.to_pylist()])
+        each, first = count[place], (np.cumsum(count) - count)[place]
+        where, added = np.array(marks, np.int64).reshape(-1, 2).T
+        each[where], first[where] = 1, len(ids) + np.arange(len(where))
+        total = np.concatenate([[0], np.cumsum(each)])
+        flat = np.append(ids, added)[np.repeat(first - total[:-1], each) + np.arange(total[-1])].astype("<u4")
+        cuts = total[ends]
+        return [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.automaton.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(description: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it stays for later tasks."""
-    key = hashlib.sha256(description.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Automaton(description))
-    return _encoders[key]
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def load(vocabulary: str | None = None) -> Automaton:
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        return Automaton(f.read())
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256; ``ids`` and ``decoded`` add those themselves.
 
-    ``vocabulary`` is the path of a tokenizer file on the driver, which ships its text to the executors.
+    ``vocabulary`` is the path of a tokenizer file on the driver, which compiles it and
+    broadcasts the automaton (its size is the vocabulary's).  Columns that ``keep``
+    names come first, under their names; other columns of ``docs`` are not read.
     """
-    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        told = docs.sparkSession.sparkContext.broadcast(f.read())
+    told = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     fields = [docs.schema[c] for c in keep]
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.BinaryType())] * ids + [T.StructField("decoded", T.StringType())] * decoded
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(told.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 200):  # bounds the memory that a batch of long texts takes
-                batch = whole.slice(start, 200)
-                rows = []
-                for text in batch["text"].to_pylist():
-                    got = e.encode(text or "")
-                    back = e.decode(got)
-                    rows.append((len(got) // 4, hashlib.sha256(got).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), got if ids else None, back if decoded else None))
-                n, a, b, got, back = zip(*rows, strict=True) if rows else ((),) * 5
-                out = [batch[c] for c in keep] + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-                out += [pa.array(got, pa.binary())] * ids + [pa.array(back, pa.string())] * decoded
-                yield pa.RecordBatch.from_arrays(out, schema.names)
+        e = Encoder(told.value)
+        for batch in slices_of(batches, SLICE_BYTES):
+            got = e.encode([t or "" for t in batch["text"].to_pylist()])
+            back = [e.decode(x) for x in got]
+            out = [batch[c] for c in keep] + [pa.array([len(x) // 4 for x in got], pa.int64())]
+            out += [pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
+            out += [pa.array(got, pa.binary())] * ids + [pa.array(back, pa.string())] * decoded
+            yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

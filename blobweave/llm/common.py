@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,20 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``most`` bytes of ``column``; a longer row is a slice of its own."""
+    batch = None
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, start = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, upto[start] + most, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # workers stay for other stages
+
+
 def class_sums(texts: list[bytes], *tables: np.ndarray) -> list[np.ndarray]:
     """For each text the sum of ``table[byte]`` over its bytes, for each 256-entry table."""
     data = np.frombuffer(b"".join(texts), np.uint8)

@@ -128,27 +128,34 @@ def tokenizer():
     return t
 
 
-def test_encoding_equals_the_library(tokenizer):
-    e = bpe.encoder(open(bpe.default_vocabulary(), encoding="utf-8").read())
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.Encoder(bpe.load())
+
+
+def test_encoding_equals_the_library(tokenizer, coder, monkeypatch):
     rng = random.Random(0)
     parts = ["a", "aa", "A", "  ", "\n", "\x1c", "\x85", "　", "é", "漢", "😀", "1", "²", "!", "...", "'s", "'ll", "<|endoftext|>", "<|endo", "the", " the", "ing", "\t", "\r\n", "​", "=", "--", "zz", "0", "00", " a"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    texts += ["".join(chr(rng.choice([rng.randint(0, 300), rng.randint(0, 0xD7FF), rng.randint(97, 122)])) for _ in range(10)) for _ in range(3000)] + ["a" * 3000 + "ab" * 999]
-    for t in texts:
-        got = e.encode(t)
-        want = tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(got, "<u4").tolist() == want, repr(t)
-        assert e.decode(got) == tokenizer.decode(want, skip_special_tokens=False) == t
-
-
-def test_memory_is_emptied(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    monkeypatch.setattr(bpe, "TRANSITIONS", 7)
-    text = open(bpe.default_vocabulary(), encoding="utf-8").read()
-    e = bpe.Encoder(bpe.Automaton(text))
-    plain = bpe.encoder(text)
-    for t in ["one two three four five six seven"] * 2 + [f"w{i} x{i}" for i in range(50)]:
-        assert e.encode(t) == plain.encode(t) and len(e.later) <= 5 and len(e.automaton.table) <= 7
+    texts += ["".join(chr(rng.choice([rng.randint(0, 300), rng.randint(0, 0xD7FF), rng.randint(97, 122)])) for _ in range(10)) for _ in range(3000)] + ["a" * 3000 + "ab" * 999, "zq" * 70_000]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for step in (bpe.STEP_BYTES, 3):  # 3: most words are walked alone
+        monkeypatch.setattr(bpe, "STEP_BYTES", step)
+        for t, got, ids in zip(texts, coder.encode(texts), want, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids, repr(t)
+            assert coder.decode(got) == tokenizer.decode(ids, skip_special_tokens=False) == t
+
+
+def test_automaton_accepts_what_the_merges_produce(tokenizer, coder):
+    """There is an arc from the state after one token to another exactly if the two come from their joined labels."""
+    rng = random.Random(5)
+    plain = [i for i in range(256, 40_000) if coder.automaton.label[i].isalpha()]
+    pairs = [(rng.choice(plain), rng.choice(plain)) for _ in range(3000)]
+    arcs = coder.automaton.has_arc(*np.array(pairs, np.int64).T)
+    for (a, b), arc in zip(pairs, arcs, strict=True):
+        text = (coder.automaton.label[a] + coder.automaton.label[b]).decode()
+        assert arc == (tokenizer.encode(text, add_special_tokens=False).ids == [a, b]), text
+    assert 0 < arcs.sum() < len(arcs)
 
 
 def test_encoding_query(spark, tokenizer):
