@@ -1,33 +1,39 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words, each closed by a space, and an end mark; it is
-coded bit by bit along a prefix code of each byte after the one before.  Four predictors see hashes of
-the last one, two or three bytes, or of the current word so far, each beside the
-text's class so far; a slot of the table counts zeros and ones.  Their stretched
-predictions are added with weights gated by each predictor's confidence (how often
-its slot was seen).  Within a text the predictors' shares are refined online, by
-the gradient of every BLOCK bits, so each bit is predicted from earlier ones only.
-A segment of SEGMENT bytes starts from the trained weights again, which bounds
-memory and lets long texts run in parallel.  The score is the log10 probability
-of the whole text.
-
-What is learnt.  Token and context counts are sums over all training texts (but the
-tuning texts, in the case of contexts), so they do not depend on order or
-partitioning and a lost executor's share is simply counted again.  Token counts
-travel packed, one row a task and slice of the token range, and come back to the
-task's texts the same way.  The context table has 2 ** TABLE_BITS slots at every
-size; it is the only thing broadcast, with the models below.  The prefix code, the
-classes (bigram models by k-means; class 0 is the start of a text) and the gates
-are fitted on a bounded sample, TUNING training texts of at most TUNING_BYTES.
+A text is its lower-cased words and an end token.  Each token is coded by binary
+decisions and a symbol.  The decisions go down a ladder: may the two tokens before
+it (level 0), the one before it (1), the text so far (2), the text's class (3) or
+the whole training corpus (4) tell the token?  A context tells a token if it has been
+followed by it and gives it at least the probability that class or corpus do.  The
+first level that tells it says yes and codes it by its share of what followed there;
+a token that none tells is spelled by bytes, each given the two before.
+
+Each decision is a bit that PREDICTORS hashed contexts predict: the level and how often
+its context was met; the levels that told the last two tokens; which of the last six
+the two before them told; and how often those did lately.  Their stretched predictions
+are added with weights gated by level and by how often a predictor's slot was seen.
+Within a text each predictor's share is refined online, by the gradient of every
+BLOCK bits, so each bit is predicted from earlier ones only.  The score is the log10
+probability of the whole text, and with it come its bits per byte.
+
+The class of a text so far is the most frequent token among its first 8, 32, 128 or
+512 (none before that): languages and kinds of text differ in that.
+
+What is learnt: counts of tokens, pairs, triples and class members over all training
+texts, as hashed n-grams that texts meet by shuffle; slots grow with the input (an
+n-gram's hash has the bits of the corpus size and HASH_SPARE more).  A chunk of a task
+sends each of its distinct n-grams once, packed by slice of the hash range, and gets
+the counts back.  A training text is scored as if it were held out: its own counts
+are taken off, those of its copies stay.  The predictors' slots (at most JOINT joint
+contexts at any size) and the weights are fitted to the decisions of all training texts.
 
 Defined results: a null text is empty and has the end token only; a null doc_id
 hashes as the empty text; repeated rows count each and score alike; with no training
-text all counts are 0 and the model predicts from its starting weights.
+text all counts are 0 and every token is spelled.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,343 +43,248 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, staged, texts_of, word_hashes
-from .substrings import Ranges
+from .common import mixed, partitions, slices_of, staged, texts_of, word_hashes
 
-TABLE_BITS = 22
 FOLDS, HELD_OUT = 5, 1
-#: Most training texts (those of least hash among TUNING_SHARE in 64 of them) that models are fitted on, and their length.
-TUNING, TUNING_SHARE, TUNING_BYTES = 300, 8, 50_000
-KINDS = 6
-#: Confidence classes and levels of prediction; together a table code of one byte.
-CONFIDENCES, LEVELS = 8, 32
-TOP = 7.0
-PREDICTORS = 4
-SEGMENT, BLOCK, RATE = 2048, 64, 0.02
-TEXT_BYTES = 400_000
-TOKENS_HELD = 2_000_000
-SPACE_BYTE = 0x20
-#: Stands for the hash of the end token.
-END = np.uint64(1)
-ONE = np.uint32(1)
-
-
-def normal_text(text: bytes) -> tuple[bytes, int]:
-    """Lower-cased words, each closed by a space, then the end mark; and the number of tokens."""
-    words = text.lower().split()
-    words.append(b"\n")
-    return b" ".join(words), len(words)
-
-
-def prefix_code(counts: np.ndarray) -> list[list[tuple[int, int]]]:
-    """A Huffman code of the 256 bytes: for each byte the inner nodes on its path, each with the bit taken there."""
-    heap = [(int(c) + 1, b) for b, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    fresh = 256
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y] = (fresh, 0), (fresh, 1)
-        heapq.heappush(heap, (a + b, fresh))
-        fresh += 1
-    paths = []
-    for byte in range(256):
-        path, at = [], byte
-        while at in parent:
-            at, bit = parent[at]
-            path.append((at - 256, bit))
-        paths.append(path[::-1])
-    return paths
-
-
-def code_table(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of a byte after a byte, by counts [before << 8 | byte]: length of each, and nodes and bits of all in a row.
-
-    A code of its own after each byte needs fewer bits than one code, and every
-    predictor knows the byte before.
-    """
-    codes = [path for row in pairs.reshape(256, 256) for path in prefix_code(row)]
-    flat = np.array([x for path in codes for x in path], np.uint8)
-    return np.array([len(path) for path in codes]), flat[:, 0], flat[:, 1]
-
-
-def bigrams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each byte with the one before it in its text (0 at the start)."""
-    before = np.zeros(len(data), np.int64)
-    before[1:] = data[:-1]
-    before[starts[:-1]] = 0
-    return before << 8 | data
-
-
-def fit_kinds(texts: list[bytes]) -> np.ndarray:
-    """Costs [bigram, kind] in 1/16 nats above the least, at most 96: k-means of bigram frequencies, then their models."""
-    counts = np.zeros((len(texts), 1 << 16), np.float32)
-    for row, t in zip(counts, texts, strict=True):
-        data = np.frombuffer(t, np.uint8)
-        row += np.bincount(bigrams(data, np.array([0, len(data)])), minlength=1 << 16)
-    x = np.sqrt(counts / counts.sum(1, keepdims=True))
-    centres = [x[0]]
-    while len(centres) < KINDS:
-        centres.append(x[np.argmin((np.array(centres) @ x.T).max(0))])
-    c = np.array(centres)
-    for _ in range(8):
-        kind = np.argmax(x @ c.T, 1)
-        c = np.array([x[kind == k].mean(0) if (kind == k).any() else c[k] for k in range(KINDS)])
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
-    total = np.array([counts[kind == k].sum(0) for k in range(KINDS)]) + 0.02
-    cost = -np.log(total / total.sum(1, keepdims=True)).T
-    return np.clip((cost - cost.min(1, keepdims=True)) * 16, 0, 96).astype(np.int16)
+#: Stand for the hashes of the end token, of what precedes a text, and of any token.
+END, START, ANY = np.uint64(1), np.uint64(2), np.uint64(3)
+PAIR, TRIPLE, CLASS = np.uint64(11), np.uint64(12), np.uint64(13)
+#: Bits of an n-gram's hash beyond those of the number of training tokens.
+HASH_SPARE = 10
+SLICE_BYTES, TOKENS_HELD = 4_000_000, 1_000_000
+#: Positions from which the class is the most frequent of that many first tokens.
+CLASS_AT = (8, 32, 128, 512)
+LEVELS, SPELLED = 5, 5
+#: How often a pair of bytes counts as met beforehand, as what follows the second alone.
+SPELL_PRIOR = 4.0
+BUCKETS, LAST_TWO, LAST_SIX, RATES = 8, 36, 64, 9
+JOINT = LEVELS * BUCKETS * LAST_TWO * LAST_SIX * RATES
+RATE_TOKENS = 32
+PREDICTORS, CONFIDENCES, TOP = 4, 8, 9.0
+BLOCK, RATE = 16, 0.02
+
+
+def combined(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(a) + b)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as their byte planes, compressed."""
+    wide = x.astype("<u8")
+    width = max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def fold(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``held_out``."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return docs.select("doc_id", "text", (F.pmod(crc, F.lit(FOLDS)) == HELD_OUT).alias("held_out"))
+
+
+def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of all texts in a row (words lower-cased and closed by a space, texts by a line feed) itself and the two before it
+    in its word, 0 where there is none; and the first place of each token."""
+    data = np.frombuffer(b"".join(b" ".join([*t.lower().split(), b"\n"]) for t in texts), np.uint8)
+    # a line feed can only be a text's end, and spaces only close words
+    first = np.concatenate([[True], (data[:-1] == 0x20) | (data[:-1] == 0x0A)]) if len(data) else np.zeros(0, bool)
+    one, two = np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
+    one[1:] = np.where(first[1:], 0, data[:-1])
+    two[1:] = np.where(first[1:], 0, one[:-1])
+    return two << 16 | one << 8 | data, np.flatnonzero(first)
 
 
 @dataclass
-class Model:
-    length: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
-    kinds: np.ndarray
-    gates: np.ndarray
+class Corpus:
+    """What is known of the training texts before n-grams are counted: how often each byte comes after two others (sorted codes), tokens, texts."""
+
     codes: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    texts: int
 
     def __post_init__(self) -> None:
-        node_hash = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(1000)) >> np.uint64(32)).astype(np.uint32)
-        # what the nodes of the codes add to a slot, and where each code begins
-        self.code_at = np.cumsum(self.length) - self.length
-        self.code_salts = node_hash[self.nodes]
-        self.step = np.linspace(-TOP, TOP, LEVELS, dtype=np.float32)
-        # hashes of what the first two predictors see, by kind and bytes
-        near = np.arange(1 << 16, dtype=np.uint64)
-        self.kind_hash = [mixed(np.arange(KINDS + 1, dtype=np.uint64) + np.uint64(100 * (k + 1))) for k in range(PREDICTORS)]
-        self.near_hash = [(mixed((near & np.uint64(m)) ^ self.kind_hash[k][:, None]) >> np.uint64(32)).astype(np.uint32).ravel() for k, m in enumerate((0xFF, 0xFFFF))]
-
-    def kinds_so_far(self, data: np.ndarray, starts: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """For each byte the kind that the words before it fit best, from 1; 0 in the first word."""
-        head = np.ones(len(word), bool)
-        head[1:] = word[1:] != word[:-1]
-        first = np.flatnonzero(head)
-        costs = np.add.reduceat(self.kinds[bigrams(data, starts)], first, axis=0, dtype=np.int32)
-        upto = np.cumsum(costs, 0, dtype=np.int64) - costs
-        of_text = np.searchsorted(first, starts[:-1])
-        text = np.repeat(of_text, np.diff(np.concatenate([of_text, [len(first)]])))
-        kind = np.where(np.arange(len(first)) == text, 0, 1 + np.argmin(upto - upto[text], 1))
-        return np.repeat(kind, np.diff(np.concatenate([first, [len(word)]])))
-
-    def contexts(self, data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """For each byte of the texts in a row and each predictor, a 32-bit hash of what it sees."""
-        n = len(data)
-        recent = np.zeros((3, n), np.int64)
-        for k in range(3):
-            recent[k, k + 1 :] = data[: max(n - k - 1, 0)]
-            for skip in range(k + 1):
-                recent[k, np.minimum(starts[:-1] + skip, starts[1:] - 1)] *= starts[:-1] + skip >= starts[1:]
-        mark = np.zeros(n + 1, np.int64)
-        mark[starts[:-1]] = starts[:-1]
-        space = np.flatnonzero(data == SPACE_BYTE) + 1
-        mark[space] = space
-        word = np.maximum.accumulate(mark)[:n]
-        kind = self.kinds_so_far(data, starts, word)
-        two = recent[0] | recent[1] << 8
-        near = kind << 16 | two
-        spelt = Ranges(data.astype(np.uint64) + np.uint64(1), 0x9FB21C651E98DF25).hash(word, np.arange(n))
-        far = [(two | recent[2] << 16).view(np.uint64), spelt]
-        out = [table[near] for table in self.near_hash]
-        return out + [(mixed(x ^ self.kind_hash[k][kind]) >> np.uint64(32)).astype(np.uint32) for k, x in enumerate(far, 2)]
-
-    def flat(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Bits of all bytes in a row, where each byte's begin, and for each predictor the slots of the bits."""
-        pairs = bigrams(data, starts)
-        sizes = self.length[pairs]
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        turn = np.repeat(self.code_at[pairs] - begins[:-1], sizes) + np.arange(begins[-1])
-        salt = self.code_salts[turn]
-        slots = [(np.repeat(c, sizes) ^ salt) & np.uint32((1 << TABLE_BITS) - 1) for c in self.contexts(data, starts)]
-        return self.bits[turn], begins, slots
-
-    def log2(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The log2 probability of each text; ``data`` holds the normal texts in a row."""
-        bit, begins, slots = self.flat(data, starts)
-        table = (self.gates[:, :, None] * self.step).astype(np.float32).reshape(PREDICTORS, -1)
-        # lanes: the segments of all texts, the longest first
-        cuts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(starts[:-1], starts[1:], strict=True)])
-        text = np.repeat(np.arange(len(starts) - 1), -(-np.diff(starts) // SEGMENT))
-        first = begins[cuts]
-        size = begins[np.minimum(cuts + SEGMENT, starts[1:][text])] - first
-        order = np.argsort(-size, kind="stable")
-        first, size, text = first[order], size[order], text[order]
-        says = [table[k][self.codes[slots[k].astype(np.int64)]] for k in range(PREDICTORS)]
-        side = np.where(bit, np.float32(1), np.float32(-1))
-        share = np.ones((PREDICTORS, len(first), 1), np.float32)
-        total = np.zeros(len(first))
-        within = np.arange(BLOCK)
-        for at in range(0, int(size[0]), BLOCK):
-            lanes = int(np.searchsorted(-size, -at))  # those with bits left
-            places = first[:lanes, None] + (at + within)
-            ending = int(np.searchsorted(-size[:lanes], -(at + BLOCK - 1)))  # lanes from here on end in this block
-            np.minimum(places[ending:], (first + size)[ending:lanes, None] - 1, out=places[ending:])
-            toward = side[places]
-            toward[ending:] *= at + within < size[ending:lanes, None]
-            parts = [p[places] for p in says]
-            z = parts[0] * share[0, :lanes]
-            for k in range(1, PREDICTORS):
-                z += parts[k] * share[k, :lanes]
-            z *= toward  # positive towards the bit that came; 0 beyond the end
-            np.clip(z, -14, 14, out=z)
-            e = np.exp(-z)
-            one = 1 + e
-            total[:lanes] -= np.log(one).sum(1)  # float32 has a fast log, not a fast log1p
-            e /= one
-            toward *= e
-            for k in range(PREDICTORS):
-                share[k, :lanes, 0] += RATE * np.einsum("lb,lb->l", parts[k], toward)
-        # bits beyond the end have counted as coin flips
-        total += (-size % BLOCK) * np.log(2)
-        return np.bincount(text, total / np.log(2), minlength=len(starts) - 1)
-
-
-def table_codes(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """One byte a slot: how often it was seen, and the stretched share of ones."""
-    n = zeros + ones
-    stretched = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -TOP, TOP)
-    level = np.rint((stretched + TOP) * (LEVELS - 1) / (2 * TOP)).astype(np.int64)
-    confidence = np.where(n == 0, 0, np.clip(np.log2(np.maximum(n, 1)) / 1.5 + 1, 1, CONFIDENCES - 1).astype(np.int64))
-    return (confidence * LEVELS + level).astype(np.uint8)
-
-
-def fit_gates(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Weights [predictor, confidence] by logistic regression on the bits of ``texts``, which the table has not seen."""
-    data, starts = joined(texts)
-    bit, _, slots = model.flat(data, starts)
-    codes = [model.codes[s] for s in slots]
-    gates = np.full((PREDICTORS, CONFIDENCES), 0.35, np.float32)
-    seen = np.zeros_like(gates)
-    rng = np.random.default_rng(1)
-    for _ in range(6):
-        for part in np.array_split(rng.permutation(len(bit)), max(1, len(bit) // 40_000)):
-            own = [c[part] for c in codes]
-            x = [model.step[c % LEVELS] for c in own]
-            z = sum(gates[k][own[k] // LEVELS] * x[k] for k in range(PREDICTORS))
-            error = bit[part] - 1 / (1 + np.exp(-np.clip(z, -14, 14)))
-            g = np.array([np.bincount(own[k] // LEVELS, error * x[k], minlength=CONFIDENCES) for k in range(PREDICTORS)]) / len(part)
-            seen += g * g
-            gates += (0.15 * g / np.sqrt(seen + 1e-8)).astype(np.float32)
-    return gates
-
-
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-
-
-def chunks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list[bytes], list]]:
-    """Rows in groups of about TEXT_BYTES: texts and tuples of the columns ``names``."""
-    texts, rows, size = [], [], 0
-    for batch in batches:
-        for t, *row in zip(texts_of(batch["text"]), *(batch[c].to_pylist() for c in names), strict=True):
-            texts.append(t)
-            rows.append(row)
-            size += len(t)
-            if size >= TEXT_BYTES:
-                yield texts, rows
-                texts, rows, size = [], [], 0
-    if texts:
-        yield texts, rows
+        pairs = np.bincount(self.codes & 0xFFFF, self.counts, minlength=1 << 16).reshape(256, 256) + 0.5
+        self.after_one = pairs / pairs.sum(1, keepdims=True)
+        self.met = np.bincount(self.codes >> 8, self.counts, minlength=1 << 16)
+        #: of an n-gram's hash
+        self.bits = min(64, self.tokens.bit_length() + HASH_SPARE)
 
+    def cost(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each byte after the two before it; what was seldom met is filled up by that after one."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        seen = np.where(self.codes[at] == codes, self.counts[at], 0) if len(self.codes) else np.zeros(len(codes))
+        plain = self.after_one[codes >> 8 & 0xFF, codes & 0xFF]
+        return -np.log2((seen + SPELL_PRIOR * plain) / (self.met[codes >> 8] + SPELL_PRIOR))
 
-def fold(docs: DataFrame) -> DataFrame:
-    """Adds ``held_out`` and ``tuning`` (whether it may be a tuning text)."""
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    held = F.pmod(crc, F.lit(FOLDS)) == HELD_OUT
-    tune = ~held & (F.pmod(F.xxhash64("doc_id"), F.lit(64)) < TUNING_SHARE) & (F.octet_length(F.coalesce("text", F.lit(""))) <= TUNING_BYTES)
-    return docs.withColumn("held_out", held).withColumn("_tune", tune)
-
-
-def train(docs: DataFrame) -> Model:
-    """The model of the training texts of ``docs`` (doc_id, text, held_out, _tune)."""
-    spark = docs.sparkSession
-    picked = docs.where("_tune").select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(TUNING)
-    ids = [r["h"] for r in picked.collect()]
-    last = max(ids, default=None)
-    chosen = F.lit(False) if last is None else (F.col("_tune") & (F.xxhash64("doc_id", F.lit(1)) <= last))
-    sample = [normal_text(r["text"].encode() if r["text"] else b"")[0] for r in docs.where(chosen).select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(TUNING).collect()]
-    length, nodes, bits = code_table(np.bincount(bigrams(*joined(sample or [b"\n"])), minlength=1 << 16))
-    kinds = fit_kinds(sample) if len(sample) >= KINDS else np.zeros((1 << 16, KINDS), np.int16)
-    start = np.full((PREDICTORS, CONFIDENCES), 0.35, np.float32)
-    model = Model(length, nodes, bits, kinds, start, np.zeros(1 << TABLE_BITS, np.uint8))
-    shipped = spark.sparkContext.broadcast(model)
-    slots, slices = 2 << TABLE_BITS, 16
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(slots, np.uint32)
-        for texts, _ in chunks(batches):
-            bit, _, slots_of = shipped.value.flat(*joined([normal_text(t)[0] for t in texts]))
-            for slot in slots_of:
-                np.add.at(seen, (slot << np.uint32(1) | bit).astype(np.int64), ONE)
-        parts = [zlib.compress(x.astype("<u4" if x.max() >= 1 << 16 else "<u2" if x.max() >= 1 << 8 else "u1").tobytes(), 1) for x in np.split(seen, slices)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, packed in zip(batch["slice"].to_pylist(), batch["counts"], strict=True):
-                raw = zlib.decompress(packed.as_py())
-                got = np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) * slices // slots])
-                sums[at] = sums[at] + got if at in sums else got.astype(np.int64)
-        for at, total in sums.items():
-            codes = table_codes(total[::2], total[1::2])
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([codes.tobytes()], pa.binary())], ["slice", "codes"])
-
-    taught = docs.where(~F.col("held_out") & ~chosen).select("text")
-    counted = taught.mapInArrow(count, "slice int, counts binary").repartition(slices, "slice")
-    table = counted.mapInArrow(add, "slice int, codes binary").collect()  # one byte a slot, whatever the input
-    if table:
-        model.codes = np.concatenate([np.frombuffer(r["codes"], np.uint8) for r in sorted(table)])
-    if sample:
-        model.gates = fit_gates(model, sample)
-    return model
-
-
-CHUNKS = "slice int, chunk long, hashes binary, counts binary, doc_id array<long>, held_out array<boolean>, score array<double>, n_tokens array<long>, tokens binary"
-
-
-def score_chunks(docs: DataFrame, model: Model) -> DataFrame:
-    """CHUNKS: for each chunk of a task a row of its documents (slice -1), and for each slice of the hash range one
-    with the chunk's distinct tokens and how often its training texts have them."""
-    spark = docs.sparkSession
-    shipped, slices = spark.sparkContext.broadcast(model), 8 * partitions(spark)
-    schema = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("score", pa.list_(pa.float64())), ("n_tokens", pa.list_(pa.int64())), ("tokens", pa.binary())])
-
-    def pack(chunk: int, ids: list, held: list, scores: list, sizes: list, hashes: list) -> pa.RecordBatch:
-        n = np.array(sizes, np.int64)
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        taught = np.bincount(place, np.repeat(~np.array(held), n), minlength=len(distinct)).astype("<u4")
-        planes = place.astype("<u4").view(np.uint8).reshape(-1, 4).T
-        rows = [(-1, chunk, None, None, ids, held, scores, sizes, zlib.compress(planes.tobytes(), 1))]
-        where = ((distinct >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(distinct)]
-        rows += [(int(where[i]), chunk, distinct[i:j].tobytes(), zlib.compress(taught[i:j].tobytes(), 1), *[None] * 5) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+def survey(docs: DataFrame) -> Corpus:
+    """The Corpus of the training texts: sums of at most 2 ** 24 codes, of which text uses a small part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, tokens, texts = np.zeros(1 << 24, np.int64), 0, 0
+        for batch in slices_of(batches, 4 * SLICE_BYTES):
+            codes, first = spelled(texts_of(batch["text"]))
+            met += np.bincount(codes, minlength=1 << 24)
+            tokens, texts = tokens + len(first), texts + batch.num_rows
+        full = np.flatnonzero(met)
+        keys, counts = np.append(full, [-1, -2]), np.append(met[full], [tokens, texts])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts)], ["key", "n"])
+
+    got = docs.where("NOT held_out").select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    keys, n = got.key.to_numpy(np.int64), got.n.to_numpy(np.int64)
+    sums = dict(zip(keys[:2].tolist(), n[:2].tolist(), strict=True))
+    return Corpus(keys[keys >= 0], n[keys >= 0], sums.get(-1, 0), sums.get(-2, 0))
+
+
+class Tokens:
+    """The tokens of a chunk of texts: hashes in a row, where each text starts, and the n-gram keys at each token."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray):
+        self.hashes, self.starts = hashes, starts
+        n = len(hashes)
+        self.text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.place = np.arange(n) - starts[self.text]
+        before = np.full(n, START, np.uint64)
+        before[1:] = np.where(self.place[1:] > 0, hashes[:-1], START)
+        pair = combined(before ^ PAIR, hashes)
+        two = np.full(n, START, np.uint64)
+        two[1:] = np.where(self.place[1:] > 0, pair[:-1], START)
+        kind = self._classes()
+        #: class member, class, pair, triple
+        self.keys = np.concatenate([combined(kind ^ CLASS, hashes), combined(kind ^ CLASS, ANY), pair, combined(two ^ TRIPLE, hashes)])
+
+    def _classes(self) -> np.ndarray:
+        kind = np.full(len(self.hashes), START, np.uint64)
+        size = np.diff(self.starts)
+        for at in CLASS_AT:
+            mine = (self.place < at) & (size[self.text] > at)
+            text, word = self.text[mine], self.hashes[mine]
+            order = np.lexsort((word, text))
+            text, word = text[order], word[order]
+            if not len(text):
+                break
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])]))
+            count = np.diff(np.append(first, len(text)))
+            best = np.lexsort((word[first], -count, text[first]))  # most frequent, then smallest hash
+            best = best[np.concatenate([[True], np.diff(text[first][best]) > 0])]
+            top = np.full(len(size), START, np.uint64)
+            top[text[first][best]] = word[first][best]
+            later = (self.place >= at) & (size[self.text] > at)
+            kind[later] = top[self.text[later]]
+        return kind
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, held_out, Tokens, spelling codes, first place of each token) of about TOKENS_HELD tokens each; a longer text is a chunk of its own."""
+    held: list[tuple] = []
+    for batch in slices_of(batches, SLICE_BYTES):
+        texts = texts_of(batch["text"])
+        words, starts = word_hashes(texts, lower=True)
+        hashes, starts = np.insert(words, starts[1:], END), starts + np.arange(len(starts))
+        codes, first = spelled(texts)
+        rows = (batch["doc_id"].to_pylist(), batch["held_out"].to_pylist())
+        size, at = np.append(first, len(codes)), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + TOKENS_HELD, "right")) - 1)
+            a, b = starts[at], starts[to]
+            held.append((rows[0][at:to], rows[1][at:to], hashes[a:b], starts[at : to + 1] - a, codes[size[a] : size[b]], first[a:b] - size[a]))
+            at = to
+            if sum(len(h[2]) for h in held) >= TOKENS_HELD:
+                yield _joined(held)
+                held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple:
+    ids, kept = [i for h in held for i in h[0]], [x for h in held for x in h[1]]
+    tokens = np.cumsum([0, *(len(h[2]) for h in held)])
+    data = np.cumsum([0, *(len(h[4]) for h in held)])
+    starts = np.concatenate([*(h[3][:-1] + t for h, t in zip(held, tokens, strict=False)), tokens[-1:]])
+    first = np.concatenate([h[5] + d for h, d in zip(held, data, strict=False)])
+    return ids, np.array(kept, bool), Tokens(np.concatenate([h[2] for h in held]), starts), np.concatenate([h[4] for h in held]), first
+
+
+ROWS = "slice int, chunk long, tokens binary, grams binary, token_counts binary, gram_counts binary, doc_id array<long>, held_out array<boolean>, sizes array<long>, bytes array<long>, places binary, words binary, spelling binary"
+_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 3]
+_SCHEMA = pa.schema(list(zip([x.split()[0] for x in ROWS.split(", ")], _TYPES, strict=True)))
+
+
+def _cuts(keys: np.ndarray, bits: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slices that sorted ``keys`` of ``bits`` bits fall in, and where each begins (one entry more)."""
+    where = ((keys << np.uint64(64 - bits) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+    return where[first], np.append(first, len(where))
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the first one and the steps between them."""
+    return keys[:1].tobytes() + packed(np.diff(keys))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    steps = unpacked(data[8:]).view(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), steps]), dtype=np.uint64)
+
+
+def gathered(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """ROWS: for each chunk a row of its texts (slice -1) and, for each slice of the hash range, one of its distinct tokens and n-grams with their training counts."""
+    slices, bits = 8 * partitions(docs.sparkSession), corpus.bits
+    told = docs.sparkSession.sparkContext.broadcast(corpus)
+
+    def rows(chunk: int, ids: list, held: np.ndarray, tokens: Tokens, codes: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        words, at, place = np.unique(tokens.hashes, return_index=True, return_inverse=True)
+        taught = np.bincount(place, ~held[tokens.text], minlength=len(words)).astype(np.int64)
+        # the bytes of each distinct token where it stands first
+        size = np.diff(np.append(first, len(codes)))
+        begin = np.cumsum(size[at]) - size[at]
+        bytes_of = np.repeat(first[at] - begin, size[at]) + np.arange(size[at].sum())
+        spelling = np.add.reduceat(told.value.cost(codes[bytes_of]), begin)
+        grams, where = np.unique(tokens.keys >> np.uint64(64 - bits), return_inverse=True)
+        seen = np.bincount(where, np.tile(~held[tokens.text], 4), minlength=len(grams)).astype(np.int64)
+        out: dict[int, list] = {}
+        for column, keys, counts, width in ((2, words, taught, 64), (3, grams, seen, bits)):
+            which, cuts = _cuts(keys, width, slices)
+            for s, i, j in zip(which.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                row = out.setdefault(s, [s, chunk, None, None, None, None, *[None] * 7])
+                row[column], row[column + 2] = packed_keys(keys[i:j]), packed(counts[i:j])
+        texts = [-1, chunk, None, None, None, None, ids, held.tolist(), np.diff(tokens.starts).tolist(), np.add.reduceat(size, tokens.starts[:-1]).tolist(), packed(place), words.tobytes(), spelling.astype("<f4").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(texts, *out.values(), strict=True), _TYPES, strict=True)], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
-        held: list[list] = [[], [], [], [], []]
-        for texts, rows in chunks(batches, "doc_id", "held_out"):
-            normal = [normal_text(t) for t in texts]
-            scores = shipped.value.log2(*joined([t for t, _ in normal])) * np.log10(2)
-            words, starts = word_hashes(texts, lower=True)
-            ends = np.insert(words, starts[1:], END)
-            for column, values in zip(held, ([r[0] for r in rows], [r[1] for r in rows], scores.tolist(), [k for _, k in normal], [ends]), strict=True):
-                column += values
-            if sum(held[3]) >= TOKENS_HELD:
-                yield pack(chunk, *held)
-                chunk, held = chunk + 1, [[], [], [], [], []]
-        if held[0]:
-            yield pack(chunk, *held)
+        number = TaskContext.get().partitionId() << 32
+        for chunk in chunks(batches):
+            yield rows(number, *chunk)
+            number += 1
+
+    return docs.mapInArrow(run, ROWS)
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CHUNKS)
 
+def answered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the counts over all training texts in place of the chunk's, slice by slice; chunk -1 holds a slice's number of distinct training tokens."""
 
-def answer(chunk_rows: DataFrame) -> DataFrame:
-    """(chunk, slice, counts, distinct, total): the counts of each chunk's tokens over all training texts, slice by slice."""
+    def totals(data: list[tuple[bytes | None, bytes | None]]) -> tuple[list[bytes | None], int]:
+        full = [i for i, (k, _) in enumerate(data) if k is not None]
+        if not full:
+            return [None] * len(data), 0
+        keys = [unpacked_keys(data[i][0]) for i in full]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.zeros(len(every), np.int64)
+        np.add.at(counts, place, np.concatenate([unpacked(data[i][1]) for i in full]))
+        out: list[bytes | None] = [None] * len(data)
+        for i, got in zip(full, np.split(counts[place], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            out[i] = packed(got)
+        return out, int((counts > 0).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -381,67 +292,268 @@ def answer(chunk_rows: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            hashes = [np.frombuffer(h, np.uint64) for _, h, _ in held]
-            every, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for _, _, c in held]), minlength=len(every)).astype("<i8")
-            split = np.split(counts[place], np.cumsum([len(h) for h in hashes])[:-1])
-            n, zeros = len(held), [0] * (len(held) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([now] * n, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in split], pa.binary()), pa.array([int((counts > 0).sum()), *zeros], pa.int64()), pa.array([int(counts.sum()), *zeros], pa.int64())], ["chunk", "slice", "counts", "distinct", "total"])
+            words, distinct = totals([(r[1], r[3]) for r in held])
+            grams, _ = totals([(r[2], r[4]) for r in held])
+            made = [[now, r[0], None, None, w, g, *[None] * 7] for r, w, g in zip(held, words, grams, strict=True)]
+            made.append([distinct, -1, *[None] * 11])
             held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _TYPES, strict=True)], schema=_SCHEMA)
 
         for batch in batches:
-            for at, chunk, hashes, counts in zip(batch["slice"].to_pylist(), batch["chunk"].to_pylist(), batch["hashes"], batch["counts"], strict=True):
-                if at != now:
+            where = np.array(batch["slice"])
+            if (own := np.flatnonzero(where < 0)).size:
+                yield batch.take(pa.array(own))
+            for i in np.flatnonzero(where >= 0).tolist():
+                if where[i] != now:
                     yield from out()
-                    now = at
-                held.append((chunk, hashes.as_py(), counts.as_py()))
+                    now = int(where[i])
+                held.append(tuple(batch[c][i].as_py() for c in ("chunk", "tokens", "grams", "token_counts", "gram_counts")))
         yield from out()
 
-    asked = chunk_rows.where("slice >= 0").select("slice", "chunk", "hashes", "counts")
-    return asked.repartition(partitions(chunk_rows.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(run, "chunk long, slice int, counts binary, distinct long, total long")
+    # a chunk's row of texts goes anywhere
+    key = F.when(F.col("slice") < 0, F.xxhash64("chunk")).otherwise(F.col("slice").cast("long"))
+    return rows.repartition(partitions(rows.sparkSession), key).sortWithinPartitions("slice").mapInArrow(run, ROWS)
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def bucket(n: np.ndarray) -> np.ndarray:
+    """0 for 0, then by the logarithm."""
+    return np.where(n > 0, np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64) // 2, BUCKETS - 1), 0)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """SCORES of every row of ``docs`` (doc_id, text); base_score is the add-half unigram model's log10 probability."""
-    spark = docs.sparkSession
-    folded = fold(docs.select("doc_id", "text"))
-    rows = staged(score_chunks(folded, train(folded)), "chunks")
-    answers = staged(answer(rows), "token-counts")
-    distinct, total = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("total")).first())
-    below = total + 0.5 * (distinct + 1)
+def own_counts(text: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each entry's ``key`` (below ``n``) occurs in its text, and how often before it."""
+    group = text * n + key
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0]))
+    size = np.diff(np.append(first, len(group)))
+    total, before = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
+    total[order] = np.repeat(size, size)
+    before[order] = np.arange(len(group)) - np.repeat(first, size)
+    return total, before
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, counts = None, None, []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if own is None:
-                return
-            ids, held, score, sizes, packed = own
-            c = np.concatenate(counts)
-            place = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            base = np.add.reduceat(np.log10((c + 0.5) / below)[place], starts)
-            known = np.add.reduceat((c > 0).astype(np.int64)[place], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known), pa.array([total] * len(ids), pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def trails(tokens: Tokens, held: np.ndarray, corpus: Corpus, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], spelling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token how it is coded: level and buckets of what the contexts were met (a trail), and the bits of its symbol.
+
+    ``words`` and ``grams``: place of each token (n-gram) in the chunk's distinct ones, and their training counts.
+    """
+    n, taught = len(tokens.hashes), ~held[tokens.text]
+
+    def less_own(place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, before = own_counts(tokens.text, place, len(counts))
+        return counts[place] - np.where(taught, own, 0), before
+
+    known, before = less_own(*words)
+    of_class, in_class, pair, triple = (less_own(p, grams[1])[0] for p in np.split(grams[0], 4))
+    starts = tokens.place == 0
+    texts = corpus.texts - taught
+    shift = lambda x: np.where(starts, texts, np.concatenate([[0], x[:-1]]))
+    n_one, n_two = shift(known), shift(pair)
+    # the class counts of a class that nothing follows are 0; those of texts are taken off with the tokens
+    total = corpus.tokens - np.where(taught, np.diff(tokens.starts)[tokens.text], 0)
+    share = lambda c, m: c / np.maximum(m, 1)
+    plain = np.where(of_class > 0, share(of_class, in_class), share(known, total))
+    place = tokens.place
+    levels = [(triple, n_two), (pair, n_one), (before, place)]
+    level, p = np.full(n, SPELLED), np.ones(n)
+    for at, (c, m) in list(enumerate(levels))[::-1]:
+        tells = (c > 0) & (share(c, m) >= plain)
+        level, p = np.where(tells, at, level), np.where(tells, share(c, m), p)
+    rest = level == SPELLED
+    by_class, by_all = rest & (of_class > 0), rest & (of_class <= 0) & (known > 0)
+    level = np.where(by_class, 3, np.where(by_all, 4, level))
+    p = np.where(by_class | by_all, plain, p)
+    bits = np.where(level == SPELLED, spelling[words[0]], -np.log2(p))
+    trail = level | bucket(n_two) << 3 | bucket(n_one) << 6 | bucket(place) << 9 | bucket(in_class) << 12 | (total > 0).astype(np.int64) << 15
+    return trail.astype("<u2"), bits
+
+
+TRAILS = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, log_counts double, bits double, trail binary, distinct long"
+
+
+def trailed(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """TRAILS of every text; rows without a trail hold numbers of distinct training tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "n_bytes")], ("log_counts", pa.float64()), ("bits", pa.float64()), ("trail", pa.binary()), ("distinct", pa.int64())])
+
+    def made(row: dict, token_counts: list[bytes], gram_counts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array(row["sizes"], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        place, every = unpacked(row["places"]), np.frombuffer(row["words"], np.uint64)
+        tokens, held = Tokens(every[place], starts), np.array(row["held_out"], bool)
+        counts, grams = (np.concatenate([unpacked(x) for x in xs]) for xs in (token_counts, gram_counts))
+        where = np.unique(tokens.keys >> np.uint64(64 - corpus.bits), return_inverse=True)[1]
+        trail, bits = trails(tokens, held, corpus, (place, counts), (where, grams), np.frombuffer(row["spelling"], "<f4"))
+        sums = [np.add.reduceat(x, starts[:-1]) for x in ((counts[place] > 0).astype(np.int64), np.log10(counts[place] + 0.5), bits)]
+        parts = [trail[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        columns = [row["doc_id"], row["held_out"], row["sizes"], sums[0], row["bytes"], sums[1], sums[2], parts, [None] * len(parts)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, counts, distinct = None, None, ([], []), 0
         for batch in batches:
             for row in batch.to_pylist():
-                if row["chunk"] != now:
-                    yield from out()
-                    now, own, counts = row["chunk"], None, []
-                if row["slice"] < 0:
-                    own = (row["doc_id"], row["held_out"], row["score"], row["n_tokens"], row["tokens"])
+                if row["chunk"] != now and own is not None:
+                    yield made(own, *counts)
+                    own, counts = None, ([], [])
+                now = row["chunk"]
+                if now < 0:
+                    distinct += row["slice"]
+                elif row["slice"] < 0:
+                    own = row
                 else:
-                    counts.append(np.frombuffer(zlib.decompress(row["counts"]), "<i8"))
-        yield from out()
+                    for held, column in zip(counts, ("token_counts", "gram_counts"), strict=True):
+                        if row[column] is not None:
+                            held.append(row[column])
+        if own is not None:
+            yield made(own, *counts)
+        if distinct:
+            yield pa.RecordBatch.from_arrays([pa.array([None if f.name != "distinct" else distinct], f.type) for f in schema], schema=schema)
+
+    key = F.when(F.col("chunk") < 0, F.xxhash64("slice")).otherwise(F.col("chunk"))
+    slim = rows.drop("tokens", "grams")
+    return slim.repartition(partitions(rows.sparkSession), key).sortWithinPartitions("chunk", "slice").mapInArrow(run, TRAILS)
+
+
+class Decisions:
+    """The bits of trails in a row: where each text's begin, the joint context and outcome of each."""
+
+    def __init__(self, trail: np.ndarray, starts: np.ndarray):
+        t = trail.astype(np.int64)
+        level, n = t & 7, len(t)
+        place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
+        ago = lambda x, k, none: np.where(place >= k, np.concatenate([np.full(min(k, n), none), x[: max(n - k, 0)]]), none)
+        two = (level == 0).astype(np.int64)
+        last_two = ago(level, 1, SPELLED) * 6 + ago(level, 2, SPELLED)
+        last_six = sum(ago(two, k, 0) << (k - 1) for k in range(1, 7))
+        upto = np.concatenate([[0], np.cumsum(two)])
+        back = np.minimum(place, RATE_TOKENS)
+        rate = (upto[np.arange(n)] - upto[np.arange(n) - back]) * (RATES - 1) // np.maximum(back, 1)
+        met = [t >> 3 & 7, t >> 6 & 7, t >> 9 & 7, t >> 12 & 7, t >> 15 & 1]
+        # a level asks if none before told the token and its context was met
+        asks = np.array([(level >= k) & (met[k] > 0) for k in range(LEVELS)])
+        token, at = np.nonzero(asks.T)
+        own = np.array(met)[at, token]
+        self.bit = level[token] == at
+        self.joint = (((at * BUCKETS + own) * LAST_TWO + last_two[token]) * LAST_SIX + last_six[token]) * RATES + rate[token]
+        self.begins = np.concatenate([[0], np.cumsum(asks.sum(0))])[starts]
+
+
+def contexts(joint: np.ndarray) -> list[np.ndarray]:
+    """The slot of each predictor in a joint context; levels never share one."""
+    rest, rate = np.divmod(joint, RATES)
+    rest, six = np.divmod(rest, LAST_SIX)
+    rest, two = np.divmod(rest, LAST_TWO)
+    at = rest // BUCKETS
+    return [rest, at * LAST_TWO + two, at * LAST_SIX + six, rest * RATES + rate]
+
+
+SLOTS = [LEVELS * BUCKETS, LEVELS * LAST_TWO, LEVELS * LAST_SIX, LEVELS * BUCKETS * RATES]
+
+
+def stretched(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((ones + 0.4) / (n - ones + 0.4)), -TOP, TOP)
+
+
+def confidence(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(n + 1).astype(np.int64) // 3, CONFIDENCES - 1)
+
+
+@dataclass
+class Model:
+    """What each predictor says in each of its slots, times its weight."""
+
+    says: list[np.ndarray]
+
+    def log2(self, trail: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The log2 probability of the decisions of each text; ``trail`` holds those of all in a row."""
+        d = Decisions(trail, starts)
+        size = np.diff(d.begins)
+        order = np.argsort(-size, kind="stable")
+        first, length = d.begins[:-1][order], size[order]
+        says = [table[slot].astype(np.float32) for table, slot in zip(self.says, contexts(d.joint), strict=True)]
+        side = np.where(d.bit, np.float32(1), np.float32(-1))
+        share = np.ones((PREDICTORS, len(first), 1), np.float32)
+        total = np.zeros(len(first))
+        within = np.arange(BLOCK)
+        for at in range(0, int(length.max(initial=0)), BLOCK):
+            lanes = int(np.searchsorted(-length, -at))  # those with bits left
+            places = first[:lanes, None] + np.minimum(at + within, length[:lanes, None] - 1)
+            toward = side[places] * (at + within < length[:lanes, None])
+            parts = [p[places] for p in says]
+            z = sum(p * share[k, :lanes] for k, p in enumerate(parts)) * toward  # positive towards the bit that came; 0 beyond the end
+            e = np.exp(-np.clip(z, -14, 14))
+            total[:lanes] -= np.log(1 + e).sum(1)
+            toward *= e / (1 + e)
+            for k in range(PREDICTORS):
+                share[k, :lanes, 0] += RATE * np.einsum("lb,lb->l", parts[k], toward)
+        total += (-length % BLOCK) * np.log(2)  # bits beyond the end have counted as coin flips
+        out = np.zeros(len(size))
+        out[order] = total / np.log(2)
+        return out
+
+
+def fit(joint: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> Model:
+    """Slots and weights from how often each joint context was met with either outcome; logistic regression by adaptive gradient steps."""
+    slots = contexts(joint)
+    n = [np.bincount(s, zeros + ones, minlength=m) for s, m in zip(slots, SLOTS, strict=True)]
+    says = [stretched(np.bincount(s, ones, minlength=m), k) for s, k, m in zip(slots, n, SLOTS, strict=True)]
+    per_level = [m // LEVELS for m in SLOTS]
+    cell = [np.arange(m) // w * CONFIDENCES + confidence(k) for m, w, k in zip(SLOTS, per_level, n, strict=True)]
+    weights = np.full((PREDICTORS, LEVELS * CONFIDENCES), 0.3)
+    seen = np.zeros_like(weights)
+    x, where = [s[slot] for s, slot in zip(says, slots, strict=True)], [c[slot] for c, slot in zip(cell, slots, strict=True)]
+    total = max(float((zeros + ones).sum()), 1.0)
+    for _ in range(300 if len(joint) else 0):
+        z = sum(weights[k][where[k]] * x[k] for k in range(PREDICTORS))
+        error = (ones - (zeros + ones) / (1 + np.exp(-np.clip(z, -30, 30)))) / total
+        g = np.array([np.bincount(where[k], error * x[k], minlength=LEVELS * CONFIDENCES) for k in range(PREDICTORS)])
+        seen += g * g
+        weights += 0.1 * g / np.sqrt(seen + 1e-16)
+    return Model([says[k] * weights[k][cell[k]] for k in range(PREDICTORS)])
+
+
+def _trails_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    parts = batch["trail"].to_pylist()
+    return np.frombuffer(b"".join(parts), "<u2"), np.concatenate([[0], np.cumsum([len(p) // 2 for p in parts])]).astype(np.int64)
+
+
+def learn(told: DataFrame) -> Model:
+    """The model of the training texts' decisions: at most JOINT sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((2, JOINT), np.int64)
+        for batch in slices_of(batches, SLICE_BYTES // 4, "trail"):
+            d = Decisions(*_trails_of(batch))
+            for bit in (0, 1):
+                met[bit] += np.bincount(d.joint[d.bit == bit], minlength=JOINT)
+        full = np.flatnonzero(met.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(met[0][full]), pa.array(met[1][full])], ["joint", "zeros", "ones"])
+
+    met = told.where("NOT held_out AND trail IS NOT NULL").select("trail").mapInArrow(run, "joint long, zeros long, ones long")
+    got = met.groupBy("joint").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas().sort_values("joint")
+    return fit(got.joint.to_numpy(np.int64), got.zeros.to_numpy(np.float64), got.ones.to_numpy(np.float64))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """SCORES of every row of ``docs`` (doc_id, text); base_score is the add-half unigram model's log10 probability."""
+    folded = fold(docs)
+    corpus = survey(folded)
+    told = staged(trailed(answered(gathered(folded, corpus)), corpus), "trails")
+    distinct = told.agg(F.sum("distinct")).first()[0] or 0
+    model = told.sparkSession.sparkContext.broadcast(learn(told))
+    below = float(np.log10(corpus.tokens + 0.5 * (distinct + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_of(batches, SLICE_BYTES // 4, "trail"):
+            bits = np.array(batch["bits"]) - model.value.log2(*_trails_of(batch))
+            n, size = np.array(batch["n_tokens"]), np.array(batch["n_bytes"])
+            columns = [batch["doc_id"], batch["held_out"], batch["n_tokens"], batch["n_known"], pa.array(np.full(len(n), corpus.tokens)), pa.array(np.array(batch["log_counts"]) - n * below), pa.array(-bits * np.log10(2)), pa.array(bits / size)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    texts = rows.where("slice < 0").select("chunk", "slice", "doc_id", "held_out", "score", "n_tokens", "tokens", F.lit(None).cast("binary").alias("counts"))
-    replies = answers.select("chunk", "slice", "counts")
-    met = texts.unionByName(replies, allowMissingColumns=True).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "slice")
-    return met.mapInArrow(run, SCORES)
+    return told.where("trail IS NOT NULL").drop("distinct").mapInArrow(run, SCORES)
 
 
 def op1_context_mixing(spark, sf_dir: str) -> DataFrame:
