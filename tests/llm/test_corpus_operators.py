@@ -146,6 +146,18 @@ def test_substring_dedup(spark):
         assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items() if i is not None} == want
         assert got[None]["n_removed"] == 0 and sum(w[1] for w in want.values()) > 1000
         assert all(sum(s["last"] - s["first"] + 1 for s in r["spans"]) == r["n_removed"] for r in got.values())
+        words = {i: WORD.findall(t or "") for i, t in rows}
+        windows = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in words.items()}
+        for i, r in got.items():
+            for f in r["factors"]:  # the named reference, of smaller id, holds each window of the factor
+                assert f["reference"] < i and f["last"] - f["first"] >= 49
+                assert all(tuple(words[i][k : k + 50]) in windows[f["reference"]] for k in range(f["first"], f["last"] - 48))
+            covered = {k for f in r["factors"] for k in range(f["first"], f["last"] + 1)}
+            assert len(covered) == r["n_removed"]
+    names = ["blocks", "windows", "kept", "id", "ref", "_k0", "spans", "factors", "boundaries"]
+    extra = docs.selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    got = substrings.without_duplicates(extra, keep=("doc_id", *names[:2], *names[3:6]), text=False).collect()
+    assert len(got) == docs.count() and all(r["blocks"] == "blocks" and r["_k0"] == "_k0" for r in got)
     twice = spark.createDataFrame([(1, pool[0] + " " + pool[1])] * 2, "doc_id long, text string")
     assert all(r["n_removed"] == 0 for r in substrings.without_duplicates(twice).collect())
     assert substrings.without_duplicates(docs.limit(0)).count() == 0
