@@ -1,18 +1,20 @@
 """Embedding near-dedup by counting collisions of one-dimensional projections.
 
-Vectors are scaled to length one and projected on many random lines, which are
-dealt into tables of a few lines each.  In a table, vectors that share the cells of
-all lines but the last are sorted by the last one, and a window of half-width
-WIDTH around each vector finds those that it collides with.  Every colliding pair
-has its collisions counted over all tables; a pair with LEAST or more is verified
-by its cosine in double precision.  The first table in which a pair collides
-reports it, so each link counts once.
-
-Calibration.  For a pair of exactly the least cosine, the chance to collide in a
-table follows from the distance of the two and the widths; ``plan`` adds cells with
+Vectors are scaled to length one and projected on many random lines.  Two of them
+collide on a line if one lies in the window of half-width ``width`` about the other.  A
+pair's collisions on LINES lines are counted; if they reach a count that a pair of
+exactly the least cosine reaches with the chance COUNTED, its cosine is verified in
+double precision.
+
+A window on one line holds a third of all vectors, so counts are only taken of pairs
+that meet.  Vectors meet in tables: in each, those that share the cells of some further
+lines are sorted by another, and meet if they collide on it.  ``plan`` adds cells with
 the logarithm of the number of vectors, so that a window holds about WINDOW_ROWS
-unrelated vectors at any size, and takes the fewest tables for which the count
-reaches LEAST with the chance RECALL.  Closer pairs are found more surely.
+unrelated vectors at any size, and takes the fewest tables in one of which a pair of
+the least cosine meets with the chance MET.  The first table in which a pair meets
+counts and reports it, so each link counts once.  Closer pairs are found more surely.
+
+Projections are sums of whole numbers, so they don't depend on how rows are batched.
 
 Copies of a vector are one class with a number of rows.  A bucket of more than
 BUCKET_ROWS classes is split into tiles, each a pair of its parts.  A tile returns
@@ -41,7 +43,11 @@ from .common import look_up, mixed, partitions, staged
 from .graph import Forest, components
 
 LEAST_COSINE = 0.95
-CELL, LEAST, RECALL, WINDOW_ROWS, SEED = 1.2, 2, 0.97, 100, 5
+CELL, LINES, WINDOW_ROWS, SEED = 1.2, 24, 100, 5
+#: Chances that a pair of exactly the least cosine meets, and that its count suffices.
+MET, COUNTED = 0.98, 0.99
+#: Whole numbers to one in vectors and lines; sums of their products stay below 2 ** 53.
+VECTOR_SCALE, LINE_SCALE = 1 << 20, 1 << 12
 BUCKET_ROWS = 1000
 PAIRS_AT_ONCE = 100_000
 
@@ -51,35 +57,40 @@ class Plan:
     cells: int
     tables: int
     width: float
+    least: int
 
     def lines(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        """Directions [table, line, dim] and cell offsets [table, line]."""
+        """Directions (those of each table's cells and its sorted line, then those counted on) and cell offsets [table, cell]."""
         rng = np.random.default_rng((SEED, dim))
-        return rng.standard_normal((self.tables, self.cells + 1, dim)), rng.random((self.tables, self.cells + 1))
+        many = self.tables * (self.cells + 1) + LINES
+        return np.rint(rng.standard_normal((many, dim)) * LINE_SCALE), rng.random((self.tables, self.cells))
 
-    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket key and window place of each row of ``x`` in each table."""
+    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row of ``x`` the bucket key and the place in each table, and the places on the lines that are counted on."""
         lines, offsets = self.lines(x.shape[1])
-        at = np.einsum("nd,tld->ntl", x, lines)
-        cells = np.floor(at[:, :, :-1] / CELL + offsets[:, :-1]).astype(np.int64).view(np.uint64)
+        at = (np.rint(x * VECTOR_SCALE) @ lines.T) / (VECTOR_SCALE * LINE_SCALE)
+        met = at[:, : -LINES].reshape(len(x), self.tables, self.cells + 1)
+        cells = np.floor(met[:, :, :-1] / CELL + offsets).astype(np.int64).view(np.uint64)
         key = mixed(np.arange(self.tables, dtype=np.uint64) + np.uint64(x.shape[1] << 32)) + np.zeros((len(x), 1), np.uint64)
         for line in range(self.cells):
             key = mixed(key ^ cells[:, :, line])
-        return key.view(np.int64), at[:, :, -1]
+        return key.view(np.int64), met[:, :, -1], at[:, -LINES:]
 
 
 def plan(n: int, least_cosine: float = LEAST_COSINE) -> Plan:
-    """Cells, tables and window for ``n`` vectors."""
+    """Cells, tables, window and count for ``n`` vectors."""
     spread = math.sqrt(2 - 2 * least_cosine)  # the standard deviation of the difference of two projections
     width = 2 * spread
     apart = CELL / (math.sqrt(2 * math.pi) * math.sqrt(2))  # about the chance that unrelated vectors share a cell
     cells = max(1, round(math.log(max(n, 1) / WINDOW_ROWS) / -math.log(apart))) if n > WINDOW_ROWS else 1
     share = math.erf(CELL / spread / math.sqrt(2)) - spread / CELL * math.sqrt(2 / math.pi) * (1 - math.exp(-((CELL / spread) ** 2) / 2))
-    p = share**cells * math.erf(width / spread / math.sqrt(2))
-    tables = LEAST
-    while sum(math.comb(tables, k) * p**k * (1 - p) ** (tables - k) for k in range(LEAST)) > 1 - RECALL:
-        tables += 1
-    return Plan(cells, tables, width)
+    collide = math.erf(width / spread / math.sqrt(2))
+    tables = math.ceil(math.log(1 - MET) / math.log(1 - share**cells * collide))
+    least, chance = LINES, collide**LINES
+    while chance < COUNTED:
+        least -= 1
+        chance += math.comb(LINES, least) * collide**least * (1 - collide) ** (LINES - least)
+    return Plan(cells, tables, width, least)
 
 
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -109,33 +120,33 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def bucket_rows(reps: DataFrame, p: Plan) -> DataFrame:
-    """(class, key) for each class and table; ``reps`` has a row a class."""
+    """(class, key, at: the table) for each class and table; ``reps`` has a row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = unit_rows(batch["embedding"]), batch["class"].to_pylist()
             for dim in {len(x) for x in rows}:
                 own = [i for i, x in enumerate(rows) if len(x) == dim]
-                keys, _ = p.project(np.array([rows[i] for i in own]))
+                keys, _, _ = p.project(np.array([rows[i] for i in own]))
                 who = np.repeat(np.array([ids[i] for i in own], np.int64), p.tables)
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys.ravel())], ["class", "key"])
+                table = np.tile(np.arange(p.tables, dtype=np.int32), len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys.ravel()), pa.array(table)], ["class", "key", "at"])
 
-    return reps.select("class", "embedding").mapInArrow(run, "class long, key long")
+    return reps.select("class", "embedding").mapInArrow(run, "class long, key long, at int")
 
 
 def tile_links(p: Plan, least_cosine: float):
-    """Kernel over rows (key, low, high, own, node, copies, embedding) sorted by tile: (u, v, n).
+    """Kernel over rows (at, key, low, high, own, node, copies, embedding) sorted by tile: (u, v, n).
 
     A row with n says that u has n linked rows; one with v is a link of the forest.
     """
 
-    def tile(key: int, low: int, high: int, rows: list[tuple]) -> tuple[list, list, list]:
+    def tile(table: int, _: int, low: int, high: int, rows: list[tuple]) -> tuple[list, list, list]:
         x = np.array([r[3] for r in rows])
         own, node, copies = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        keys, places = p.project(x)
-        table = int(np.flatnonzero((keys == key).all(0))[0])
+        keys, places, counted = p.project(x)
         order = np.argsort(places[:, table], kind="stable")
-        x, own, node, copies, keys, places = (a[order] for a in (x, own, node, copies, keys, places))
+        x, own, node, copies, keys, places, counted = (a[order] for a in (x, own, node, copies, keys, places, counted))
         at = places[:, table]
         last = np.searchsorted(at, at + p.width, "right")
         found = np.zeros(len(rows), np.int64)
@@ -151,9 +162,10 @@ def tile_links(p: Plan, least_cosine: float):
             if low != high:
                 across = own[i] != own[j]
                 i, j = i[across], j[across]
-            hits = (keys[i] == keys[j]) & (np.abs(places[i] - places[j]) <= p.width)
-            chosen = (hits.sum(1) >= LEAST) & (hits.argmax(1) == table)
+            chosen = (np.abs(counted[i] - counted[j]) <= p.width).sum(1) >= p.least
             i, j = i[chosen], j[chosen]
+            here = ((keys[i] == keys[j]) & (np.abs(places[i] - places[j]) <= p.width)).argmax(1) == table
+            i, j = i[here], j[here]
             true = np.einsum("nd,nd->n", x[i], x[j]) >= least_cosine
             i, j = i[true], j[true]
             np.add.at(found, i, copies[j])
@@ -175,10 +187,10 @@ def tile_links(p: Plan, least_cosine: float):
 
         for batch in batches:
             unit = unit_rows(batch["embedding"])
-            for x, key, low, high, own, node, copies in zip(unit, *(batch[c].to_pylist() for c in ("key", "low", "high", "own", "node", "copies")), strict=True):
-                if (key, low, high) != now:
+            for x, key, low, high, own, node, copies, at in zip(unit, *(batch[c].to_pylist() for c in ("key", "low", "high", "own", "node", "copies", "at")), strict=True):
+                if (at, key, low, high) != now:
                     yield from out()
-                    now = (key, low, high)
+                    now = (at, key, low, high)
                 rows.append((own, node, copies, x))
         yield from out()
 
@@ -201,13 +213,13 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = LEAST_COSINE) -> D
     keyed = staged(bucket_rows(reps, p), "vector-keys")
     sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / BUCKET_ROWS)), "bucket-sizes")
     # a row of part a of a bucket visits the tiles (a, j) and (j, a) for each other part j, and (a, a)
-    placed = look_up(keyed, sizes, "key", "_n").where("parts IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("class"), "parts"))
+    placed = keyed.join(sizes.select("key", "parts"), "key").withColumn("own", F.pmod(F.xxhash64("class"), "parts"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = placed.select("class", F.struct("key", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own").alias("tile"))
+    tiles = placed.select("class", F.struct("at", "key", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own").alias("tile"))
     by_class = tiles.groupBy("class").agg(F.collect_list("tile").alias("tiles"))
     met = reps.join(by_class, "class").select(F.explode("tiles").alias("t"), F.col("class").alias("node"), "copies", "embedding")
-    met = met.select("t.key", "t.low", "t.high", "t.own", "node", "copies", "embedding")
-    dealt = met.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    met = met.select("t.at", "t.key", "t.low", "t.high", "t.own", "node", "copies", "embedding")
+    dealt = met.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("at", "key", "low", "high", "node")
     found = staged(dealt.mapInArrow(tile_links(p, least_cosine), "u long, v long, n long"), "vector-links")
     counts = staged(found.where("n IS NOT NULL").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("links")), "link-counts")
     # classes that share a vec_id are one component

@@ -211,8 +211,13 @@ def test_plan_reaches_its_recall():
         b -= (a * b).sum(1)[:, None] * a
         b /= np.linalg.norm(b, axis=1)[:, None]
         b = 0.95 * a + math.sqrt(1 - 0.95**2) * b
-        (ka, pa), (kb, pb) = p.project(a), p.project(b)
-        assert (((ka == kb) & (abs(pa - pb) <= p.width)).sum(1) >= vectors.LEAST).mean() >= 0.93
+        (ka, pa, la), (kb, pb, lb) = p.project(a), p.project(b)
+        met = ((ka == kb) & (abs(pa - pb) <= p.width)).any(1)
+        counted = (abs(la - lb) <= p.width).sum(1) >= p.least
+        assert (met & counted).mean() >= 0.93 and counted.mean() >= 0.97
+        far = (abs(la - la[::-1]) <= p.width).sum(1) >= p.least  # unrelated pairs
+        assert far.mean() < 0.02
+        assert all((np.concatenate([x, y]) == z).all() for x, y, z in zip(p.project(a[:7]), p.project(a[7:]), p.project(a), strict=True))
 
 
 def fill_truth(sizes: list[int]) -> list[float]:
