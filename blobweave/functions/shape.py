@@ -1,4 +1,4 @@
-"""Features that are sums, extremes and closed forms over runs, links and windows."""
+"""Features that are sums, extremes and closed forms over runs."""
 
 from __future__ import annotations
 
@@ -15,13 +15,15 @@ def _n(c: str) -> Column:
     return F.col(c).cast("decimal(20,0)")
 
 
-def region_base(regions: DataFrame, links: DataFrame) -> DataFrame:
-    """Exact integer sums of each region: area, first to third moments about its box corner, box, runs, links.
+def region_base(regions: DataFrame) -> DataFrame:
+    """Exact integer sums of each region: area, first to third moments about the middle of its box (o_r, o_c), box, runs.
 
-    Third moments stay within 38 digits for boxes of 10,000 by 10,000 pixels.
+    Third moments stay within 38 digits for boxes of 20,000 by 20,000 pixels.
     """
     box = regions.groupBy(*KEY).agg(F.min("r").alias("r1"), F.min("c0").alias("c1"), F.max("r").alias("r2"), F.max("c1").alias("c2"))
-    near = regions.join(box.select(*KEY, F.col("r1").alias("_r"), F.col("c1").alias("_c")), KEY)
+    middle = {"o_r": F.expr("(CAST(r1 AS LONG) + r2) div 2"), "o_c": F.expr("(CAST(c1 AS LONG) + c2) div 2")}
+    box = box.withColumns(middle)
+    near = regions.join(box.select(*KEY, F.col("o_r").alias("_r"), F.col("o_c").alias("_c")), KEY)
     y, a, b = (F.col("r") - F.col("_r")).cast("long"), (F.col("c0") - F.col("_c")).cast("long"), (F.col("c1") - F.col("_c")).cast("long")
     n = b - a + 1
     x1 = (a + b) * n  # twice the sum of columns
@@ -40,8 +42,7 @@ def region_base(regions: DataFrame, links: DataFrame) -> DataFrame:
         total(y * y * n, "s_rr"), total(F.col("x2"), "s_cc"), total(y * F.col("x1"), "s_rc"),
         total(y * y * y * n, "s_rrr"), total(y * y * F.col("x1"), "s_rrc"), total(y * F.col("x2"), "s_rcc"), total(F.col("x3"), "s_ccc"),
     )
-    counted = links.groupBy(*KEY).agg(F.count("*").alias("links"))
-    return sums.join(box, KEY).join(counted, KEY, "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return sums.join(box, KEY)
 
 
 def _over(numerator: Column, *areas: Column) -> Column:
@@ -55,10 +56,10 @@ def moments(base: DataFrame) -> DataFrame:
     """Adds centre (row, col), origin moments, central moments by area, and the ellipse."""
     a, sr, sc = _n("area"), _n("s_r"), _n("s_c")
     area = F.col("area").cast("double")
-    r1, c1 = _n("r1"), _n("c1")
+    r1, c1 = _n("o_r"), _n("o_c")
     out = base.withColumns({
-        "row": F.col("r1") + F.col("s_r").cast("double") / area,
-        "col": F.col("c1") + F.col("s_c").cast("double") / area,
+        "row": F.col("o_r") + F.col("s_r").cast("double") / area,
+        "col": F.col("o_c") + F.col("s_c").cast("double") / area,
         "m_rr_origin": (F.col("s_rr") + 2 * r1 * sr + r1 * r1 * a).cast(SUM),
         "m_cc_origin": (F.col("s_cc") + 2 * c1 * sc + c1 * c1 * a).cast(SUM),
         "m_rc_origin": (F.col("s_rc") + r1 * sc + c1 * sr + r1 * c1 * a).cast(SUM),
@@ -95,16 +96,17 @@ def farthest(regions: DataFrame, m: DataFrame) -> DataFrame:
     It is an end of a run.  Distances are compared exactly, scaled by the area.
     """
     ends = regions.select(*KEY, "r", F.explode(F.array("c0", "c1")).alias("c"))
-    met = ends.join(m.select(*KEY, "area", "s_r", "s_c", "r1", "c1"), KEY)
-    dr = _n("area") * (F.col("r") - F.col("r1")).cast("decimal(10,0)") - F.col("s_r")
-    dc = _n("area") * (F.col("c") - F.col("c1")).cast("decimal(10,0)") - F.col("s_c")
+    met = ends.join(m.select(*KEY, "area", "s_r", "s_c", "o_r", "o_c"), KEY)
+    dr = _n("area") * (F.col("r") - F.col("o_r")).cast("decimal(10,0)") - F.col("s_r")
+    dc = _n("area") * (F.col("c") - F.col("o_c")).cast("decimal(10,0)") - F.col("s_c")
     d2 = (dr.cast("decimal(19,0)") * dr.cast("decimal(19,0)") + dc.cast("decimal(19,0)") * dc.cast("decimal(19,0)")).cast(SUM)
     top = F.max_by(F.struct("r", "c"), F.struct("_d2", -F.col("r"), -F.col("c"))).alias("_p")
     best = met.withColumn("_d2", d2).groupBy(*KEY, "area").agg(top, F.max("_d2").alias("_d2"))
     return best.select(*KEY, F.col("_p.r").alias("far_r"), F.col("_p.c").alias("far_c"), (F.sqrt(F.col("_d2").cast("double")) / F.col("area")).alias("max_distance"))
 
 
-def circularity(m: DataFrame) -> Column:
+def circularity() -> Column:
+    """Area over that of the disc to the farthest pixel; needs area and max_distance."""
     disc = F.pi() * F.col("max_distance") * F.col("max_distance")
     return F.when(F.col("max_distance") > 0, F.least(F.lit(1.0), F.col("area") / disc))
 
@@ -116,39 +118,6 @@ def orientation() -> Column:
     return F.when(along < -1e-9, turned).otherwise(F.col("phi"))
 
 
-#: A window's steps of the outer contour by its mask: straight, diagonal, or two diagonal ones (pixels at opposite corners).
-STRAIGHT, BENT, CROSSED = (3, 12, 5, 10), (7, 11, 13, 14), (6, 9)
-
-
-def contour_length(quads: DataFrame) -> DataFrame:
-    counts = [F.count(F.when(F.col("mask").isin(*masks), 1)).alias(name) for name, masks in (("n1", STRAIGHT), ("n2", BENT), ("n3", CROSSED))]
-    got = quads.groupBy(*KEY).agg(*counts)
-    return got.select(*KEY, (F.col("n1") + (F.col("n2") + 2 * F.col("n3")) * math.sqrt(2)).alias("contlength"))
-
-
-def contour_points(quads: DataFrame) -> DataFrame:
-    """(key, r, c, w): ends of contour steps with their weight, half a step each."""
-    # the ends of the step in a window, as bits of its mask
-    ends = F.when(F.col("mask").isin(*STRAIGHT, *CROSSED), F.col("mask")).when(F.col("mask").isin(7, 14), 6).when(F.col("mask").isin(11, 13), 9)
-    weight = F.when(F.col("mask").isin(*CROSSED), 1.0).otherwise(0.5)
-    steps = quads.select(*KEY, "wr", "wc", ends.alias("ends"), weight.alias("w")).where("ends IS NOT NULL")
-    corner = F.explode(F.array(*[F.struct(F.lit(1 << (2 * i + j)).alias("bit"), (F.col("wr") + i).alias("r"), (F.col("wc") + j).alias("c")) for i in (0, 1) for j in (0, 1)])).alias("p")
-    return steps.select(*KEY, "ends", "w", corner).where("ends & p.bit <> 0").select(*KEY, F.col("p.r").alias("r"), F.col("p.c").alias("c"), "w")
-
-
-def roundness(quads: DataFrame, m: DataFrame) -> DataFrame:
-    """(key, distance, sigma, roundness, sides); nulls for a region without contour steps."""
-    d = F.sqrt(F.pow(F.col("r") - F.col("row"), F.lit(2.0)) + F.pow(F.col("c") - F.col("col"), F.lit(2.0)))
-    points = contour_points(quads).join(m.select(*KEY, "row", "col"), KEY).withColumn("d", d)
-    mean = points.groupBy(*KEY).agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("distance"))
-    off = F.pow(F.col("d") - F.col("distance"), F.lit(2.0)) * F.col("w")
-    spread = points.join(mean, KEY).groupBy(*KEY, "distance").agg(F.sqrt(F.sum(off) / F.sum("w")).alias("sigma"))
-    spread = spread.withColumn("sigma", F.when(F.col("sigma") <= 1e-9 * F.col("distance"), 0.0).otherwise(F.col("sigma")))
-    share = F.when(F.col("distance") > 0, F.col("sigma") / F.col("distance"))
-    sides = F.when(F.col("sigma") > 0, 1.4111 * F.pow(F.col("distance") / F.col("sigma"), F.lit(0.4724)))
-    return spread.select(*KEY, "distance", "sigma", (1 - share).alias("roundness"), sides.alias("sides"))
-
-
 def invariants(m: DataFrame) -> DataFrame:
     """Adds h1..h7, Hu's invariants, and ``hu``, the vector of them."""
     a, sr, sc = _n("area"), F.col("s_r"), F.col("s_c")

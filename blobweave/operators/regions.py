@@ -1,4 +1,4 @@
-"""From pixels to regions: runs, 8-connected components, run links, filling, 2x2 windows.
+"""From pixels to regions: runs, 8-connected components, run links, filling.
 
 A region is kept as its runs ``(image_id, region_id, run_id, r, c0, c1)``, last
 column included; its number is that of its top-left run.  Components are found by
@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BAND_ROWS = 4096
+#: Rows of results that a kernel gathers before it passes them on.
+ROWS_OUT = 5000
 RUNS = "image_id long, region_id long, run_id long, r int, c0 int, c1 int"
 
 
@@ -42,23 +44,23 @@ def touching(r: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int) -> tuple
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that links (a, b) reach from each of ``n`` indices."""
-    parent = list(range(n))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    for i in range(n):
-        parent[i] = parent[parent[i]]
-    return np.array(parent, np.int64)
+    """The smallest index that links (a, b) reach from each of ``n`` indices.
+
+    Each round hangs the roots of all links on the smaller one and shortens the ways; rounds grow with the logarithm of the longest way.
+    """
+    parent = np.arange(n)
+    while len(a):
+        x, y = parent[a], parent[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return parent
 
 
 def _label_band(table: pa.Table) -> pa.Table:
+    """The runs of a band of an image with the first run of their component within it."""
     table = table.sort_by([("r", "ascending"), ("c0", "ascending")])
     r, c0, c1 = (table[c].to_numpy().astype(np.int64) for c in ("r", "c0", "c1"))
     top = joined(len(r), *touching(r, c0, c1, 1))
@@ -72,8 +74,10 @@ def _join_labels(table: pa.Table) -> pa.Table:
     return pa.table({"image_id": image, "label": pa.array(ids), "region_id": pa.array(ids[top])})
 
 
-def regions_of(runs: DataFrame, *, band_rows: int = BAND_ROWS) -> DataFrame:
-    """``runs`` with the ``region_id`` of their 8-connected component (RUNS)."""
+def regions_of(runs: DataFrame, *, band_rows: int = BAND_ROWS, height: int | None = None) -> DataFrame:
+    """``runs`` with the ``region_id`` of their 8-connected component (RUNS); no seams are looked for in images of at most ``height`` rows, from 0 on, if that is a band."""
+    if height is not None and height <= band_rows:
+        return runs.groupBy("image_id").applyInArrow(_label_band, RUNS.replace("region_id", "label")).withColumnRenamed("label", "region_id")
     banded = runs.withColumn("band", F.floor(F.col("r") / band_rows))
     # read three times, and costly to make
     labelled = banded.groupBy("image_id", "band").applyInArrow(_label_band, RUNS.replace("region_id", "label")).persist()
@@ -103,14 +107,15 @@ def by_region(rows: DataFrame, columns: list[str], kernel, schema: str) -> DataF
     fields = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, done = None, [], []
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(least: int) -> Iterator[pa.RecordBatch]:
             if held:
-                found = [(*now, *row) for row in kernel(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                done.extend((*now, *row) for row in kernel(*(np.concatenate(x) for x in zip(*held, strict=True))))
                 held.clear()
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), fields.types, strict=True)], schema=fields)
+            if len(done) > least:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), fields.types, strict=True)], schema=fields)
+                done.clear()
 
         for batch in batches:
             image, region = (batch[c].to_numpy(zero_copy_only=False) for c in ("image_id", "region_id"))
@@ -120,10 +125,10 @@ def by_region(rows: DataFrame, columns: list[str], kernel, schema: str) -> DataF
                 if j > i:
                     key = (int(image[i]), int(region[i]))
                     if key != now:
-                        yield from out()
+                        yield from out(ROWS_OUT)
                         now = key
                     held.append([v[i:j] for v in values])
-        yield from out()
+        yield from out(0)
 
     keys = ["image_id", "region_id"]
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, schema)
@@ -165,11 +170,3 @@ def fill_up(regions: DataFrame) -> DataFrame:
         return list(zip(*(x.tolist() for x in filled(r, c0, c1)), strict=True))
 
     return by_region(regions, ["r", "c0", "c1"], kernel, "image_id long, region_id long, r int, c0 int, c1 int")
-
-
-def quads_of(filled_runs: DataFrame) -> DataFrame:
-    """(image_id, region_id, wr, wc, mask): 2x2 windows that hold pixels; bits 1, 2 in the upper row, 4, 8 in the lower."""
-    pixels = filled_runs.select("image_id", "region_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    corner = F.explode(F.array(*[F.struct((F.col("r") - i).alias("wr"), (F.col("c") - j).alias("wc"), F.lit(1 << (2 * i + j)).alias("bit")) for i in (0, 1) for j in (0, 1)])).alias("q")
-    bits = pixels.select("image_id", "region_id", corner).select("image_id", "region_id", "q.*")
-    return bits.groupBy("image_id", "region_id", "wr", "wc").agg(F.sum("bit").cast("int").alias("mask"))

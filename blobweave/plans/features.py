@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import shape
 from ..functions.geometry import geometry
 from ..functions.shape import KEY
-from ..operators.regions import fill_up, links_of, quads_of, regions_of, runs_of
+from ..operators.regions import links_of, regions_of, runs_of
 
 #: Every feature that profiles and selections may name, in the order of the feature vector.
 FEATURES = [
@@ -24,23 +24,56 @@ FEATURES = [
 ]
 
 
+#: Features that need more than the sums: the families of figures of each, and whether the farthest pixel.
+NEEDS: dict[str, list[str]] = {
+    "area_holes": ["fill"], "contlength": ["contour"], "diameter": ["diameter"], "compactness": ["contour"], "convexity": ["hull"], "rectangularity": ["rect2"],
+    "distance": ["roundness"], "sigma": ["roundness"], "roundness": ["roundness"], "sides": ["roundness"],
+    "rect2_row": ["rect2"], "rect2_col": ["rect2"], "rect2_phi": ["rect2"], "rect2_long": ["rect2"], "rect2_short": ["rect2"],
+    "circle_row": ["circle"], "circle_col": ["circle"], "circle_radius": ["circle"], "inner_row": ["inner_circle"], "inner_col": ["inner_circle"], "inner_radius": ["inner_circle"],
+    "inner_r1": ["inner_rect"], "inner_c1": ["inner_rect"], "inner_r2": ["inner_rect"], "inner_c2": ["inner_rect"],
+    "aspect_ratio": ["rect2"], "fill_ratio": ["rect2"], "in_out_ratio": ["inner_circle", "circle"],
+    "holes": ["links"], "euler": ["links"], "contlength_by_diameter": ["contour", "diameter"],
+}
+FAR = ("circularity", "orientation")
+SUMMED = ("ra", "rb", "phi", "anisometry", "bulkiness", "structure_factor", "row", "col", *(f"m_{k}_origin" for k in ("rr", "cc", "rc")), *(f"mu_{k}" for k in ("rr", "cc", "rc")), "ia", "ib", *(f"h{i}" for i in range(1, 8)), "hu", *FAR)
+
+
 @dataclass
 class Images:
     """The stages from pixels to features; a stage that no result needs is not planned.
 
-    Regions and filled regions are kept (in memory or on disk), as many features read them.
+    ``width`` exceeds every column.  ``height``, if told, is at least the number of rows, counted
+    from 0; images of one band then need no seams.  Regions are kept (in memory or on
+    disk) where several parts read them; ``release`` lets go of them.
     """
 
     pixels: DataFrame
     width: int
+    height: int | None = None
+    _kept: list[DataFrame] = field(default_factory=list)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return self._kept[-1]
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+        for part in ("regions", "moments"):
+            self.__dict__.pop(part, None)
 
     @cached_property
     def runs(self) -> DataFrame:
         return runs_of(self.pixels, self.width)
 
+    @cached_property
+    def once(self) -> DataFrame:
+        """The regions, for a result that reads them once."""
+        return regions_of(self.runs, height=self.height)
+
     @cached_property
     def regions(self) -> DataFrame:
-        return regions_of(self.runs).persist()
+        return self._keep(self.once)
 
     @cached_property
     def links(self) -> DataFrame:
@@ -48,43 +81,35 @@ class Images:
 
     @cached_property
     def base(self) -> DataFrame:
-        return shape.region_base(self.regions, self.links)
+        return shape.region_base(self.regions)
 
     @cached_property
     def moments(self) -> DataFrame:
-        return shape.moments(self.base).persist()
-
-    @cached_property
-    def quads(self) -> DataFrame:
-        return quads_of(fill_up(self.regions)).persist()
-
-    @cached_property
-    def geometry(self) -> DataFrame:
-        return geometry(self.regions)
+        return self._keep(shape.moments(self.base))
 
     @cached_property
     def far(self) -> DataFrame:
         return shape.farthest(self.regions, self.moments)
 
-    @cached_property
-    def contour(self) -> DataFrame:
-        return shape.contour_length(self.quads)
-
-    @cached_property
-    def roundness(self) -> DataFrame:
-        return shape.roundness(self.quads, self.moments)
-
-    @cached_property
-    def features(self) -> DataFrame:
-        """image_id, region_id, FEATURES and the vector ``hu``, a row per region."""
-        wide = shape.eccentricity(shape.invariants(self.moments))
-        for part in (self.far, self.contour, self.geometry):
-            wide = wide.join(part, KEY)
-        wide = wide.join(self.roundness, KEY, "left")
+    def figures(self, *families: str) -> DataFrame:
+        """The columns of ``families`` alone."""
+        return geometry(self.once, list(families))
+
+    def wanted(self, names: list[str]) -> DataFrame:
+        """image_id, region_id and the features ``names``, a row per region; only what they need is planned."""
+        if unknown := [n for n in names if n not in FEATURES and n != "hu"]:
+            raise ValueError(f"no such feature: {', '.join(unknown)}")
+        names = list(dict.fromkeys(names))
+        families = list(dict.fromkeys(f for n in names for f in NEEDS.get(n, [])))
+        wide = self.base if not any(n in SUMMED for n in names) else shape.eccentricity(shape.invariants(self.moments))
+        if any(n in FAR for n in names):
+            wide = wide.join(self.far, KEY)
+        if families:
+            wide = wide.join(geometry(self.regions, families), KEY)
         rect_area = 4 * F.col("rect2_long") * F.col("rect2_short")
-        wide = wide.withColumns({
+        made = {
             "area_holes": F.col("filled_area") - F.col("area"),
-            "circularity": shape.circularity(wide),
+            "circularity": shape.circularity(),
             "compactness": F.col("contlength") * F.col("contlength") / (4 * F.pi() * F.col("area")),
             "convexity": F.col("area") / F.col("hull_area"),
             "rectangularity": F.col("area") / rect_area,
@@ -97,11 +122,16 @@ class Images:
             "holes": 1 - F.col("runs") + F.col("links"),
             "k_factor": F.col("runs") / F.sqrt("area"),
             "contlength_by_diameter": F.try_divide("contlength", "diameter"),
-        })
-        return wide.select(*KEY, *FEATURES, "hu")
+        }
+        return wide.select(*KEY, *[made[n].alias(n) if n in made else F.col(n) for n in names])
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """image_id, region_id, FEATURES and the vector ``hu``, a row per region."""
+        return self.wanted([*FEATURES, "hu"])
 
 
-def image_topology(base: DataFrame) -> DataFrame:
-    """components, holes and euler of each image."""
-    out = base.groupBy("image_id").agg(F.count("*").alias("components"), F.sum(F.col("runs") - F.col("links")).alias("euler"))
+def image_topology(regions: DataFrame) -> DataFrame:
+    """components, holes and euler of each image, from the euler number of its regions."""
+    out = regions.groupBy("image_id").agg(F.count("*").alias("components"), F.sum("euler").alias("euler"))
     return out.withColumn("holes", F.col("components") - F.col("euler"))

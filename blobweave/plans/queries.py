@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shape
+from ..functions.geometry import geometry
 from ..functions.shape import KEY
 from ..operators.choose import defect_codes, rule_rows, scores, select_shape
 from ..operators.regions import fill_up, runs_of
-from ..sources.rasters import EMB_WIDTH, LI_WIDTH, emb_pixels, li_pixels
+from ..sources.rasters import EMB_HEIGHT, EMB_WIDTH, LI_HEIGHT, LI_WIDTH, emb_pixels, li_pixels
 from ..sources.tables import PROFILE, parse_profile
 from .features import Images, image_topology
 
@@ -52,25 +53,28 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def emb(spark: SparkSession, sf_dir: str) -> Images:
-    return Images(emb_pixels(spark, sf_dir), EMB_WIDTH)
-
-
-def _take(part: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Columns of one stage of the embedding images, with the region's key."""
-    return lambda spark, sf_dir: rounded(getattr(emb(spark, sf_dir), part).select(*KEY, *columns))
+    return Images(emb_pixels(spark, sf_dir), EMB_WIDTH, EMB_HEIGHT)
 
 
 def _of(make: Callable[[Images], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(make(emb(spark, sf_dir)))
 
 
+def _features(*names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Features of the regions of the embedding images, with the region's key."""
+    return _of(lambda im: im.wanted(list(names)))
+
+
+def _figures(family: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _of(lambda im: im.figures(family))
+
+
 def _orientation(im: Images) -> DataFrame:
     return im.moments.join(im.far, KEY).select(*KEY, shape.orientation().alias("orientation"), "far_r", "far_c")
 
 
 def _circularity(im: Images) -> DataFrame:
-    met = im.moments.join(im.far, KEY)
-    return met.select(*KEY, "max_distance", shape.circularity(met).alias("circularity"))
+    return im.moments.join(im.far, KEY).select(*KEY, "max_distance", shape.circularity().alias("circularity"))
 
 
 def _area_holes(im: Images) -> DataFrame:
@@ -78,31 +82,28 @@ def _area_holes(im: Images) -> DataFrame:
     return im.base.join(full, KEY).select(*KEY, "filled_area", (F.col("filled_area") - F.col("area")).alias("area_holes"))
 
 
-def _compactness(im: Images) -> DataFrame:
-    return im.base.join(im.contour, KEY).select(*KEY, (F.col("contlength") * F.col("contlength") / (4 * F.pi() * F.col("area"))).alias("compactness"))
-
-
-def _rectangularity(im: Images) -> DataFrame:
-    met = im.base.select(*KEY, "area").join(im.geometry, KEY)
-    fill = F.col("area") / (4 * F.col("rect2_long") * F.col("rect2_short"))
-    return met.select(*KEY, fill.alias("rectangularity"), F.try_divide("rect2_long", "rect2_short").alias("aspect_ratio"), fill.alias("fill_ratio"))
+def _convexity(im: Images) -> DataFrame:
+    met = im.base.select(*KEY, "area").join(geometry(im.regions, ["hull"]), KEY)
+    return met.select(*KEY, "hull_area", (F.col("area") / F.col("hull_area")).alias("convexity"))
 
 
 def _select(how: str) -> Callable[[Images], DataFrame]:
     def make(im: Images) -> DataFrame:
-        f = shape.eccentricity(im.moments).withColumn("holes", 1 - F.col("runs") + F.col("links"))
-        return select_shape(f, ["area", "anisometry", "holes"], [10, 1.5, 1], [100, INF, INF], how).select(*KEY, "area", "anisometry", "holes")
+        return select_shape(im.wanted(["area", "anisometry", "holes"]), ["area", "anisometry", "holes"], [10, 1.5, 1], [100, INF, INF], how)
 
     return make
 
 
 def _scores(im: Images) -> DataFrame:
-    profile = im.pixels.sparkSession.createDataFrame(parse_profile(PROFILE_INI), PROFILE)
-    return scores(im.features, profile)
+    told = parse_profile(PROFILE_INI)
+    return scores(im.wanted([row[1] for row in told]), im.pixels.sparkSession.createDataFrame(told, PROFILE))
+
 
+def _codes(rules: list) -> Callable[[Images], DataFrame]:
+    def make(im: Images) -> DataFrame:
+        return defect_codes(im.wanted([f for _, _, conditions in rules for f, _, _ in conditions]), rule_rows(im.pixels.sparkSession, rules))
 
-def _codes(im: Images) -> DataFrame:
-    return defect_codes(im.features, rule_rows(im.pixels.sparkSession, RULES))
+    return make
 
 
 def _li_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,44 +111,58 @@ def _li_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _li_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    im = Images(li_pixels(spark, sf_dir), LI_WIDTH)
-    return rounded(im.regions.groupBy(*KEY).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.count("*").alias("runs")))
+    im = Images(li_pixels(spark, sf_dir), LI_WIDTH, LI_HEIGHT)
+    return rounded(im.once.groupBy(*KEY).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.count("*").alias("runs")))
 
 
+#: Rules that name every feature of the three processes.
+PROCESS_RULES = [
+    ("coater", "pinhole", [("circularity", 0.7, 1), ("area", 1, 4)]),
+    ("coater", "uncoated", [("area", 60, INF)]),
+    ("coater", "tear", [("convexity", 0, 0.6)]),
+    ("coater", "bubbles", [("holes", 1, INF), ("euler", -INF, 0)]),
+    ("roll_press", "wrinkle", [("anisometry", 3, INF), ("orientation", -1, 1)]),
+    ("roll_press", "crack", [("anisometry", 4, INF)]),
+    ("roll_press", "pressed_in", [("rectangularity", 0.9, 1)]),
+    ("slitter", "burr", [("roundness", 0, 0.5), ("sides", 0, 3)]),
+    ("slitter", "bad_cut", [("contlength_by_diameter", 2.5, INF)]),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_runs": _of(lambda im: im.runs),
     "q02_links": _of(lambda im: im.links),
-    "q03_regions": _of(lambda im: im.regions.select(*KEY, "run_id")),
-    "q04_area_center": _take("moments", "area", "row", "col"),
-    "q05_bbox": _take("base", "r1", "c1", "r2", "c2"),
-    "q06_moments": _take("moments", "m_rr_origin", "m_cc_origin", "m_rc_origin"),
-    "q07_central": _take("moments", "mu_rr", "mu_cc", "mu_rc"),
-    "q08_inertia": _take("moments", "ia", "ib"),
-    "q09_elliptic_axis": _take("moments", "ra", "rb", "phi"),
-    "q10_eccentricity": _of(lambda im: shape.eccentricity(im.moments).select(*KEY, "anisometry", "bulkiness", "structure_factor")),
+    "q03_regions": _of(lambda im: im.once.select(*KEY, "run_id")),
+    "q04_area_center": _features("area", "row", "col"),
+    "q05_bbox": _features("r1", "c1", "r2", "c2"),
+    "q06_moments": _features("m_rr_origin", "m_cc_origin", "m_rc_origin"),
+    "q07_central": _features("mu_rr", "mu_cc", "mu_rc"),
+    "q08_inertia": _features("ia", "ib"),
+    "q09_elliptic_axis": _features("ra", "rb", "phi"),
+    "q10_eccentricity": _features("anisometry", "bulkiness", "structure_factor"),
     "q11_orientation": _of(_orientation),
-    "q12_euler_holes": _of(lambda im: im.base.select(*KEY, (F.col("runs") - F.col("links")).alias("euler"), (1 - F.col("runs") + F.col("links")).alias("holes"))),
-    "q12_image_topology": _of(lambda im: image_topology(im.base)),
-    "q13_runlength": _of(lambda im: im.base.select(*KEY, "runs", (F.col("runs") / F.sqrt("area")).alias("k_factor"))),
+    "q12_euler_holes": _features("euler", "holes"),
+    "q12_image_topology": _of(lambda im: image_topology(im.wanted(["euler"]))),
+    "q13_runlength": _features("runs", "k_factor"),
     "q14_area_holes": _of(_area_holes),
-    "q15_contlength": _take("contour", "contlength"),
-    "q16_compactness": _of(_compactness),
-    "q17_roundness": _take("roundness", "distance", "sigma", "roundness", "sides"),
+    "q15_contlength": _figures("contour"),
+    "q16_compactness": _features("compactness"),
+    "q17_roundness": _of(lambda im: im.figures("roundness").where("distance IS NOT NULL")),
     "q18_circularity": _of(_circularity),
-    "q19_diameter": _take("geometry", "diameter", "diameter_r1", "diameter_c1", "diameter_r2", "diameter_c2"),
-    "q20_convexity": _of(lambda im: im.base.select(*KEY, "area").join(im.geometry, KEY).select(*KEY, "hull_area", (F.col("area") / F.col("hull_area")).alias("convexity"))),
-    "q21_rect2": _take("geometry", "rect2_row", "rect2_col", "rect2_phi", "rect2_long", "rect2_short"),
-    "q22_rectangularity": _of(_rectangularity),
-    "q23_inner_circle": _take("geometry", "inner_row", "inner_col", "inner_radius"),
-    "q24_inner_rectangle": _take("geometry", "inner_r1", "inner_c1", "inner_r2", "inner_c2"),
-    "q25_smallest_circle": _take("geometry", "circle_row", "circle_col", "circle_radius"),
-    "q26_in_out_ratio": _of(lambda im: im.geometry.select(*KEY, F.try_divide("inner_radius", "circle_radius").alias("in_out_ratio"))),
-    "q27_hu": _of(lambda im: shape.invariants(im.moments).select(*KEY, "h1", "h2", "h3", "h4", "h5", "h6", "h7")),
+    "q19_diameter": _figures("diameter"),
+    "q20_convexity": _of(_convexity),
+    "q21_rect2": _figures("rect2"),
+    "q22_rectangularity": _features("rectangularity", "aspect_ratio", "fill_ratio"),
+    "q23_inner_circle": _figures("inner_circle"),
+    "q24_inner_rectangle": _figures("inner_rect"),
+    "q25_smallest_circle": _figures("circle"),
+    "q26_in_out_ratio": _features("in_out_ratio"),
+    "q27_hu": _features("h1", "h2", "h3", "h4", "h5", "h6", "h7"),
     "q28_select_and": _of(_select("and")),
     "q29_select_or": _of(_select("or")),
     "q30_scores": _of(_scores),
-    "q31_defect_codes": _of(_codes),
-    "q32_feature_vectors": _of(lambda im: im.features.drop("hu")),
+    "q31_defect_codes": _of(_codes(RULES)),
+    "q32_feature_vectors": _of(lambda im: im.features.select("*", *[F.col("hu")[i].alias(f"hu_{i + 1}") for i in range(7)]).drop("hu")),
     "q33_li_runs": _li_runs,
     "q34_li_regions": _li_regions,
+    "q35_process_codes": _of(_codes(PROCESS_RULES)),
 }

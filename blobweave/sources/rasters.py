@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Row stride of run numbers; a run's number is row * WIDTH + first column.
 EMB_WIDTH = 64
 LI_WIDTH = 256
+#: Rows of an image.
+EMB_HEIGHT = 64
+LI_HEIGHT = 256
 THRESHOLD = 0.05
 
 

@@ -13,7 +13,16 @@ from ..plans.features import Images
 def stream_features(pixels: DataFrame, width: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Hand the feature vectors of each micro-batch of ``pixels`` (a stream) to ``sink(features, batch_id)``.
 
-    ``sink`` may see a batch again after a failure and should write by batch id.
+    ``sink`` may see a batch again after a failure and should write by batch id.  What it
+    gets can be read until it returns.
     """
-    writer = pixels.writeStream.foreachBatch(lambda batch, n: sink(Images(batch, width).features, n)).option("checkpointLocation", checkpoint)
+
+    def take(batch: DataFrame, n: int) -> None:
+        images = Images(batch, width)
+        try:
+            sink(images.features, n)
+        finally:
+            images.release()
+
+    writer = pixels.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

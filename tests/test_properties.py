@@ -91,13 +91,13 @@ def test_figures_of_a_blob(mask):
     best = min(_circles(corners))
     assert radius == pytest.approx(best)
 
-    padded = G.mask_of(r, c0, c1)
-    back = np.argwhere(~padded)
-    here = np.argwhere(padded)
-    want = ((here[:, None] - back) ** 2).sum(2).min(1)
-    assert (G.squared_distance(padded)[padded] == want).all()
+    back = np.argwhere(~np.pad(mask, 1)) - 1
+    here = G.Pixels(r, c0, c1)
+    assert (np.column_stack([here.r, here.c]) == pixels).all()
+    want = ((pixels[:, None] - back) ** 2).sum(2).min(1)
+    assert (G.squared_distance(here) == want).all()
 
-    r1, k1, r2, k2 = G.inner_rectangle(padded, int(r.min()), int(c0.min()))
+    r1, k1, r2, k2 = G.inner_rectangle(here)
     boxes = [(-(b - a + 1) * (d - c + 1), a, c, b, d) for a in range(12) for b in range(a, 12) for c in range(12) for d in range(c, 12) if mask[a : b + 1, c : d + 1].all()]
     assert (r1, k1, r2, k2) == min(boxes)[1:]
 
