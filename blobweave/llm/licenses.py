@@ -14,6 +14,7 @@ labels and score 0; repeated rows are scanned alike.  Texts are scanned whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import slices_of, texts_of
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_CONFIDENCE = 0.9
+#: Bytes of text that are scanned before results are passed on.
+SLICE_BYTES = 2_000_000
 
 #: Signature families, written by hand: label, keyword, priority, patterns, versions.  {v} stands for each
 #: version in turn ("2 0" is version 2.0, as points separate words); a label gets its version behind a dash.
@@ -71,7 +74,8 @@ FAMILIES = [
     ("bsd-4-clause", "bsd", 70, ["bsd (?:4|four) clause", "original bsd license"], []),
     ("bsd", "bsd", 40, ["bsd (?:style )?licen[cs]ed?", "under the bsd license"], []),
     ("bsd", "redistribution and use", 60, ["redistribution and use in source and binary forms with or without modification are permitted"], []),
-    ("bsd-3-clause", "neither the name", 65, ["neither the name of .{1,120}? may be used to endorse or promote products derived from this software"], []),
+    ("bsd-3-clause", "neither the name", 65, ["neither the names? of (?:the )?(?:copyright holders?|authors?|organization|university|company)"], []),
+    ("bsd-3-clause", "endorse or promote", 65, ["may be used to endorse or promote products derived from this software"], []),
     ("mit", "mit", 60, ["mit licen[cs]ed?", "under the mit license", "the mit license(?: mit)?", "spdx license identifier mit"], []),
     ("mit", "free of charge", 65, ["permission is hereby granted free of charge to any person obtaining a copy of this software"], []),
     ("mit", "as is", 45, ["the software is provided as is without warranty of any kind express or implied"], []),
@@ -109,6 +113,111 @@ FAMILIES = [
     ("permission", "permission", 35, ["(?:used|reprinted|reproduced) (?:with|by) permission", "without (?:the )?(?:prior )?written permission"], []),
     ("terms", "terms of use", 30, ["subject to (?:the|our) terms of use", "terms of use apply"], []),
     ("licensed", "licen", 20, ["licen[cs]ed under (?:the )?(?:terms of )?", "released under (?:the|a) \\w+(?: \\w+)? licen[cs]e", "see (?:the )?licen[cs]e(?: file)? for (?:more )?(?:details|information)"], []),
+    ("bsd", "redistributions", 58, ["redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice"], []),
+    ("bsd-4-clause", "advertising", 68, ["all advertising materials mentioning features or use of this software must display"], []),
+    ("bsd-protection", "bsd protection", 65, ["bsd protection license"], []),
+    ("bsd-patent", "bsd", 66, ["bsd (?:2 clause )?plus patent", "bsd 2 clause patent"], []),
+    ("mit", "above copyright notice", 55, ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"], []),
+    ("mit-0", "mit", 68, ["mit no attribution", "mit 0 licen[cs]e"], []),
+    ("mit-modern", "modern variant", 60, ["mit license modern variant"], []),
+    ("apache", "apache", 55, ["you may not use this file except in compliance with the license", "apache org licenses", "asl 2 0"], []),
+    ("apache", "unless required by", 45, ["unless required by applicable law or agreed to in writing"], []),
+    ("gpl", "gnu", 45, ["gnu gpl", "gnu public license", "gnu copyleft"], []),
+    ("gpl", "free software foundation", 50, ["published by the free software foundation", "as published by the free software foundation either version"], []),
+    ("gpl", "any later version", 40, ["or (?:at your option )?any later version"], []),
+    ("gpl", "without even the implied", 55, ["without even the implied warranty of merchantability or fitness for a particular purpose"], []),
+    ("gpl-classpath", "classpath exception", 88, ["classpath exception", "with the classpath exception"], []),
+    ("gpl-linking", "linking exception", 80, ["(?:static|dynamic) linking exception", "linking exception"], []),
+    ("lgpl", "lgpl", 60, ["gnu lgpl", "under the lgpl"], []),
+    ("agpl", "agpl", 60, ["gnu agpl", "under the agpl"], []),
+    ("sspl", "server side public", 78, ["server side public license(?: version| v)? ?1?", "sspl v?1"], []),
+    ("busl", "business source", 78, ["business source license(?: 1 1)?", "busl 1 1"], []),
+    ("elastic", "elastic license", 75, ["elastic license(?: 2 0)?"], []),
+    ("commons-clause", "commons clause", 75, ["commons clause(?: license condition)?"], []),
+    ("confluent", "confluent community", 70, ["confluent community license"], []),
+    ("polyform", "polyform", 75, ["polyform (?:noncommercial|small business|free trial|internal use|shield|perimeter) license"], []),
+    ("prosperity", "prosperity public", 72, ["prosperity public license"], []),
+    ("parity", "parity public", 72, ["parity public license"], []),
+    ("blueoak", "blue oak", 75, ["blue oak model license"], []),
+    ("hippocratic", "hippocratic", 75, ["hippocratic license"], []),
+    ("json", "good not evil", 75, ["the software shall be used for good not evil"], []),
+    ("beerware", "beer", 70, ["beer ?ware license", "buy me a beer in return"], []),
+    ("catosl", "computer associates", 65, ["computer associates trusted open source license"], []),
+    ("sleepycat", "sleepycat", 68, ["sleepycat (?:public )?license"], []),
+    ("qpl", "q public", 68, ["q public license"], []),
+    ("npl", "netscape public", 68, ["netscape public license"], []),
+    ("nposl", "non profit open software", 70, ["non profit open software license"], []),
+    ("spl", "sun public", 66, ["sun public license"], []),
+    ("sissl", "sun industry standards", 68, ["sun industry standards source license"], []),
+    ("scsl", "sun community source", 66, ["sun community source license"], []),
+    ("apsl", "apple public source", 70, ["apple public source license"], []),
+    ("rpsl", "realnetworks", 68, ["realnetworks public source license"], []),
+    ("nokia", "nokia open source", 66, ["nokia open source license"], []),
+    ("intel", "intel open source", 66, ["intel open source license"], []),
+    ("lucent", "lucent public", 66, ["lucent public license"], []),
+    ("motosoto", "motosoto", 64, ["motosoto open source license"], []),
+    ("naumen", "naumen", 64, ["naumen public license"], []),
+    ("nethack", "nethack", 64, ["nethack general public license"], []),
+    ("oclc", "oclc", 64, ["oclc research public license"], []),
+    ("ogl", "open government licen", 72, ["open government licen[cs]e(?: version| v)? ?[123]?(?: 0)?"], []),
+    ("ogc", "open geospatial", 64, ["open geospatial consortium (?:software )?license"], []),
+    ("oml", "open market", 62, ["open market license"], []),
+    ("ldp", "linux documentation project", 64, ["linux documentation project copying license", "ldp general public license"], []),
+    ("opl", "open publication", 66, ["open publication licen[cs]e", "open content licen[cs]e"], []),
+    ("fal", "free art", 66, ["free art license", "licence art libre"], []),
+    ("dsl", "design science", 64, ["design science license"], []),
+    ("cdla", "community data license", 74, ["community data license agreement (?:permissive|sharing)"], []),
+    ("dl-de", "datenlizenz deutschland", 72, ["datenlizenz deutschland (?:namensnennung|zero)"], []),
+    ("etalab", "licence ouverte", 70, ["licence ouverte(?: open licence)?", "etalab 2 0"], []),
+    ("ckan", "open data license", 55, ["under an open data license", "open data license"], []),
+    ("bigscience", "rail", 74, ["bigscience (?:open ?)?rail", "open ?rail(?: m)? license", "responsible ai license"], []),
+    ("llama", "community license agreement", 70, ["\\w+ community license agreement"], []),
+    ("gust", "latex project public", 70, ["latex project public license", "gust font license"], []),
+    ("bitstream", "bitstream vera", 66, ["bitstream vera (?:fonts )?copyright"], []),
+    ("ubuntu-font", "ubuntu font", 68, ["ubuntu font licen[cs]e"], []),
+    ("arphic", "arphic", 66, ["arphic public license"], []),
+    ("imagemagick", "imagemagick", 62, ["imagemagick license"], []),
+    ("libpng", "libpng", 62, ["libpng license", "png reference library license"], []),
+    ("libtiff", "libtiff", 62, ["libtiff license"], []),
+    ("curl", "curl", 58, ["curl license"], []),
+    ("jpeg", "independent jpeg group", 64, ["independent jpeg group"], []),
+    ("icu", "unicode", 60, ["unicode (?:license|terms of use)", "icu license"], []),
+    ("tcl", "tcl", 55, ["tcl tk license"], []),
+    ("xnet", "x net", 55, ["x net license"], []),
+    ("zope", "zope public", 68, ["zope public license"], []),
+    ("plexus", "plexus", 55, ["plexus classworlds license"], []),
+    ("spencer", "henry spencer", 55, ["henry spencer regex library license"], []),
+    ("hpnd", "historical permission", 66, ["historical permission notice and disclaimer"], []),
+    ("fair", "fair license", 60, ["usage of the works is permitted provided that this instrument is retained", "under the fair license"], []),
+    ("0bsd", "with or without fee", 60, ["use copy modify and or distribute this software for any purpose with or without fee"], []),
+    ("multics", "multics", 55, ["multics license"], []),
+    ("entessa", "entessa", 55, ["entessa public license"], []),
+    ("watcom", "sybase open watcom", 62, ["sybase open watcom public license"], []),
+    ("vovida", "vovida", 58, ["vovida software license"], []),
+    ("frameworx", "frameworx", 58, ["frameworx open license"], []),
+    ("jabber", "jabber open source", 60, ["jabber open source license"], []),
+    ("ricoh", "ricoh source code", 60, ["ricoh source code public license"], []),
+    ("sugarcrm", "sugarcrm", 60, ["sugarcrm public license"], []),
+    ("yahoo", "yahoo public", 60, ["yahoo public license"], []),
+    ("eula", "end user license agreement", 50, ["end user license agreement", "this license agreement is a legal agreement between you"], []),
+    ("trial", "evaluation", 40, ["for evaluation purposes only", "evaluation license agreement"], []),
+    ("academic", "academic use", 45, ["for academic use only", "for (?:research|educational) purposes only", "non commercial research purposes"], []),
+    ("personal", "personal use", 40, ["for personal use only", "personal and non commercial use"], []),
+    ("no-redistribution", "redistribut", 45, ["may not be (?:published|broadcast) rewritten or redistributed", "redistribution (?:is )?(?:strictly )?prohibited", "do not redistribute"], []),
+    ("no-copying", "may be reproduced", 44, ["may not be reproduced", "may be reproduced in any form", "may be reproduced without permission"], []),
+    ("no-derivatives", "derivative", 42, ["no derivative works?", "derivative works are not permitted"], []),
+    ("attribution", "attribution", 32, ["attribution required", "attribution is required", "with proper attribution"], []),
+    ("fair-use", "fair use", 30, ["fair use notice", "fair use (?:act|doctrine)"], []),
+    ("dmca", "dmca", 40, ["dmca (?:notice|takedown|policy)", "digital millennium copyright act"], []),
+    ("trademark", "trademark", 30, ["registered trademarks? of", "trademarks? (?:are|is) the property of (?:their|its) respective owners?"], []),
+    ("patent", "patent", 30, ["patent pending", "protected by (?:us )?patents?"], []),
+    ("confidential", "confidential", 40, ["strictly confidential", "confidential and proprietary", "company confidential"], []),
+    ("crown", "crown copyright", 55, ["crown copyright"], []),
+    ("us-government", "united states government", 52, ["works? of the united states government", "united states government works?"], []),
+    ("copyleft", "copyleft", 45, ["strong copyleft", "weak copyleft", "copyleft license"], []),
+    ("licensed", "permission", 30, ["permission is granted to (?:anyone|copy|make)", "permission is hereby granted"], []),
+    ("warranty", "warrant", 25, ["without warranty of any kind", "no express or implied warranties", "disclaims? all warranties"], []),
+    ("liability", "liable", 25, ["in no event shall the (?:authors?|copyright holders?|contributors) be liable", "shall not be held liable for any damages"], []),
 ]
 #: Creative Commons licenses are built by rule: each set of terms, each version, short and long names.
 CC_TERMS = {"by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s", "by nc": "attribution non ?commercial", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
@@ -177,11 +286,27 @@ class Scan:
 
 
 def suppress(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, str, int]]:
-    """Detections (priority, start, end, rule, label) without those that an accepted one contains."""
+    """Detections (priority, start, end, rule, label) without those that an accepted one contains.
+
+    Detections are taken in order of rank.  ``reach`` holds, for accepted starts in
+    order, ends that grow: an interval is contained exactly if the last start at or
+    before its own has an end at or beyond its own.
+    """
     kept: list[tuple[int, int, str, int]] = []
+    starts: list[int] = []
+    reach: list[int] = []
     for priority, start, end, _, label in sorted(found, key=lambda d: (-d[0], d[1] - d[2], d[1], d[3])):
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
-            kept.append((start, end, label, priority))
+        at = bisect_right(starts, start)
+        if at and reach[at - 1] >= end:
+            continue
+        kept.append((start, end, label, priority))
+        # intervals that this one reaches beyond tell nothing more
+        to = at
+        while to < len(starts) and reach[to] <= end:
+            to += 1
+        if at and starts[at - 1] == start:
+            at -= 1
+        starts[at:to], reach[at:to] = [start], [end]
     return sorted(kept)
 
 
@@ -192,9 +317,10 @@ def scan(text: bytes) -> Scan:
     joined = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for phrase, label in PHRASES.items():
-        at = joined.find(phrase)
+        at, upto, before = joined.find(phrase), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            before, upto = before + joined.count(b" ", upto, at), at  # spaces before the phrase
+            places.append(before)
             base.add(label)
             at = joined.find(phrase, at + 1)
     here = {k for k in KEYWORDS if k in joined}
@@ -215,17 +341,15 @@ def scan_documents(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> D
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                got = [scan(t) for t in texts_of(batch["text"])]
-                columns = [
-                    pa.array([s.n_words for s in got], pa.int64()), pa.array([len(s.places) for s in got], pa.int64()),
-                    pa.array([min(s.places, default=None) for s in got], pa.int64()), pa.array([max(s.places, default=None) for s in got], pa.int64()),
-                    pa.array([",".join(s.base_labels) for s in got], pa.string()), pa.array([",".join(s.labels) for s in got], pa.string()), pa.array([s.score for s in got], pa.float64()),
-                    pa.array([[dict(zip(("start", "end", "label", "priority"), d, strict=True)) for d in s.detections] for s in got], span),
-                ]
-                yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + columns, schema.names)
+        for batch in slices_of(batches, SLICE_BYTES):
+            got = [scan(t) for t in texts_of(batch["text"])]
+            columns = [
+                pa.array([s.n_words for s in got], pa.int64()), pa.array([len(s.places) for s in got], pa.int64()),
+                pa.array([min(s.places, default=None) for s in got], pa.int64()), pa.array([max(s.places, default=None) for s in got], pa.int64()),
+                pa.array([",".join(s.base_labels) for s in got], pa.string()), pa.array([",".join(s.labels) for s in got], pa.string()), pa.array([s.score for s in got], pa.float64()),
+                pa.array([[dict(zip(("start", "end", "label", "priority"), d, strict=True)) for d in s.detections] for s in got], span),
+            ]
+            yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + columns, schema.names)
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
