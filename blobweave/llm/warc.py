@@ -4,11 +4,14 @@ Writing takes two passes.  The first shuffles headers only: payload digest, page
 id and length.  Of the pages with equal payloads the one with the smallest id
 becomes the response and the others revisit it.  The second writes one record a
 page, with fresh headers; a revisit carries no payload.  Spark's text writer puts
-the records into files, as a record ends with the blank lines that it takes as
-line separator, so any store that Spark writes to will do.
+the records into files, as they end with the blank lines that it takes as line
+separator, so any store that Spark writes to will do.
 
-Reading takes whole files, which ``records_per_file`` bounds, and cuts records by
-their Content-Length, so a payload may hold anything.  Revisits are then joined
+A row of the text that is written is a file: as many records as ``file_bytes`` allows,
+or one larger record.  Spark's writer compresses a file as one gzip member.
+
+Reading takes whole files, which that bounds, and cuts records by their
+Content-Length, so a payload may hold anything; records are passed on bit by bit.  Revisits are then joined
 to their responses by digest; popular payloads do not meet in one task.
 
 Defined results: null html is an empty payload; a null url is written as
@@ -30,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, look_up, staged
+from .common import fresh_path, look_up, slices_of, staged
 
 LEAST_BYTES = 0
-RECORDS_PER_FILE = 2000
+#: Bytes of records in a file, before compression; and of payloads that a reader holds.
+FILE_BYTES, HELD_BYTES = 64_000_000, 8_000_000
 END = "\r\n\r\n"
 #: Fixed values of the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
@@ -88,7 +92,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str | None = None, compression: str = "gzip") -> None:
+def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, date: str | None = None, compression: str = "gzip") -> None:
     """Write ``pages`` (page_id, url, html) as deduplicated archives to the folder ``path``."""
     stamp = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -103,13 +107,25 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, r
     is_first = F.col("_first").isNull() | own | (F.col("_bytes") < least_bytes)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.string())], ["value"])
+
+        for batch in slices_of(batches, HELD_BYTES, "html"):
             rows = zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "first", "origin_id", "origin_url")), strict=True)
-            made = [make_record(i, url, text.encode(), None if first else (o, u), stamp).decode() for i, url, text, first, o, u in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+            for i, url, text, first, o, u in rows:
+                record = make_record(i, url, text.encode(), None if first else (o, u), stamp)
+                if held and size + len(record) > file_bytes:
+                    yield file()
+                    held, size = [], 0
+                held.append(record.decode())
+                size += len(record)
+        if held:
+            yield file()
 
     rows = found.select("page_id", "url", "html", is_first.alias("first"), F.col("_first.page_id").alias("origin_id"), F.col("_first.url").alias("origin_url"))
-    out = rows.mapInArrow(make, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+    out = rows.mapInArrow(make, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1)
     out.option("compression", compression).text(path)
 
 
@@ -123,10 +139,13 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_digest", pa.string()), ("payload", pa.string())])
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
             for content in batch["content"]:
                 data = content.as_py()
-                rows = []
+                rows, size = [], 0
                 for h, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
                     body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
@@ -134,7 +153,12 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
                         raise ValueError(f"{h['warc-record-id']}: the payload is not what its digest says")
                     page = int(h["page-id"]) if "page-id" in h else None
                     rows.append((page, h["warc-target-uri"], kind, digest, None if body is None else len(body), digest if kind == "revisit" else None, body.decode() if payloads and body is not None else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, schema.types, strict=True)], schema=schema)
+                    size += len(block)
+                    if size > HELD_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(parse, RECORD)
