@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHAR_START, SPACE, class_sums, texts_of
+from .common import CHAR_START, SPACE, class_sums, slices_of, texts_of
 
 #: Most labelled documents that the forest is fitted and calibrated on.
 LABELLED_ROWS = 20_000
+#: Bytes of text that are measured together; a longer text is measured alone.
+SLICE_BYTES = 2_000_000
 TREES, TREE_ROWS = 100, 256
 #: Rows drawn evenly from the range of all labelled rows, for each good row that the trees may draw.
 #: They make the trees split the empty space around the good rows, so that far rows have short paths.
@@ -169,7 +171,8 @@ def calibrated_cut(paths: np.ndarray, good: np.ndarray, lost: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, seed: int = 7) -> Forest | None:
     """The forest for ``docs`` (doc_id, text) from ``labels`` (doc_id, quality); None without usable labels.
 
-    The sample is the ``rows`` labelled ids of smallest hash; only their texts are read into rule statistics.
+    The sample is the ``rows`` labelled ids of smallest hash; only their texts are read into rule statistics.  Of several
+    texts with one id the one of least statistics counts.
     """
     sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -183,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, seed:
             columns = [batch["doc_id"], batch["quality"].cast(pa.int64()), pa.array(s["n_words"]), pa.array(list(features(s)), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "n_words", "x"])
 
-    got = known.mapInArrow(measure, "doc_id long, quality long, n_words long, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = known.mapInArrow(measure, "doc_id long, quality long, n_words long, x array<double>")
+    got = got.groupBy("doc_id", "quality").agg(F.min(F.struct("n_words", "x")).alias("s")).select("doc_id", "quality", "s.n_words", "s.x").toPandas().sort_values("doc_id")
     got = got[got.n_words >= MIN_WORDS]
     good = got.quality.to_numpy() > 0
     if not len(got) or not good.any():
@@ -205,16 +209,14 @@ def judge(docs: DataFrame, forest: Forest | None, keep: list[str], *, text: str
     kept_columns = [c for c in keep if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):  # bounds the memory that a batch of long texts takes
-                batch = whole.slice(start, 500)
-                s = batch_statistics(texts_of(batch[text]))
-                paths = forest.path_lengths(features(s)) if forest else np.full(batch.num_rows, np.inf)
-                failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED_PERCENT * s["n_words"])
-                kept = ~failed & (paths >= forest.cut if forest else True)
-                out = [batch[c] for c in kept_columns] + [pa.array(s[c], pa.int64()) for c in STATS]
-                out += [pa.array(paths, pa.float64(), mask=~np.isfinite(paths)), pa.array(failed), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(out, [f.name for f in schema])
+        for batch in slices_of(batches, SLICE_BYTES, text):
+            s = batch_statistics(texts_of(batch[text]))
+            paths = forest.path_lengths(features(s)) if forest else np.full(batch.num_rows, np.inf)
+            failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED_PERCENT * s["n_words"])
+            kept = ~failed & (paths >= forest.cut if forest else True)
+            out = [batch[c] for c in kept_columns] + [pa.array(s[c], pa.int64()) for c in STATS]
+            out += [pa.array(paths, pa.float64(), mask=~np.isfinite(paths)), pa.array(failed), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(out, [f.name for f in schema])
 
     return docs.select(*dict.fromkeys([*kept_columns, text])).mapInArrow(run, schema)
 
