@@ -20,6 +20,8 @@ HOT_SHARE = 2000
 HOT_LEAST = 100
 
 _own_dir: str | None = None
+#: Staged tables of this session are in a folder of their own.
+_session = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/blobweave/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/blobweave/{_session}/{what}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, what: str = "stage") -> DataFrame:
@@ -55,8 +57,8 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
 
 
 def clear_staged(spark: SparkSession) -> None:
-    """Delete all that this module has staged; no DataFrame built on it can be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/blobweave")
+    """Delete all that this session has staged; no DataFrame built on it can be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/blobweave/{_session}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -122,13 +124,15 @@ CHAR_START = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.uint8)
 #: One entry per byte: 1 for the white space that separates words.
 SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)], np.uint8)
 
-#: Ids that are broadcast at most: 16 MB.
+#: Numbers that are broadcast at most: 16 MB of ids, or of items of arrays.
 FEW_IDS = 1_000_000
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with the staged table ``ids`` (distinct in ``key``): by broadcast up to FEW_IDS rows, else by shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key)
+def only(rows: DataFrame, ids: DataFrame, key: str, array: str | None = None) -> DataFrame:
+    """Inner join of ``rows`` with the staged table ``ids`` (distinct in ``key``; a number and an ``array`` of small structs at most):
+    by broadcast if that holds up to FEW_IDS ids and items, else by shuffle."""
+    size = F.count("*") if array is None else F.count("*") + F.coalesce(F.sum(F.size(array)), F.lit(0))
+    return rows.join(F.broadcast(ids) if ids.agg(size).first()[0] <= FEW_IDS else ids, key)
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))

@@ -9,14 +9,17 @@ of every two sets.  Only blocks of it are computed that can hold a link:
 * Blocks.  A set is dealt into m buckets by n-gram hash.  Since m exceeds H by
   some slack, two linked sets agree in a whole non-empty bucket, so they share a
   key (size level, bucket, content).  A passage that many documents share fills no
-  bucket, so it makes no block.  Sets with so few filled buckets that the argument
-  fails share one key per level, which keeps the join exact.
+  bucket in most sets.  Sets with so few filled buckets that the argument fails have
+  their first H + 1 n-grams as keys too, of which two linked sets share one.
+* Spare buckets.  Linked sets agree in more buckets than they need to meet: m - H, of
+  which some may be empty.  So a set leaves the blocks of more than BLOCK_ROWS rows, if
+  fewer of its keys than that lie in such blocks: it meets its links by another key.
 * The smallest set of a key leads its block: each other set becomes a row of the
   leader's block.  Blocks that share sets are merged while they are small, so that
   most sets are sent once.  In a block the product with the leader comes first; then that
   of all rows with those rows that do not link with the leader, as any two that do
   are connected already.  Large blocks are split; rows that do not link with the
-  leader then visit the other parts too.
+  leader then visit the other parts too, BLOCK_ROWS of them at a time.
 
 Overlaps below the size bound are dropped and the rest are links, of which a block
 returns a spanning forest.  Nothing is approximate but the 64-bit n-gram hashes.
@@ -37,13 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import look_up, mixed, only, partitions, staged, texts_of, window_hashes, word_hashes
+from .common import look_up, mixed, only, partitions, slices_of, staged, texts_of, window_hashes, word_hashes
 from .graph import Forest, components
 
 N, LEAST_PERCENT = 4, 85
 #: Rows of a block that are multiplied in one task.
 BLOCK_ROWS = 400
-DOCS_AT_ONCE = 400
+#: Tiles of a part are numbered below this.
+MOST_TILES = 1 << 31
+#: Bytes of text that are cut to n-grams together, and keys that a task holds before it sends them.
+SLICE_BYTES, KEYS_HELD = 1_000_000, 1_500_000
 #: Bytes of a key that are sent beside its slice; keys that agree in these by chance only cost a product.
 KEY_BYTES = 5
 
@@ -87,9 +93,10 @@ def levels(most: int, percent: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def block_keys(hashes: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the set) for all sets: linked sets share a key."""
+def block_keys(hashes: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, index of the set) for all sets: linked sets share a key; and for each set how many keys it shares with any it is linked with."""
     sizes = np.diff(starts)
+    spare = np.full(len(sizes), np.iinfo(np.int16).max, np.int64)
     ends = levels(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(ends, sizes, "right") - 1
     keys, owners = [], []
@@ -118,40 +125,37 @@ def block_keys(hashes: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np
             tag = mixed(mixed(level[owner].astype(np.uint64)) + number.astype(np.uint64))
             keys.append(mixed(content ^ tag)[filled])
             owners.append(owner[filled])
-            few = here[np.add.reduceat(filled, offset[:-1]) <= differ[here]]
-            keys.append(mixed(level[few].astype(np.uint64) + np.uint64(1 << 40)))
-            owners.append(few)
+            shared = np.add.reduceat(filled, offset[:-1], dtype=np.int64) - differ[here]
+            spare[here] = np.minimum(spare[here], np.maximum(shared, 0))
+            for i in here[shared <= 0].tolist():
+                first = hashes[starts[i] : starts[i] + min(differ[i] + 1, sizes[i])]
+                keys.append(mixed(first ^ mixed(level[i : i + 1].astype(np.uint64) + np.uint64(1 << 40))))
+                owners.append(np.full(len(first), i))
             back += 1
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
+    return np.concatenate(keys), np.concatenate(owners), spare
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, DOCS_AT_ONCE):
-        yield batch.slice(start, DOCS_AT_ONCE)
-
-
 def classes_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and class (null if empty) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _parts(whole):
-                hashes, starts = shingle_sets(texts_of(batch["text"]), n)
-                sizes = np.diff(starts)
-                ids = pa.array(set_ids(hashes, starts).view(np.int64), pa.int64(), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), ids], ["doc_id", "n_shingles", "class"])
+        for batch in slices_of(batches, SLICE_BYTES):
+            hashes, starts = shingle_sets(texts_of(batch["text"]), n)
+            sizes = np.diff(starts)
+            ids = pa.array(set_ids(hashes, starts).view(np.int64), pa.int64(), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), ids], ["doc_id", "n_shingles", "class"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
 def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Distinct (leader, class): the classes of each block but its leader.
+    """(leader, class, keys: how many tie them, spare of the class): the classes of each block but its leader.
 
     Keys travel packed: a task's (key, class) pairs go out as one binary row per
     slice of the key range, sorted and without repeats, a key as its low bytes and
@@ -161,68 +165,95 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        spares: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(held).view("u8,u8").ravel()) if held else np.zeros(0, "u8,u8")
+            key, member = np.concatenate(held).T if held else np.zeros((2, 0), np.uint64)
+            classes, place, index = np.unique(member, return_index=True, return_inverse=True)
+            spare = np.concatenate(spares)[place] if spares else np.zeros(0, np.int64)
+            order = np.lexsort((index, key))
+            key, index = key[order], index[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (index[1:] != index[:-1])
+            key, index = key[new], index[new]
             held.clear()
-            key = pairs["f0"]
-            classes, index = np.unique(pairs["f1"], return_inverse=True)
+            spares.clear()
             where = (key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
             cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(key)]
             rows = []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if j > i:
                     own, local = np.unique(index[i:j], return_inverse=True)
-                    low = key[i:j].copy().view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-                    rows.append((int(where[i]), low.tobytes(), local.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), classes[own].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["slice", "keys", "index", "classes"])
+                    low = np.ascontiguousarray(key[i:j]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                    rows.append((int(where[i]), low.tobytes(), local.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), classes[own].tobytes(), spare[own].astype("<i2").tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["slice", "keys", "index", "classes", "spares"])
 
         total = 0
-        for whole in batches:
-            for batch in _parts(whole):
-                hashes, starts = shingle_sets(texts_of(batch["text"]), n)
-                keys, owner = block_keys(hashes, starts, percent)
-                held.append(np.column_stack([keys, set_ids(hashes, starts)[owner]]))
-                total += len(keys)
-                if total > 2_000_000:
-                    yield flush()
-                    total = 0
+        for batch in slices_of(batches, SLICE_BYTES):
+            hashes, starts = shingle_sets(texts_of(batch["text"]), n)
+            keys, owner, spare = block_keys(hashes, starts, percent)
+            held.append(np.column_stack([keys, set_ids(hashes, starts)[owner]]))
+            spares.append(spare[owner])
+            total += len(keys)
+            if total > KEYS_HELD:
+                yield flush()
+                total = 0
         yield flush()
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # all pairs of a key are in one slice; rows come sorted by slice
         slice_now, held = -1, []
 
-        def unpacked(keys: bytes, index: bytes, classes: bytes) -> np.ndarray:
-            low = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+        def unpacked(keys: bytes, index: bytes, classes: bytes, spares: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+            low[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
             local = np.frombuffer(index, "<u2" if len(index) == 2 * len(low) else "<u4")
-            pairs = np.zeros((len(low), 2), np.uint64)
-            pairs.view(np.uint8).reshape(len(low), 16)[:, :KEY_BYTES] = low
-            pairs[:, 1] = np.frombuffer(classes, np.uint64)[local]
-            return pairs.view("u8,u8").ravel()
+            return low.view("<u8").ravel(), np.frombuffer(classes, np.uint64)[local], np.frombuffer(spares, "<i2")[local]
 
         def out() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([unpacked(*x) for x in held])) if held else np.zeros(0, "u8,u8")
+            key, member, spare = (np.concatenate(c) for c in zip(*(unpacked(*x) for x in held), strict=True)) if held else (np.zeros(0, np.uint64),) * 3
             held.clear()
-            key, member = pairs["f0"], pairs["f1"]
+            order = np.lexsort((member, key))
+            key, member, spare = key[order], member[order], spare[order]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
+            again = np.zeros(len(key), bool)
+            again[1:] = ~first[1:] & (member[1:] == member[:-1])
             leader = member[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else member
-            links = np.unique(np.column_stack([leader, member])[~first], axis=0)
-            return pa.RecordBatch.from_arrays([_signed(links[:, 0].copy()), _signed(links[:, 1].copy())], ["leader", "class"])
+            own = ~first & ~again & (member != leader)
+            leader, member, spare = leader[own], member[own], spare[own]
+            order = np.lexsort((member, leader))
+            leader, member, spare = leader[order], member[order], spare[order]
+            new = np.ones(len(leader), bool)
+            new[1:] = (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])
+            at = np.flatnonzero(new)
+            ties = np.diff(np.append(at, len(leader)))
+            return pa.RecordBatch.from_arrays([_signed(leader[at]), _signed(member[at]), pa.array(ties), pa.array(spare[at].astype(np.int64))], ["leader", "class", "keys", "spare"])
 
         for batch in batches:
-            for at, *packed in zip(batch["slice"].to_pylist(), batch["keys"].to_pylist(), batch["index"].to_pylist(), batch["classes"].to_pylist(), strict=True):
+            for at, *packed in zip(batch["slice"].to_pylist(), *(batch[c].to_pylist() for c in ("keys", "index", "classes", "spares")), strict=True):
                 if at != slice_now:
                     yield out()
                     slice_now = at
                 held.append(packed)
         yield out()
 
-    packed = docs.select("text").mapInArrow(pack, "slice int, keys binary, index binary, classes binary")
+    packed = docs.select("text").mapInArrow(pack, "slice int, keys binary, index binary, classes binary, spares binary")
     dealt = packed.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
-    return dealt.mapInArrow(lead, "leader long, class long").distinct()
+    tied = dealt.mapInArrow(lead, "leader long, class long, keys long, spare long")
+    return tied.groupBy("leader", "class").agg(F.sum("keys").alias("keys"), F.min("spare").alias("spare"))
+
+
+def without_spare(rows: DataFrame) -> DataFrame:
+    """(leader, class) of ``rows`` (block_rows), less the rows of large blocks whose classes meet their links by other keys."""
+    counts = rows.groupBy("leader").agg(F.count("*").alias("_n"))
+    hot = staged(counts.where(F.col("_n") > BLOCK_ROWS), "hot-leaders")
+    crowded = staged(look_up(rows, hot.withColumn("is_hot", F.lit(True)), "leader", "_n"), "crowded-rows")
+    plain = crowded.where("is_hot IS NULL").select("leader", "class")
+    tied = crowded.where("is_hot").groupBy("class").agg(F.sum("keys").alias("ties"), F.min("spare").alias("least"))
+    stuck = crowded.where("is_hot").join(tied.where("ties >= least").select("class"), "class")
+    return plain.unionByName(stuck.select("leader", "class"))
 
 
 def product(columns: np.ndarray, offsets: np.ndarray, row: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -297,7 +328,7 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     ``table``: class, its representative ``rep`` and its number of rows.
     """
     spark = docs.sparkSession
-    found = staged(block_rows(docs, n, percent), "block-rows")
+    found = staged(without_spare(staged(block_rows(docs, n, percent), "tied-rows")), "block-rows")
     reps = table.where("rep IS NOT NULL").select("class", "rep")
 
     # blocks that share classes are one, with each class once, unless that gets too large
@@ -317,18 +348,17 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     placed = staged(small.unionByName(small_heads).unionByName(own).unionByName(heads), "placed")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _parts(whole):
-                hashes, starts = shingle_sets(texts_of(batch["text"]), n)
-                got = [hashes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                right = pa.array(set_ids(hashes, starts).view(np.int64) == np.array(batch["class"]))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["places"], pa.array(got, pa.binary())], ["node", "places", "grams"]).filter(right)
+        for batch in slices_of(batches, SLICE_BYTES):
+            hashes, starts = shingle_sets(texts_of(batch["text"]), n)
+            got = [hashes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            right = pa.array(set_ids(hashes, starts).view(np.int64) == np.array(batch["class"]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["places"], pa.array(got, pa.binary())], ["node", "places", "grams"]).filter(right)
 
     def multiplied(rows: DataFrame) -> DataFrame:
         """The product of the blocks in ``rows``; texts go from the scan to their places, without a join of sets."""
         places = rows.groupBy("class").agg(F.collect_list(F.struct("leader", "part", "role")).alias("places"))
         wanted = staged(places.join(reps, "class").select(F.col("rep").alias("doc_id"), "class", "places"), "places")
-        texts = only(docs.select("doc_id", "text"), wanted, "doc_id").select("doc_id", "class", "places", "text")
+        texts = only(docs.select("doc_id", "text"), wanted, "doc_id", "places").select("doc_id", "class", "places", "text")
         sets = texts.mapInArrow(grams, f"node long, places {wanted.schema['places'].dataType.simpleString()}, grams binary")
         met = sets.select("node", "grams", F.explode("places").alias("p")).select("p.leader", "p.part", "p.role", "node", "grams")
         blocks = met.repartition(partitions(spark), "leader", "part").sortWithinPartitions("leader", "part", "role", "node")
@@ -341,11 +371,16 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     many = sizes.where("parts > 1").select("leader", "parts")
     visits = alone.join(many, "leader").join(reps, "rep")
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> own")
-    visits = staged(visits.select("leader", "part", F.lit(2).alias("role"), "class"), "visits")
+    # BLOCK_ROWS or so visitors at a time: a tile is a part of a block and a share of its visitors
+    waiting = visits.groupBy("leader", "part").agg(F.count("*").alias("_n")).withColumn("tiles", F.ceil(F.col("_n") / BLOCK_ROWS))
+    tiles = staged(waiting.select("leader", "part", "tiles"), "visit-tiles")
+    tile = F.col("part") * MOST_TILES + F.col("tile")
+    visits = visits.join(tiles, ["leader", "part"]).withColumn("tile", F.pmod(F.xxhash64("class"), "tiles"))
+    visits = staged(visits.select("leader", tile.alias("part"), F.lit(2).alias("role"), "class"), "visits")
     if visits.isEmpty():
         return edges
-    hosts = placed.where("role = 1").join(visits.select("leader", "part").distinct(), ["leader", "part"])
-    second = multiplied(hosts.select("leader", "part", "role", "class").unionByName(visits))
+    hosts = placed.where("role = 1").join(tiles, ["leader", "part"]).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    second = multiplied(hosts.select("leader", tile.alias("part"), "role", "class").unionByName(visits))
     return edges.unionByName(second.where("NOT apart").select("u", "v"))
 
 
@@ -372,7 +407,10 @@ def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat the smallest doc_id, the first in the order of their other columns stays.
     """
     gone = near_duplicates(docs, n=n, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(staged(gone, "near-copies"), "doc_id", "left_anti")
-    order = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "doc_id"}  # other columns may have any name
+    inner = docs.select("doc_id", *[F.col(c).alias(x) for c, x in names.items()])
+    kept = inner.join(staged(gone, "near-copies"), "doc_id", "left_anti")
+    sortable = [F.to_json(F.struct(x)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(x) for c, x in names.items()]
+    order = W.partitionBy("doc_id").orderBy(*sortable or [F.lit(1)])
     first = kept.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
-    return first.where("_n = 1").select(*docs.columns)
+    return first.where("_n = 1").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -100,11 +101,29 @@ def test_suppression_and_priority():
 
     assert len(licenses.RULES) > 300
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache", "apache-2.0"]
+    assert sum(len(f[3]) for f in licenses.FAMILIES) > 250  # written by hand
     assert labels("CC BY-NC 4.0") == ["cc-by", "cc-by-nc-4.0"]
     assert labels("GNU Lesser General Public License version 3") == ["gpl", "lgpl", "lgpl-3"]
     assert licenses.suppress([(1, 0, 9, 0, "low"), (5, 0, 9, 1, "high"), (9, 2, 4, 2, "inner"), (1, 8, 12, 3, "next")]) == [(0, 9, "high", 5), (2, 4, "inner", 9), (8, 12, "next", 1)]
 
 
+def test_suppression_equals_all_pairs():
+    rng = random.Random(7)
+    for _ in range(500):
+        found = [(rng.randint(1, 5), a, a + rng.randint(1, 10), k, f"x{k}") for k, a in enumerate(rng.choices(range(20), k=rng.randint(0, 25)))]
+        kept: list[tuple] = []
+        for p, a, b, _, label in sorted(found, key=lambda d: (-d[0], d[1] - d[2], d[1], d[3])):
+            if not any(x <= a and b <= y for x, y, _, _ in kept):
+                kept.append((a, b, label, p))
+        assert licenses.suppress(found) == sorted(kept)
+
+
+def test_long_license_text():
+    began = time.monotonic()
+    got = licenses.scan(b"cc by 1 all rights reserved " * 40_000)
+    assert len(got.places) == 80_000 and len(got.detections) >= 40_000 and time.monotonic() - began < 30
+
+
 def test_license_query(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*ODD, "all rights reserved"] * 2)] + [(None, None, "y")], "doc_id long, text string, labels string")
     got = licenses.scan_documents(docs).toPandas()
@@ -184,7 +203,7 @@ def test_warc(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
     rows = [(5, "http://a b/\r\nX: y", "same"), (3, None, "same"), (9, "u", "same"), (1, "u", None), (2, "u", ""), (4, "u", tricky), (6, "u", tricky), (7, "é", "é" * 100_000), (None, "u", "same"), (3, None, "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
-    warc.write_warc(pages, str(tmp_path / "w"), records_per_file=2)
+    warc.write_warc(pages, str(tmp_path / "w"), file_bytes=1500)
     records = warc.read_warc(spark, str(tmp_path / "w")).persist()
     got = sorted((tuple(r) for r in warc.resolve_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
     assert got == warc_truth(rows)
