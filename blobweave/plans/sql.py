@@ -90,6 +90,45 @@ rect AS (
   SELECT image_id, region_id, (u * dr - v * dc) / len - 0.5 AS rect2_row, (u * dc + v * dr) / len - 0.5 AS rect2_col, phi2 AS rect2_phi, greatest(e, f) / 2 AS rect2_long, least(e, f) / 2 AS rect2_short
   FROM ranked WHERE n = 1)"""
 
+_DIAMETER = """diam AS (
+  SELECT image_id, region_id, sqrt(d2) AS diameter, r1 AS diameter_r1, c1 AS diameter_c1, r2 AS diameter_r2, c2 AS diameter_c2 FROM (
+    SELECT a.image_id, a.region_id, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2,
+      row_number() OVER (PARTITION BY a.image_id, a.region_id ORDER BY (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) DESC, a.r, a.c, b.r, b.c) AS n
+    FROM (SELECT DISTINCT image_id, region_id, r, unnest([c0, c1]) AS c FROM reg) a JOIN (SELECT DISTINCT image_id, region_id, r, unnest([c0, c1]) AS c FROM reg) b
+      USING (image_id, region_id) WHERE (a.r, a.c) <= (b.r, b.c)) WHERE n = 1)"""
+_INNER = """incirc AS (
+  SELECT image_id, region_id, r AS inner_row, c AS inner_col, sqrt(d2) - 0.5 AS inner_radius FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id, region_id ORDER BY d2 DESC, r, c) AS n FROM (
+      SELECT k.image_id, k.region_id, k.r, k.c, min((k.r - f.r) * (k.r - f.r) + (k.c - f.c) * (k.c - f.c)) AS d2 FROM cells k JOIN free f USING (image_id, region_id) GROUP BY ALL)) WHERE n = 1)"""
+_INNER_RECT = """inrect AS (
+  SELECT image_id, region_id, r1 AS inner_r1, c1 AS inner_c1, r2 AS inner_r2, c2 AS inner_c2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id, region_id ORDER BY size DESC, r1, c1, r2, c2) AS n FROM (
+      SELECT a.image_id, a.region_id, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2, (b.r - a.r + 1) * (b.c - a.c + 1) AS size
+      FROM cells a JOIN cells b ON a.image_id = b.image_id AND a.region_id = b.region_id AND a.r <= b.r AND a.c <= b.c
+      JOIN cells k ON k.image_id = a.image_id AND k.region_id = a.region_id AND k.r BETWEEN a.r AND b.r AND k.c BETWEEN a.c AND b.c
+      GROUP BY ALL HAVING count(*) = (b.r - a.r + 1) * (b.c - a.c + 1))) WHERE n = 1)"""
+#: Every circle through two or three vertices of the hull; the smallest that holds all of them.
+_CIRCLE = """vertex AS (SELECT DISTINCT image_id, region_id, ar AS r, ac AS c FROM edge),
+through AS (
+  SELECT a.image_id, a.region_id, (a.r + b.r) / 2.0 AS y, (a.c + b.c) / 2.0 AS x, ((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) / 4.0 AS q
+  FROM vertex a JOIN vertex b ON a.image_id = b.image_id AND a.region_id = b.region_id AND (a.r, a.c) < (b.r, b.c)
+  UNION ALL
+  SELECT image_id, region_id, r + y, c + x, y * y + x * x FROM (
+    SELECT image_id, region_id, r, c, (c2 * (r1 * r1 + c1 * c1) - c1 * (r2 * r2 + c2 * c2)) / (2.0 * (r1 * c2 - c1 * r2)) AS y, (r1 * (r2 * r2 + c2 * c2) - r2 * (r1 * r1 + c1 * c1)) / (2.0 * (r1 * c2 - c1 * r2)) AS x
+    FROM (SELECT a.image_id, a.region_id, a.r, a.c, b.r - a.r AS r1, b.c - a.c AS c1, d.r - a.r AS r2, d.c - a.c AS c2
+      FROM vertex a JOIN vertex b ON a.image_id = b.image_id AND a.region_id = b.region_id AND (a.r, a.c) < (b.r, b.c)
+      JOIN vertex d ON a.image_id = d.image_id AND a.region_id = d.region_id AND (b.r, b.c) < (d.r, d.c)) WHERE r1 * c2 <> c1 * r2)),
+circ AS (
+  SELECT image_id, region_id, min_by(y, q) - 0.5 AS circle_row, min_by(x, q) - 0.5 AS circle_col, sqrt(min(q)) AS circle_radius FROM (
+    SELECT t.image_id, t.region_id, y, x, q FROM through t JOIN vertex v USING (image_id, region_id) GROUP BY ALL HAVING max((v.r - y) * (v.r - y) + (v.c - x) * (v.c - x)) <= q + 1e-9) GROUP BY 1, 2)"""
+_HU = """hu AS (
+  SELECT image_id, region_id, e20 + e02 AS h1, (e20 - e02) * (e20 - e02) + 4 * e11 * e11 AS h2, u * u + v * v AS h3, p * p + q * q AS h4, u * p * (p * p - 3 * q * q) + v * q * (3 * p * p - q * q) AS h5,
+    (e20 - e02) * (p * p - q * q) + 4 * e11 * p * q AS h6, v * p * (p * p - 3 * q * q) - u * q * (3 * p * p - q * q) AS h7 FROM (
+    SELECT *, e30 + e12 AS p, e21 + e03 AS q, e30 - 3 * e12 AS u, 3 * e21 - e03 AS v FROM (
+      SELECT image_id, region_id, m.mu_rr / m.area AS e20, m.mu_cc / m.area AS e02, m.mu_rc / m.area AS e11, sum(pow(k.r - row_, 3)) / pow(m.area, 2.5) AS e30, sum(pow(k.c - col_, 3)) / pow(m.area, 2.5) AS e03,
+        sum(pow(k.r - row_, 2) * (k.c - col_)) / pow(m.area, 2.5) AS e21, sum((k.r - row_) * pow(k.c - col_, 2)) / pow(m.area, 2.5) AS e12
+      FROM cells k JOIN mom m USING (image_id, region_id) GROUP BY image_id, region_id, m.mu_rr, m.mu_cc, m.mu_rc, m.area)))"""
+
 
 def _r(*columns: str) -> str:
     """Columns rounded to six places, without negative zero; ``expression AS name`` or a name."""
@@ -111,6 +150,25 @@ _IN = "anisometry BETWEEN 1.5 AND 'Infinity'::DOUBLE"
 _ALL = f"""SELECT {_KEY}, m.area, e.anisometry, t.holes, t.euler, t.runs / sqrt(m.area) AS k_factor, m.area / h.hull_area AS convexity, o.roundness
 FROM mom m JOIN ecc e USING ({_KEY}) JOIN topo t USING ({_KEY}) JOIN hull h USING ({_KEY}) LEFT JOIN round_ o USING ({_KEY})"""
 
+_ORIENTATION = "CASE WHEN (far_c - col_) * cos(phi) - (far_r - row_) * sin(phi) < -1e-9 THEN CASE WHEN phi > 0 THEN phi - pi() ELSE phi + pi() END ELSE phi END"
+_CIRCULARITY = "CASE WHEN max_distance > 0 THEN least(1.0, m.area / (pi() * max_distance * max_distance)) END"
+#: Every feature of every region.
+_WIDE = [*_BASE, _FILLED, _HULL, _DIAMETER, _INNER, _INNER_RECT, _CIRCLE, _HU]
+_JOINED = "mom m " + " ".join(f"JOIN {t} USING ({_KEY})" for t in ("far", "cont", "hull", "rect", "diam", "circ", "incirc", "inrect", "hu", "topo")) + f" JOIN (SELECT {_KEY}, count(*) AS filled_area FROM full_ GROUP BY 1, 2) USING ({_KEY}) LEFT JOIN round_ o USING ({_KEY}) JOIN (SELECT {_KEY}, anisometry, bulkiness, structure_factor FROM ecc) USING ({_KEY})"
+_VECTOR = f"""SELECT {_KEY}, m.area, filled_area - m.area AS area_holes, m.r1, m.c1, m.r2, m.c2, inner_row, inner_col, inner_r1, inner_c1, inner_r2, inner_c2, runs, euler, holes, CAST(1 AS BIGINT) AS components,
+  (s_rr + 2 * m.r1 * s_r + m.r1 * m.r1 * m.area)::BIGINT AS m_rr_origin, (s_cc + 2 * m.c1 * s_c + m.c1 * m.c1 * m.area)::BIGINT AS m_cc_origin, (s_rc + m.r1 * s_c + m.c1 * s_r + m.r1 * m.c1 * m.area)::BIGINT AS m_rc_origin,
+  {_r("row_ AS row", "col_ AS col", "contlength", "diameter", f"{_CIRCULARITY} AS circularity", "contlength * contlength / (4 * pi() * m.area) AS compactness", "m.area / hull_area AS convexity",
+      "m.area / (4 * rect2_long * rect2_short) AS rectangularity", "distance", "sigma", "roundness", "sides", "ra", "rb", "phi", "anisometry", "bulkiness", "structure_factor", f"{_ORIENTATION} AS orientation",
+      "rect2_row", "rect2_col", "rect2_phi", "rect2_long", "rect2_short", "circle_row", "circle_col", "circle_radius", "inner_radius", "rect2_long / rect2_short AS aspect_ratio",
+      "m.area / (4 * rect2_long * rect2_short) AS fill_ratio", "inner_radius / circle_radius AS in_out_ratio", "mu_rr", "mu_cc", "mu_rc", "ia", "ib", *(f"h{i}" for i in range(1, 8)), *(f"h{i} AS hu_{i}" for i in range(1, 8)),
+      "runs / sqrt(m.area) AS k_factor", "CASE WHEN diameter > 0 THEN contlength / diameter END AS contlength_by_diameter")}
+FROM {_JOINED}"""
+_CODES = [
+    ("coater", "pinhole", "circularity BETWEEN 0.7 AND 1 AND area BETWEEN 1 AND 4"), ("coater", "uncoated", "area >= 60"), ("coater", "tear", "convexity BETWEEN 0 AND 0.6"),
+    ("coater", "bubbles", "holes >= 1 AND euler <= 0"), ("roll_press", "wrinkle", "anisometry >= 3 AND orientation BETWEEN -1 AND 1"), ("roll_press", "crack", "anisometry >= 4"),
+    ("roll_press", "pressed_in", "rectangularity BETWEEN 0.9 AND 1"), ("slitter", "burr", "roundness BETWEEN 0 AND 0.5 AND sides BETWEEN 0 AND 3"), ("slitter", "bad_cut", "contlength_by_diameter >= 2.5"),
+]
+
 SQL: dict[str, str] = {
     "q01_runs": _sql([], "SELECT * FROM runs"),
     "q02_links": _sql(_BASE[:1], f"SELECT {_KEY}, src, dst FROM touch JOIN (SELECT image_id, run_id AS src, region_id FROM reg) USING (image_id, src)"),
@@ -131,27 +189,15 @@ SQL: dict[str, str] = {
     "q16_compactness": _sql([*_BASE, _FILLED], f"SELECT {_KEY}, {_r('contlength * contlength / (4 * pi() * area) AS compactness')} FROM cont JOIN box USING ({_KEY})"),
     "q17_roundness": _sql([*_BASE, _FILLED], f"SELECT {_KEY}, {_r('distance', 'sigma', 'roundness', 'sides')} FROM round_"),
     "q18_circularity": _sql(_BASE, f"SELECT {_KEY}, {_r('max_distance', 'CASE WHEN max_distance > 0 THEN least(1.0, area / (pi() * max_distance * max_distance)) END AS circularity')} FROM far JOIN box USING ({_KEY})"),
-    "q19_diameter": _sql(_BASE[:1], f"""SELECT {_KEY}, {_r('sqrt(d2) AS diameter')}, r1 AS diameter_r1, c1 AS diameter_c1, r2 AS diameter_r2, c2 AS diameter_c2 FROM (
-  SELECT a.image_id, a.region_id, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2,
-    row_number() OVER (PARTITION BY a.image_id, a.region_id ORDER BY (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) DESC, a.r, a.c, b.r, b.c) AS n
-  FROM (SELECT DISTINCT {_KEY}, r, unnest([c0, c1]) AS c FROM reg) a JOIN (SELECT DISTINCT {_KEY}, r, unnest([c0, c1]) AS c FROM reg) b USING ({_KEY}) WHERE (a.r, a.c) <= (b.r, b.c)) WHERE n = 1"""),
+    "q19_diameter": _sql([*_BASE[:1], _DIAMETER], f"SELECT {_KEY}, {_r('diameter')}, diameter_r1, diameter_c1, diameter_r2, diameter_c2 FROM diam"),
     "q20_convexity": _sql([*_BASE, _HULL], f"SELECT {_KEY}, {_r('hull_area', 'area / hull_area AS convexity')} FROM hull JOIN box USING ({_KEY})"),
     "q21_rect2": _sql([*_BASE, _HULL], f"SELECT {_KEY}, {_r('rect2_row', 'rect2_col', 'rect2_phi', 'rect2_long', 'rect2_short')} FROM rect"),
     "q22_rectangularity": _sql([*_BASE, _HULL], f"SELECT {_KEY}, {_r('area / (4 * rect2_long * rect2_short) AS rectangularity', 'rect2_long / rect2_short AS aspect_ratio', 'area / (4 * rect2_long * rect2_short) AS fill_ratio')} FROM rect JOIN box USING ({_KEY})"),
-    "q23_inner_circle": _sql([*_BASE, _FILLED], f"""SELECT {_KEY}, r AS inner_row, c AS inner_col, {_r('sqrt(d2) - 0.5 AS inner_radius')} FROM (
-  SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY d2 DESC, r, c) AS n FROM (
-    SELECT k.image_id, k.region_id, k.r, k.c, min((k.r - f.r) * (k.r - f.r) + (k.c - f.c) * (k.c - f.c)) AS d2 FROM cells k JOIN free f USING ({_KEY}) GROUP BY ALL)) WHERE n = 1"""),
-    "q24_inner_rectangle": _sql(_BASE, f"""SELECT {_KEY}, r1 AS inner_r1, c1 AS inner_c1, r2 AS inner_r2, c2 AS inner_c2 FROM (
-  SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY size DESC, r1, c1, r2, c2) AS n FROM (
-    SELECT a.image_id, a.region_id, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2, (b.r - a.r + 1) * (b.c - a.c + 1) AS size
-    FROM cells a JOIN cells b ON a.image_id = b.image_id AND a.region_id = b.region_id AND a.r <= b.r AND a.c <= b.c
-    JOIN cells k ON k.image_id = a.image_id AND k.region_id = a.region_id AND k.r BETWEEN a.r AND b.r AND k.c BETWEEN a.c AND b.c
-    GROUP BY ALL HAVING count(*) = (b.r - a.r + 1) * (b.c - a.c + 1))) WHERE n = 1"""),
-    "q27_hu": _sql(_BASE, f"""SELECT {_KEY}, {_r('e20 + e02 AS h1', '(e20 - e02) * (e20 - e02) + 4 * e11 * e11 AS h2', 'u * u + v * v AS h3', 'p * p + q * q AS h4', 'u * p * (p * p - 3 * q * q) + v * q * (3 * p * p - q * q) AS h5', '(e20 - e02) * (p * p - q * q) + 4 * e11 * p * q AS h6', 'v * p * (p * p - 3 * q * q) - u * q * (3 * p * p - q * q) AS h7')} FROM (
-  SELECT *, e30 + e12 AS p, e21 + e03 AS q, e30 - 3 * e12 AS u, 3 * e21 - e03 AS v FROM (
-    SELECT {_KEY}, m.mu_rr / m.area AS e20, m.mu_cc / m.area AS e02, m.mu_rc / m.area AS e11, sum(pow(k.r - row_, 3)) / pow(m.area, 2.5) AS e30, sum(pow(k.c - col_, 3)) / pow(m.area, 2.5) AS e03,
-      sum(pow(k.r - row_, 2) * (k.c - col_)) / pow(m.area, 2.5) AS e21, sum((k.r - row_) * pow(k.c - col_, 2)) / pow(m.area, 2.5) AS e12
-    FROM cells k JOIN mom m USING ({_KEY}) GROUP BY {_KEY}, m.mu_rr, m.mu_cc, m.mu_rc, m.area))"""),
+    "q23_inner_circle": _sql([*_BASE, _FILLED, _INNER], f"SELECT {_KEY}, inner_row, inner_col, {_r('inner_radius')} FROM incirc"),
+    "q24_inner_rectangle": _sql([*_BASE, _INNER_RECT], "SELECT * FROM inrect"),
+    "q25_smallest_circle": _sql([*_BASE, _HULL, _CIRCLE], f"SELECT {_KEY}, {_r('circle_row', 'circle_col', 'circle_radius')} FROM circ"),
+    "q26_in_out_ratio": _sql([*_BASE, _FILLED, _HULL, _CIRCLE, _INNER], f"SELECT {_KEY}, {_r('inner_radius / circle_radius AS in_out_ratio')} FROM circ JOIN incirc USING ({_KEY})"),
+    "q27_hu": _sql([*_BASE, _HU], f"SELECT {_KEY}, {_r(*(f'h{i}' for i in range(1, 8)))} FROM hu"),
     "q28_select_and": _sql(_BASE, f"SELECT {_KEY}, area, {_r('anisometry')}, holes FROM ecc JOIN topo USING ({_KEY}) WHERE area BETWEEN 10 AND 100 AND {_IN} AND holes >= 1"),
     "q29_select_or": _sql(_BASE, f"SELECT {_KEY}, area, {_r('anisometry')}, holes FROM ecc JOIN topo USING ({_KEY}) WHERE area BETWEEN 10 AND 100 OR coalesce({_IN}, false) OR holes >= 1"),
     "q30_scores": _sql([*_BASE, _FILLED, _HULL], f"""SELECT {_KEY}, process, feature, {_r("CASE WHEN value IS NULL THEN NULL WHEN direction = 'decreasing' THEN 100 - 100 * least(1.0, greatest(0.0, (value - lo) / (hi - lo))) ELSE 100 * least(1.0, greatest(0.0, (value - lo) / (hi - lo))) END AS score")}
@@ -161,6 +207,9 @@ JOIN (VALUES ('coater', 'area', 1.0, 50.0, 'increasing'), ('coater', 'convexity'
 UNION ALL SELECT {_KEY}, 'coater', 'tear' FROM ({_ALL}) WHERE convexity BETWEEN 0 AND 0.6 AND area >= 5
 UNION ALL SELECT {_KEY}, 'roll_press', 'wrinkle' FROM ({_ALL}) WHERE anisometry >= 3
 UNION ALL SELECT {_KEY}, 'slitter', 'burr' FROM ({_ALL}) WHERE roundness BETWEEN 0 AND 0.5"""),
+    "q32_feature_vectors": _sql(_WIDE, _VECTOR),
+    "q35_process_codes": _sql([*_WIDE, f"""vector AS (SELECT {_KEY}, m.area, holes, euler, {_CIRCULARITY} AS circularity, m.area / hull_area AS convexity, anisometry, {_ORIENTATION} AS orientation, m.area / (4 * rect2_long * rect2_short) AS rectangularity,
+  roundness, sides, CASE WHEN diameter > 0 THEN contlength / diameter END AS contlength_by_diameter FROM {_JOINED})"""], " UNION ALL ".join(f"SELECT {_KEY}, '{p}' AS process, '{code}' AS code FROM vector WHERE {where}" for p, code, where in _CODES)),
     "q33_li_runs": _sql([], "SELECT * FROM runs", "li", 256),
     "q34_li_regions": _sql(_BASE[:1], f"SELECT {_KEY}, sum(c1 - c0 + 1)::BIGINT AS area, count(*) AS runs FROM reg GROUP BY 1, 2", "li", 256),
 }

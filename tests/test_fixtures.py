@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
+from blobweave.functions import geometry, shape
 from blobweave.plans.features import FEATURES, Images
 from blobweave.sources.rasters import mask_pixels
 
@@ -79,3 +81,20 @@ def test_smooth_disc_is_rounder_than_jagged_one(spark, features):
 def test_orientation_points_to_the_far_end(features):
     assert -math.pi < features["L"]["orientation"] <= math.pi
     assert math.degrees(features["L"]["phi"]) == pytest.approx(-45)
+
+
+def test_a_large_box_does_not_overflow(spark):
+    """A filled box of 20,000 by 20,000 pixels, as runs."""
+    runs = spark.range(20_000).selectExpr("0L AS image_id", "0L AS region_id", "id AS run_id", "CAST(id AS INT) AS r", "0 AS c0", "19999 AS c1")
+    r = shape.invariants(shape.moments(shape.region_base(runs))).first()
+    assert r["area"] == 4 * 10**8 and (r["row"], r["col"]) == (9999.5, 9999.5)
+    assert r["h1"] == pytest.approx(1 / 6) and r["h4"] == pytest.approx(0, abs=1e-12)
+
+
+def test_a_thin_diagonal_takes_no_box():
+    """A scratch of 50,000 by 50,000 pixels; its box has 2.5 thousand million."""
+    n = np.arange(50_000)
+    g = geometry.Region(n, n, n + 1)
+    assert g.contour_length()[0] == pytest.approx(2 * 49_999 * math.sqrt(2) + 2) and g.filled_area() == (100_000,)
+    assert geometry.inner_circle(g.pixels)[2] == 0.5 and geometry.inner_rectangle(g.pixels) == (0, 0, 0, 1)
+    assert geometry.diameter(*g.runs)[0] == pytest.approx(math.hypot(49_999, 50_000))
