@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, staged
+from .common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_EPOCHS, SEED = 150, 2, 17
 #: Hexadecimal digits of the hash that name a bucket: 16 ** 3 buckets a source.
 BUCKET_DIGITS = 3
+#: Bytes of the bucket table that are broadcast at most, and of a row but its source.
+BROADCAST_BYTES, BUCKET_BYTES = 32_000_000, 100
 
 
 def word_count(text: Column) -> Column:
@@ -80,7 +82,8 @@ def repetitions(docs: DataFrame, *, seed: int = SEED, **fill) -> DataFrame:
     table = table.withColumn("_cut", (F.col("_from") < F.col("_rest")) & (F.col("_from") + F.col("_in") >= F.col("_rest")))
     table = staged(table.withColumnsRenamed({"source": "_s", "_bucket": "_b"}).drop("_in"), "mix-table")
     # a source is up to 16 ** BUCKET_DIGITS keys, so it is split if the table is too large to broadcast
-    near = F.broadcast(table) if table.count() <= FEW_IDS else table
+    size = table.agg(F.coalesce(F.sum(BUCKET_BYTES + F.coalesce(F.octet_length("_s"), F.lit(0))), F.lit(0))).first()[0]
+    near = F.broadcast(table) if size <= BROADCAST_BYTES else table
     placed = rows.join(near, rows["source"].eqNullSafe(near["_s"]) & (rows["_bucket"] == near["_b"])).drop("_s", "_b")
     plain = placed.where("NOT _cut").withColumn("_copies", F.col("_whole") + F.when(F.col("_from") < F.col("_rest"), 1).otherwise(0))
     inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *[c for c in docs.columns if c not in ("doc_id", "source", "size")]).rowsBetween(W.unboundedPreceding, -1)
