@@ -50,13 +50,15 @@ FOLDS, HELD_OUT = 5, 1
 END, START, ANY = np.uint64(1), np.uint64(2), np.uint64(3)
 PAIR, TRIPLE, CLASS = np.uint64(11), np.uint64(12), np.uint64(13)
 #: Bits of an n-gram's hash beyond those of the number of training tokens.
-HASH_SPARE = 10
+HASH_SPARE = 8
 SLICE_BYTES, TOKENS_HELD = 4_000_000, 1_000_000
 #: Positions from which the class is the most frequent of that many first tokens.
 CLASS_AT = (8, 32, 128, 512)
 LEVELS, SPELLED = 5, 5
 #: How often a pair of bytes counts as met beforehand, as what follows the second alone.
 SPELL_PRIOR = 4.0
+#: Parts of a bit that the cost of spelling is rounded to.
+SPELL_SCALE = 256
 BUCKETS, LAST_TWO, LAST_SIX, RATES = 8, 36, 64, 9
 JOINT = LEVELS * BUCKETS * LAST_TWO * LAST_SIX * RATES
 RATE_TOKENS = 32
@@ -213,8 +215,8 @@ def _joined(held: list[tuple]) -> tuple:
     return ids, np.array(kept, bool), Tokens(np.concatenate([h[2] for h in held]), starts), np.concatenate([h[4] for h in held]), first
 
 
-ROWS = "slice int, chunk long, tokens binary, grams binary, token_counts binary, gram_counts binary, doc_id array<long>, held_out array<boolean>, sizes array<long>, bytes array<long>, places binary, words binary, spelling binary"
-_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 3]
+ROWS = "slice int, chunk long, tokens binary, grams binary, token_counts binary, gram_counts binary, doc_id array<long>, held_out array<boolean>, sizes array<long>, bytes array<long>, places binary, spelling binary"
+_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 2]
 _SCHEMA = pa.schema(list(zip([x.split()[0] for x in ROWS.split(", ")], _TYPES, strict=True)))
 
 
@@ -254,9 +256,9 @@ def gathered(docs: DataFrame, corpus: Corpus) -> DataFrame:
         for column, keys, counts, width in ((2, words, taught, 64), (3, grams, seen, bits)):
             which, cuts = _cuts(keys, width, slices)
             for s, i, j in zip(which.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                row = out.setdefault(s, [s, chunk, None, None, None, None, *[None] * 7])
+                row = out.setdefault(s, [s, chunk, *[None] * 10])
                 row[column], row[column + 2] = packed_keys(keys[i:j]), packed(counts[i:j])
-        texts = [-1, chunk, None, None, None, None, ids, held.tolist(), np.diff(tokens.starts).tolist(), np.add.reduceat(size, tokens.starts[:-1]).tolist(), packed(place), words.tobytes(), spelling.astype("<f4").tobytes()]
+        texts = [-1, chunk, None, None, None, None, ids, held.tolist(), np.diff(tokens.starts).tolist(), np.add.reduceat(size, tokens.starts[:-1]).tolist(), packed(place), packed(np.rint(spelling * SPELL_SCALE))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(texts, *out.values(), strict=True), _TYPES, strict=True)], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +273,7 @@ def gathered(docs: DataFrame, corpus: Corpus) -> DataFrame:
 
 
 def answered(rows: DataFrame) -> DataFrame:
-    """``rows`` with the counts over all training texts in place of the chunk's, slice by slice; chunk -1 holds a slice's number of distinct training tokens."""
+    """``rows`` with the counts over all training texts in place of the chunk's, slice by slice, and without the n-grams; chunk -1 holds a slice's number of distinct training tokens."""
 
     def totals(data: list[tuple[bytes | None, bytes | None]]) -> tuple[list[bytes | None], int]:
         full = [i for i, (k, _) in enumerate(data) if k is not None]
@@ -294,8 +296,8 @@ def answered(rows: DataFrame) -> DataFrame:
                 return
             words, distinct = totals([(r[1], r[3]) for r in held])
             grams, _ = totals([(r[2], r[4]) for r in held])
-            made = [[now, r[0], None, None, w, g, *[None] * 7] for r, w, g in zip(held, words, grams, strict=True)]
-            made.append([distinct, -1, *[None] * 11])
+            made = [[now, r[0], r[1], None, w, g, *[None] * 6] for r, w, g in zip(held, words, grams, strict=True)]
+            made.append([distinct, -1, *[None] * 10])
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _TYPES, strict=True)], schema=_SCHEMA)
 
@@ -375,33 +377,33 @@ def trailed(rows: DataFrame, corpus: Corpus) -> DataFrame:
     """TRAILS of every text; rows without a trail hold numbers of distinct training tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "n_bytes")], ("log_counts", pa.float64()), ("bits", pa.float64()), ("trail", pa.binary()), ("distinct", pa.int64())])
 
-    def made(row: dict, token_counts: list[bytes], gram_counts: list[bytes]) -> pa.RecordBatch:
+    def made(row: dict, words: list[bytes], token_counts: list[bytes], gram_counts: list[bytes]) -> pa.RecordBatch:
         sizes = np.array(row["sizes"], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        place, every = unpacked(row["places"]), np.frombuffer(row["words"], np.uint64)
+        place, every = unpacked(row["places"]), np.concatenate([unpacked_keys(x) for x in words])
         tokens, held = Tokens(every[place], starts), np.array(row["held_out"], bool)
         counts, grams = (np.concatenate([unpacked(x) for x in xs]) for xs in (token_counts, gram_counts))
         where = np.unique(tokens.keys >> np.uint64(64 - corpus.bits), return_inverse=True)[1]
-        trail, bits = trails(tokens, held, corpus, (place, counts), (where, grams), np.frombuffer(row["spelling"], "<f4"))
+        trail, bits = trails(tokens, held, corpus, (place, counts), (where, grams), unpacked(row["spelling"]) / SPELL_SCALE)
         sums = [np.add.reduceat(x, starts[:-1]) for x in ((counts[place] > 0).astype(np.int64), np.log10(counts[place] + 0.5), bits)]
         parts = [trail[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
         columns = [row["doc_id"], row["held_out"], row["sizes"], sums[0], row["bytes"], sums[1], sums[2], parts, [None] * len(parts)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, counts, distinct = None, None, ([], []), 0
+        now, own, counts, distinct = None, None, ([], [], []), 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["chunk"] != now and own is not None:
                     yield made(own, *counts)
-                    own, counts = None, ([], [])
+                    own, counts = None, ([], [], [])
                 now = row["chunk"]
                 if now < 0:
                     distinct += row["slice"]
                 elif row["slice"] < 0:
                     own = row
                 else:
-                    for held, column in zip(counts, ("token_counts", "gram_counts"), strict=True):
+                    for held, column in zip(counts, ("tokens", "token_counts", "gram_counts"), strict=True):
                         if row[column] is not None:
                             held.append(row[column])
         if own is not None:
@@ -410,7 +412,7 @@ def trailed(rows: DataFrame, corpus: Corpus) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([None if f.name != "distinct" else distinct], f.type) for f in schema], schema=schema)
 
     key = F.when(F.col("chunk") < 0, F.xxhash64("slice")).otherwise(F.col("chunk"))
-    slim = rows.drop("tokens", "grams")
+    slim = rows.drop("grams")
     return slim.repartition(partitions(rows.sparkSession), key).sortWithinPartitions("chunk", "slice").mapInArrow(run, TRAILS)
 
 
