@@ -81,10 +81,11 @@ def leaf_templates(kinds: DataFrame) -> DataFrame:
         varies = F.when(~common, F.struct("kinds", "place"))
         by_part = best.groupBy("part", "words").agg(F.collect_list(constant).alias("constants"), F.min(varies)["place"].alias("split"))
         half = (F.size("constants") * 2 >= F.col("words")) & (F.size("constants") < F.col("words"))
-        by_part = staged(by_part.select("part", F.when(half, F.map_from_entries("constants")).alias("constants"), "split"), "leaf-templates")
+        by_part = by_part.select("part", F.when(half, F.map_from_entries("constants")).alias("constants"), "split")
         fits = F.forall(F.map_entries("constants"), lambda e: F.element_at(F.col("_at"), e["key"] + 1) == e["value"])
         judged = rest.join(by_part, "part").withColumn("_at", F.split("masked", " ")).withColumn("_fits", F.coalesce(fits, F.lit(False)))
-        judged = staged(judged.select("leaf", "words", "masked", "n", "part", "_fits", F.element_at("_at", F.col("split") + 1).alias("word")), "judged-lines")
+        judged = judged.select("leaf", "words", "masked", "n", "part", "_fits", F.element_at("_at", F.col("split") + 1).alias("word"))
+        judged = staged(judged, "judged-lines") if level + 1 < LEVELS else judged  # the last is read once
         found.append(judged.where("_fits").select(F.xxhash64("masked").alias("own"), "leaf", F.xxhash64(F.lit("leaf"), "part").alias("template")))
         rest = judged.where("NOT _fits AND word IS NOT NULL").select("leaf", "words", "masked", "n", F.xxhash64("part", F.lit(level), "word").alias("part"))
     return reduce(DataFrame.unionByName, found)
