@@ -45,14 +45,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/blobweave/{_session}/{what}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, what: str = "stage") -> DataFrame:
+def staged(df: DataFrame, what: str = "stage", compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs the reread of files, not the
     recomputation of ``df``.
     """
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,7 +50,7 @@ FOLDS, HELD_OUT = 5, 1
 END, START, ANY = np.uint64(1), np.uint64(2), np.uint64(3)
 PAIR, TRIPLE, CLASS = np.uint64(11), np.uint64(12), np.uint64(13)
 #: Bits of an n-gram's hash beyond those of the number of training tokens.
-HASH_SPARE = 8
+HASH_SPARE = 7
 SLICE_BYTES, TOKENS_HELD = 4_000_000, 1_000_000
 #: Positions from which the class is the most frequent of that many first tokens.
 CLASS_AT = (8, 32, 128, 512)
@@ -543,7 +543,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """SCORES of every row of ``docs`` (doc_id, text); base_score is the add-half unigram model's log10 probability."""
     folded = fold(docs)
     corpus = survey(folded)
-    told = staged(trailed(answered(gathered(folded, corpus)), corpus), "trails")
+    told = staged(trailed(answered(gathered(folded, corpus)), corpus), "trails", "zstd")
     distinct = told.agg(F.sum("distinct")).first()[0] or 0
     model = told.sparkSession.sparkContext.broadcast(learn(told))
     below = float(np.log10(corpus.tokens + 0.5 * (distinct + 1)))
