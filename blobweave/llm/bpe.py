@@ -32,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -47,6 +49,15 @@ from .common import slices_of
 _S = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
+
+
+def _latin(kind: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: The same for texts without letters beyond U+00FF, which ``re`` splits faster.
+LATIN_WORDS = rf" ?[{_latin('L')}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_latin('N')}]+| ?[^\t-\r \x85\xA0{_latin('L')}{_latin('N')}]+|[\t-\r \x85\xA0]+(?![^\t-\r \x85\xA0])|[\t-\r \x85\xA0]+"
+
 #: Bytes of text whose words are encoded together; a longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
 #: Words of more bytes are encoded one at a time.
@@ -242,9 +253,16 @@ class Encoder:
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
         added = sorted(automaton.added, key=len, reverse=True)
-        self.split = regex.compile(WORDS).findall
+        self.any, self.latin = regex.compile(WORDS).findall, re.compile(LATIN_WORDS).findall
         self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any(text)
+        return self.latin(text)
+
     def words(self, text: str, found: list[str], marks: list[tuple[int, int]]) -> None:
         """Adds the words of ``text`` to ``found``, an empty one for an added token; ``marks``: where, and which token."""
         start = 0
