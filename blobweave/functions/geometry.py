@@ -76,10 +76,14 @@ def antipodes(h: np.ndarray) -> list[tuple[int, int]]:
     return [(i % n, j % n) for i, j in pairs]
 
 
-def diameter(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple:
-    """Largest distance of two pixel centres and their places; of several the smallest (r1, c1, r2, c2)."""
+def centre_hull(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """Hull of the pixels' centres."""
     r, a, b = row_ends(r, c0, c1)
-    h = hull(np.concatenate([np.column_stack((r, a)), np.column_stack((r, b))]))
+    return hull(np.concatenate([np.column_stack((r, a)), np.column_stack((r, b))]))
+
+
+def diameter(h: np.ndarray) -> tuple:
+    """Largest distance of two pixel centres of a hull and their places; of several the smallest (r1, c1, r2, c2)."""
     i, j = np.array(antipodes(h)).T
     d2 = ((h[i] - h[j]) ** 2).sum(1)
     far = d2 == d2.max()
@@ -95,12 +99,17 @@ def rectangle2(h: np.ndarray) -> tuple[float, float, float, float, float]:
     """
     dr, dc = (np.roll(h, -1, axis=0) - h).T
     length = np.hypot(dr, dc)
-    sides = []
-    for at in range(0, len(h), 512):  # edges at once
-        r, c = dr[at : at + 512], dc[at : at + 512]
-        for turned in (np.outer(h[:, 0], r) + np.outer(h[:, 1], c), np.outer(h[:, 1], r) - np.outer(h[:, 0], c)):
-            sides.append((turned.min(0), turned.max(0)))
-    u0, u1, v0, v1 = (np.concatenate([s[k] for s in sides[first::2]]) / length for first in (0, 1) for k in (0, 1))
+    # the vertices that are farthest along an edge, across it, and against both, by the turning angle of the edges
+    turn = np.unwrap(np.arctan2(dc, dr))
+    sense = 1 if turn[-1] >= turn[0] else -1
+    turn = turn * sense
+
+    def reach(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The largest product of a vertex with each direction."""
+        at = np.searchsorted(turn, turn[0] + np.mod(np.arctan2(c, r) * sense + np.pi / 2 - turn[0], 2 * np.pi))
+        return np.max([h[(at + k) % len(h), 0] * r + h[(at + k) % len(h), 1] * c for k in (-1, 0, 1)], axis=0)
+
+    u0, u1, v0, v1 = (x / length for x in (-reach(-dr, -dc), reach(dr, dc), -reach(dc, -dr), reach(-dc, dr)))
     e, f, phi = u1 - u0, v1 - v0, np.arctan2(-dr, dc)
     square = np.abs(e - f) <= 1e-9
     period = np.where(square, np.pi / 2, np.pi)
@@ -139,13 +148,18 @@ def enclosing_circle(h: np.ndarray) -> tuple[float, float, float]:
 
 
 class Pixels:
-    """The pixels of a region in order, with their run and how far up and down the region goes on; memory grows with the area, not with the box."""
+    """The pixels of a region in order, with their run and how far up and down the region goes on; memory grows with the area, not with the box.
 
-    def __init__(self, r: np.ndarray, c0: np.ndarray, c1: np.ndarray):
+    Of a band of a region, ``above`` and ``below`` tell by column how far it goes on beyond the first and the last
+    row of the band, ``ends``.
+    """
+
+    def __init__(self, r: np.ndarray, c0: np.ndarray, c1: np.ndarray, ends: tuple[int, int] | None = None, above: Beyond | None = None, below: Beyond | None = None):
         n = c1 - c0 + 1
+        self.first = np.cumsum(n) - n
         self.run = np.repeat(np.arange(len(r)), n)
         self.r = r[self.run]
-        self.c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + c0[self.run]
+        self.c = np.arange(n.sum()) - self.first[self.run] + c0[self.run]
         self.c0, self.c1 = c0[self.run], c1[self.run]
         order = np.lexsort((self.r, self.c))
         new = np.ones(len(order), bool)
@@ -155,57 +169,165 @@ class Pixels:
         place = np.arange(len(order)) - np.repeat(first, size)
         self.up, self.down = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         self.up[order], self.down[order] = place + 1, np.repeat(size, size) - place
+        if ends is not None:
+            self.up += _beyond(above, self.c, self.r - self.up + 1 == ends[0])
+            self.down += _beyond(below, self.c, self.r + self.down - 1 == ends[1])
+
+
+#: Columns in order and how many more pixels each has.
+Beyond = tuple[np.ndarray, np.ndarray]
+
 
+def _beyond(told: Beyond | None, c: np.ndarray, at_seam: np.ndarray) -> np.ndarray | int:
+    if told is None or not len(told[0]):
+        return 0
+    at = np.minimum(np.searchsorted(told[0], c), len(told[0]) - 1)
+    return np.where(at_seam & (told[0][at] == c), told[1][at], 0)
 
-def squared_distance(p: Pixels) -> np.ndarray:
-    """Exact squared distance of each pixel to the background: the least over its run of the way along and the way up or down."""
-    column = np.minimum(p.up, p.down) ** 2
-    out = np.minimum(column, np.minimum(p.c - p.c0 + 1, p.c1 - p.c + 1) ** 2)
-    for k in range(1, len(out)):
-        if k * k >= out.max():
-            break
-        same = p.run[k:] == p.run[:-k]
-        ahead, back = np.where(same, column[k:] + k * k, out[:-k]), np.where(same, column[:-k] + k * k, out[k:])
-        out[:-k] = np.minimum(out[:-k], ahead)
-        out[k:] = np.minimum(out[k:], back)
+
+def _rows_alike(size: np.ndarray) -> list[np.ndarray]:
+    """Indices of rows by falling size, in groups in which none is more than twice as long as another."""
+    order = np.argsort(-size, kind="stable")
+    cuts = np.flatnonzero(np.diff(np.frexp(size[order].astype(float))[1])) + 1
+    return [g for g in np.split(order, cuts) if len(g)]
+
+
+def squared_distance(p: Pixels, chosen: np.ndarray | None = None) -> np.ndarray:
+    """Exact squared distance of each pixel to the background; with ``chosen`` only of those of these runs, zero of others.
+
+    That is the least, over the pixels of its run and the ends of it, of the square of the way along and that of the
+    way up or down from there.  The lower envelope of these parabolas is found from left to right by a stack and read
+    from right to left, in time that is linear in the pixels; runs go side by side.  A run that is much longer than
+    the ways up and down are is taken in parts that overlap by as much as those reach.
+    """
+    column = np.minimum(p.up, p.down)
+    out = np.zeros(len(column), np.int64)
+    size = np.diff(np.append(p.first, len(column)))
+    reach = np.maximum.reduceat(column, p.first)
+    step = np.maximum(reach, 64)
+    chosen = np.arange(len(size)) if chosen is None else chosen
+    parts = -(-size[chosen] // step[chosen])
+    run = np.repeat(chosen, parts)
+    begin = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * step[run]  # of the core, in its run
+    low, high = np.maximum(begin - reach[run], 0) - 1, np.minimum(begin + step[run] + reach[run], size[run]) + 1
+    # a place beyond each end stands for the background there, or for what reaches no further
+    for group in _rows_alike(high - low):
+        base, width = (p.first[run[group]] + low[group])[:, None], high[group] - low[group]
+        place = np.arange(int(width[0]))
+        inside = (place > 0) & (place < width[:, None] - 1)
+        square = np.where(inside, column[np.clip(base + place, 0, len(column) - 1)], 0) ** 2
+        for edge, past in ((0, low[group] >= 0), (width - 1, high[group] <= size[run[group]])):
+            square[np.flatnonzero(past), np.broadcast_to(edge, width.shape)[past]] = reach.max() ** 2 + 1 + int(width[0]) ** 2
+        nearest = _lower_envelope(square, width)
+        core = inside & (base + place >= (p.first[run[group]] + begin[group])[:, None]) & (base + place < (p.first[run[group]] + np.minimum(begin[group] + step[run[group]], size[run[group]]))[:, None])
+        out[(base + place)[core]] = nearest[core]
     return out
 
 
-def inner_circle(p: Pixels) -> tuple[int, int, float]:
-    """Largest inscribed circle: centre and radius; of several the first in (r, c)."""
-    d2 = squared_distance(p)
-    i = int(np.argmax(d2))
-    return int(p.r[i]), int(p.c[i]), math.sqrt(int(d2[i])) - 0.5
+def _lower_envelope(square: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The least of (x - i) ** 2 + square[row, i] over i < width[row], for each x; rows by falling width."""
+    rows = len(square)
+    top = np.zeros(rows, np.int64)  # of each row's stack
+    owner, since = np.zeros_like(square), np.zeros_like(square)  # whose parabola is lowest from where on
+    each = np.arange(rows)
+
+    def at(row: np.ndarray, i: np.ndarray, x: np.ndarray | int) -> np.ndarray:
+        return (x - i) ** 2 + square[row, i]
+
+    for x in range(1, int(width[0])):
+        row = each[: int(np.searchsorted(-width, -x))]  # those that are longer than x
+        own = square[row, x]
+        todo = row
+        while len(todo):
+            k = top[todo]
+            worse = at(todo, owner[todo, k], since[todo, k]) > at(todo, np.full(len(todo), x), since[todo, k])
+            todo = todo[worse]
+            top[todo] -= 1
+            todo = todo[top[todo] >= 0]
+        gone = row[top[row] < 0]
+        top[gone], owner[gone, 0], since[gone, 0] = 0, x, 0
+        rest = row[owner[row, top[row]] != x]
+        i = owner[rest, top[rest]]
+        begin = 1 + (x * x - i * i + own[rest] - square[rest, i]) // (2 * (x - i))
+        on = begin < width[rest]
+        rest, begin = rest[on], begin[on]
+        top[rest] += 1
+        owner[rest, top[rest]], since[rest, top[rest]] = x, begin
+    out = np.zeros_like(square)
+    for x in range(int(width[0]) - 1, -1, -1):
+        row = each[: int(np.searchsorted(-width, -x))]
+        k = top[row]
+        out[row, x] = at(row, owner[row, k], x)
+        top[row] -= (since[row, k] == x) & (k > 0)
+    return out
 
 
-def inner_rectangle(p: Pixels) -> tuple[int, int, int, int]:
-    """Largest inscribed upright rectangle (r1, c1, r2, c2); of several the smallest.
+def inner_circle(p: Pixels) -> tuple[int, int, int]:
+    """Squared radius and centre of the largest circle about a pixel up to the background; of several the first in (r, c).
 
-    A stack of rising heights finds the widest rectangle under each height of a run in one sweep.
+    Runs are taken, more and more at once, by what the ways up, down and to their ends allow, while that is no less than the best found.
+    """
+    least = np.minimum(np.minimum(p.up, p.down), np.minimum(p.c - p.c0, p.c1 - p.c) + 1)
+    most = np.maximum.reduceat(least, p.first) ** 2
+    order = np.argsort(-most, kind="stable")
+    best, at = (0, 0), 0
+    while at < len(order) and most[order[at]] >= best[0]:
+        take = order[at : at + max(64, at)]
+        d2 = squared_distance(p, take)
+        i = int(np.argmax(d2))
+        best = max(best, (int(d2[i]), -i))
+        at += len(take)
+    return best[0], int(p.r[-best[1]]), int(p.c[-best[1]])
+
+
+def circle_figures(d2: int, r: int, c: int) -> tuple[int, int, float]:
+    """Centre and radius of the inscribed circle, which ends at the edge of the nearest background pixel."""
+    return r, c, math.sqrt(d2) - 0.5
+
+
+def inner_rectangle(p: Pixels) -> tuple[int, int, int, int, int]:
+    """Size and (r1, c1, r2, c2) of the largest inscribed upright rectangle; of several the smallest.
+
+    A rectangle that can't grow stands on a row, under the height of one of its stretches of equal heights, and
+    reaches as far as heights are not lower.  How far that is, is found by doubling steps over the lowest heights
+    of 1, 2, 4, ... stretches, for those that may hold a rectangle as large as one found at first.
     """
-    best: tuple = (0,)
-    stack: list[tuple[int, int]] = []
-    row = after = 0
-
-    def close(end: int, least: int) -> int:
-        """Take the heights of ``least`` or more from the stack; where the lowest of them began."""
-        nonlocal best
-        begin = end
-        while stack and stack[-1][1] >= least:
-            begin, tall = stack.pop()
-            size = tall * (end - begin)
-            if size >= best[0]:
-                best = max(best, (size, -(row - tall + 1), -begin, -row, -(end - 1)))
-        return begin
-
-    for r, c, height, first in zip(p.r.tolist(), p.c.tolist(), p.up.tolist(), (p.c == p.c0).tolist(), strict=True):
-        if first:
-            close(after, 0)
-            row = r
-        stack.append((close(c, height), height))
-        after = c + 1
-    close(after, 0)
-    return tuple(-x for x in best[1:])
+    new = np.ones(len(p.c), bool)
+    new[1:] = (np.diff(p.up) != 0) | (np.diff(p.run) != 0)
+    start = np.flatnonzero(new)
+    run, tall, r = p.run[start], p.up[start], p.r[start]
+    left, right = p.c[start], p.c[np.append(start[1:], len(p.c)) - 1]
+    whole = np.append(np.flatnonzero(np.append(True, np.diff(run) != 0)), len(run))
+    low = np.minimum.reduceat(tall, whole[:-1])
+    length = (p.c1 - p.c0 + 1)[start]
+    least = max(int((tall * (right - left + 1)).max()), int((low * length[whole[:-1]]).max()))
+    able = np.flatnonzero(tall * length >= least)
+    # a stretch of no height stands between runs, and many of them at both ends
+    table = np.zeros(len(tall) + len(whole) + 1, np.int64)
+    place = np.arange(len(tall)) + 1 + np.repeat(np.arange(len(whole) - 1), np.diff(whole))
+    table[place] = tall
+    levels = [table]
+    longest = int(np.diff(whole).max())
+    while 1 << len(levels) <= longest:
+        half, last = 1 << (len(levels) - 1), levels[-1]
+        levels.append(np.minimum(last, np.concatenate([last[half:], np.zeros(half, np.int64)])))  # of those from here on
+    index = np.full(len(table), -1)
+    index[place] = np.arange(len(tall))
+    here, height = place[able], tall[able]
+    a, b = here.copy(), here.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        for _ in range(2 if k == len(levels) - 1 else 1):
+            go = a - (1 << k)
+            fits = (go >= 0) & (levels[k][np.maximum(go, 0)] >= height)
+            a = np.where(fits, go, a)
+            fits = (b + 1 + (1 << k) <= len(table)) & (levels[k][np.minimum(b + 1, len(table) - 1)] >= height)
+            b = np.where(fits, b + (1 << k), b)
+    size = height * (right[index[b]] - left[index[a]] + 1)
+    found = np.flatnonzero(size == size.max())
+    r1, k1 = r[able[found]] - height[found] + 1, left[index[a[found]]]
+    k = np.lexsort((right[index[b[found]]], r[able[found]], k1, r1))[0]
+    one = found[k]
+    return int(size[one]), int(r1[k]), int(k1[k]), int(r[able[one]]), int(right[index[b[one]]])
 
 
 #: Rows of a region whose windows are looked at together.
@@ -249,6 +371,10 @@ class Region:
     def corners(self) -> np.ndarray:
         return corner_hull(*self.runs)
 
+    @cached_property
+    def centres(self) -> np.ndarray:
+        return centre_hull(*self.runs)
+
     @cached_property
     def pixels(self) -> Pixels:
         return Pixels(*self.runs)
@@ -294,12 +420,12 @@ FAMILIES: dict[str, tuple[str, Callable[[Region], tuple]]] = {
     "links": ("links long", Region.link_count),
     "contour": ("contlength double", Region.contour_length),
     "roundness": ("distance double, sigma double, roundness double, sides double", Region.roundness),
-    "diameter": ("diameter double, diameter_r1 long, diameter_c1 long, diameter_r2 long, diameter_c2 long", lambda g: diameter(*g.runs)),
+    "diameter": ("diameter double, diameter_r1 long, diameter_c1 long, diameter_r2 long, diameter_c2 long", lambda g: diameter(g.centres)),
     "hull": ("hull_area double", lambda g: (polygon_area(g.corners),)),
     "rect2": ("rect2_row double, rect2_col double, rect2_phi double, rect2_long double, rect2_short double", lambda g: rectangle2(g.corners)),
     "circle": ("circle_row double, circle_col double, circle_radius double", lambda g: enclosing_circle(g.corners)),
-    "inner_circle": ("inner_row long, inner_col long, inner_radius double", lambda g: inner_circle(g.pixels)),
-    "inner_rect": ("inner_r1 long, inner_c1 long, inner_r2 long, inner_c2 long", lambda g: inner_rectangle(g.pixels)),
+    "inner_circle": ("inner_row long, inner_col long, inner_radius double", lambda g: circle_figures(*inner_circle(g.pixels))),
+    "inner_rect": ("inner_r1 long, inner_c1 long, inner_r2 long, inner_c2 long", lambda g: inner_rectangle(g.pixels)[1:]),
 }
 
 

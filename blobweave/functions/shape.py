@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +19,48 @@ def _n(c: str) -> Column:
 def region_base(regions: DataFrame) -> DataFrame:
     """Exact integer sums of each region: area, first to third moments about the middle of its box (o_r, o_c), box, runs.
 
-    Third moments stay within 38 digits for boxes of 20,000 by 20,000 pixels.
+    One aggregate: sums are taken about the image's origin and moved to the box's middle afterwards, both exactly.  Coordinates
+    are those of images of up to a million rows and columns; third moments of use for invariants stay within 38 digits
+    for boxes of 20,000 by 20,000 pixels.
     """
-    box = regions.groupBy(*KEY).agg(F.min("r").alias("r1"), F.min("c0").alias("c1"), F.max("r").alias("r2"), F.max("c1").alias("c2"))
-    middle = {"o_r": F.expr("(CAST(r1 AS LONG) + r2) div 2"), "o_c": F.expr("(CAST(c1 AS LONG) + c2) div 2")}
-    box = box.withColumns(middle)
-    near = regions.join(box.select(*KEY, F.col("o_r").alias("_r"), F.col("o_c").alias("_c")), KEY)
-    y, a, b = (F.col("r") - F.col("_r")).cast("long"), (F.col("c0") - F.col("_c")).cast("long"), (F.col("c1") - F.col("_c")).cast("long")
+    y, a, b = F.col("r").cast("long"), F.col("c0").cast("long"), F.col("c1").cast("long")
     n = b - a + 1
-    x1 = (a + b) * n  # twice the sum of columns
     x2 = F.expr("(_b * (_b + 1) * (2 * _b + 1)) div 6 - ((_a - 1) * _a * (2 * _a - 1)) div 6")
-    x3 = F.expr("((_b * (_b + 1)) div 2) * ((_b * (_b + 1)) div 2) - (((_a - 1) * _a) div 2) * (((_a - 1) * _a) div 2)")
-    terms = near.select(*KEY, y.alias("_y"), a.alias("_a"), b.alias("_b"), n.alias("_n"), x1.alias("_x1"))
-    terms = terms.select("*", F.expr("_x1 div 2").alias("x1"), x2.alias("x2"), x3.alias("x3"))
+    # twice the sum of columns, and that of squares; the sum of cubes is the difference of squares of triangular numbers
+    terms = regions.select(*KEY, y.alias("_y"), a.alias("_a"), b.alias("_b"), n.alias("_n"), ((a + b) * n).alias("_x1")).select("*", F.expr("_x1 div 2").alias("x1"), x2.alias("x2"))
+    big = {c: F.col(c).cast("decimal(19,0)") for c in ("_y", "_n", "x1", "x2")}
+    triangle = [F.expr(t).cast("decimal(19,0)") for t in ("(_b * (_b + 1)) div 2 - ((_a - 1) * _a) div 2", "(_b * (_b + 1)) div 2 + ((_a - 1) * _a) div 2")]
 
     def total(c: Column, name: str) -> Column:
         return F.sum(c.cast("decimal(28,0)")).cast(SUM).alias(name)
 
-    y = F.col("_y").cast("decimal(9,0)")
-    n = F.col("_n")
+    yy = (F.col("_y") * F.col("_y")).cast("decimal(14,0)")
     sums = terms.groupBy(*KEY).agg(
-        F.sum("_n").alias("area"), F.count("*").alias("runs"), total(y * n, "s_r"), total(F.col("x1"), "s_c"),
-        total(y * y * n, "s_rr"), total(F.col("x2"), "s_cc"), total(y * F.col("x1"), "s_rc"),
-        total(y * y * y * n, "s_rrr"), total(y * y * F.col("x1"), "s_rrc"), total(y * F.col("x2"), "s_rcc"), total(F.col("x3"), "s_ccc"),
+        F.sum("_n").alias("area"), F.count("*").alias("runs"), F.min("_y").cast("int").alias("r1"), F.min("_a").cast("int").alias("c1"), F.max("_y").cast("int").alias("r2"), F.max("_b").cast("int").alias("c2"),
+        total(F.col("_y") * F.col("_n"), "t_r"), total(F.col("x1"), "t_c"), total(F.col("_y") * F.col("_y") * F.col("_n"), "t_rr"), total(F.col("x2"), "t_cc"), total(F.col("_y") * F.col("x1"), "t_rc"),
+        total(yy * (F.col("_y") * F.col("_n")).cast("decimal(14,0)"), "t_rrr"), total(yy * F.col("x1").cast("decimal(14,0)"), "t_rrc"), total(F.col("_y").cast("decimal(7,0)") * big["x2"], "t_rcc"), total(triangle[0] * triangle[1], "t_ccc"),
     )
-    return sums.join(box, KEY)
+    sums = sums.withColumns({"o_r": F.expr("(CAST(r1 AS LONG) + r2) div 2"), "o_c": F.expr("(CAST(c1 AS LONG) + c2) div 2")})
+    moved = {
+        "s_r": "t_r - p * n", "s_c": "t_c - q * n", "s_rr": "t_rr - 2 * p * t_r + p * p * n", "s_cc": "t_cc - 2 * q * t_c + q * q * n", "s_rc": "t_rc - p * t_c - q * t_r + p * q * n",
+        "s_rrr": "t_rrr - 3 * p * t_rr + 3 * p * p * t_r - p * p * p * n", "s_ccc": "t_ccc - 3 * q * t_cc + 3 * q * q * t_c - q * q * q * n",
+        "s_rrc": "t_rrc - 2 * p * t_rc + p * p * t_c - q * t_rr + 2 * p * q * t_r - p * p * q * n", "s_rcc": "t_rcc - 2 * q * t_rc + q * q * t_r - p * t_cc + 2 * p * q * t_c - p * q * q * n",
+    }
+    # decimal products are cut back to 38 digits term by term
+    out = sums.withColumns({"_p": F.col("o_r").cast(SUM), "_q": F.col("o_c").cast(SUM), "_n": F.col("area").cast(SUM)})
+    return out.withColumns({k: _exact(v) for k, v in moved.items()}).drop("_p", "_q", "_n", *[c for c in sums.columns if c.startswith("t_")])
+
+
+def _exact(sum_of_products: str) -> Column:
+    """A sum of products of whole numbers as decimal(38,0), each partial product cut to 38 digits; raises on overflow."""
+    out = None
+    for sign, term in re.findall(r"([+-]?) ?([^+-]+)", sum_of_products):
+        product = None
+        for f in term.strip().split(" * "):
+            one = F.lit(int(f)).cast(SUM) if f.isdigit() else F.col({"p": "_p", "q": "_q", "n": "_n"}.get(f, f))
+            product = one if product is None else (product * one).cast(SUM)
+        out = product if out is None else (out - product if sign == "-" else out + product).cast(SUM)
+    return out
 
 
 def _over(numerator: Column, *areas: Column) -> Column:

@@ -53,6 +53,23 @@ def scores(features: DataFrame, profile: DataFrame) -> DataFrame:
     return met.select(*KEY, "process", "feature", score(F.col("value"), F.col("v_min"), F.col("v_max"), F.col("direction")).alias("score"))
 
 
+def with_scores(features: DataFrame, profile: DataFrame) -> DataFrame:
+    """``features`` with a struct for each process of ``profile``: the scores of the features that it names.
+
+    A row stays a row and nothing is shuffled; profiles of more than SMALL_ROWS rows are refused.
+    """
+    rows = profile.orderBy("process", "feature").limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"a profile of more than {SMALL_ROWS} rows: use scores()")
+    by: dict[str, list[Column]] = {}
+    for r in rows:
+        told = score(F.col(r["feature"]).cast("double"), F.lit(r["v_min"]), F.lit(r["v_max"]), F.lit(r["direction"]))
+        by.setdefault(r["process"], []).append(told.alias(r["feature"]))
+    if clash := sorted(set(by) & set(features.columns)):
+        raise ValueError(f"a process is named as a feature: {', '.join(clash)}")
+    return features.select("*", *[F.struct(*fields).alias(process) for process, fields in by.items()])
+
+
 def rule_rows(spark: SparkSession, rules: list[tuple[str, str, list[tuple[str, float, float]]]]) -> DataFrame:
     """The rule table of (process, code, [(feature, lo, hi), ...])."""
     rows = [(p, code, f, float(lo), float(hi), len(conditions)) for p, code, conditions in rules for f, lo, hi in conditions]

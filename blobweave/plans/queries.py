@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import shape
 from ..functions.geometry import geometry
 from ..functions.shape import KEY
-from ..operators.choose import defect_codes, rule_rows, scores, select_shape
+from ..operators.choose import rule_rows, scores, select_shape, with_scores
+from ..operators.outline import chain_length
 from ..operators.regions import fill_up, runs_of
-from ..sources.rasters import EMB_HEIGHT, EMB_WIDTH, LI_HEIGHT, LI_WIDTH, emb_pixels, li_pixels
-from ..sources.tables import PROFILE, parse_profile
-from .features import Images, image_topology
+from ..operators.staging import fresh
+from ..sources.bitmaps import write_bitmaps
+from ..sources.rasters import EMB_HEIGHT, EMB_WIDTH, LI_HEIGHT, LI_WIDTH, emb_runs, li_pixels
+from ..sources.tables import PROFILE, flat, parse_profile, read_csv, read_profile, write_csv
+from ..streaming.strips import OUT as STRIPS
+from ..streaming.strips import ROCKS, strip_features
+from .features import FEATURES, Images, image_topology
+from .staged import codes, selected
 
 PROFILE_INI = """
 [coater]
@@ -53,7 +59,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def emb(spark: SparkSession, sf_dir: str) -> Images:
-    return Images(emb_pixels(spark, sf_dir), EMB_WIDTH, EMB_HEIGHT)
+    return Images(None, EMB_WIDTH, EMB_HEIGHT, emb_runs(spark, sf_dir))
 
 
 def _of(make: Callable[[Images], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -87,23 +93,13 @@ def _convexity(im: Images) -> DataFrame:
     return met.select(*KEY, "hull_area", (F.col("area") / F.col("hull_area")).alias("convexity"))
 
 
-def _select(how: str) -> Callable[[Images], DataFrame]:
-    def make(im: Images) -> DataFrame:
-        return select_shape(im.wanted(["area", "anisometry", "holes"]), ["area", "anisometry", "holes"], [10, 1.5, 1], [100, INF, INF], how)
-
-    return make
+def _select_or(im: Images) -> DataFrame:
+    return select_shape(im.wanted(["area", "anisometry", "holes"]), ["area", "anisometry", "holes"], [10, 1.5, 1], [100, INF, INF], "or")
 
 
 def _scores(im: Images) -> DataFrame:
     told = parse_profile(PROFILE_INI)
-    return scores(im.wanted([row[1] for row in told]), im.pixels.sparkSession.createDataFrame(told, PROFILE))
-
-
-def _codes(rules: list) -> Callable[[Images], DataFrame]:
-    def make(im: Images) -> DataFrame:
-        return defect_codes(im.wanted([f for _, _, conditions in rules for f, _, _ in conditions]), rule_rows(im.pixels.sparkSession, rules))
-
-    return make
+    return scores(im.wanted([row[1] for row in told]), im.runs.sparkSession.createDataFrame(told, PROFILE))
 
 
 def _li_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +111,65 @@ def _li_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(im.once.groupBy(*KEY).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.count("*").alias("runs")))
 
 
+def _outer_contour(im: Images) -> DataFrame:
+    return im.contour
+
+
+def _chain_length(im: Images) -> DataFrame:
+    return chain_length(im.contour)
+
+
+def _staged_select(im: Images) -> DataFrame:
+    return selected(im, ["area", "anisometry", "holes"], [10, 1.5, 1], [100, INF, INF])
+
+
+def _staged_codes(rules: list) -> Callable[[Images], DataFrame]:
+    return lambda im: codes(im, rule_rows(im.runs.sparkSession, rules))
+
+
+def _scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a profile file to feature vectors with scores, to CSV files, and back."""
+    where = fresh(spark, "scored")
+    spark.createDataFrame([(PROFILE_INI,)], "value string").coalesce(1).write.text(f"{where}/profile")
+    profile = read_profile(spark, f"{where}/profile", set(FEATURES))
+    im = emb(spark, sf_dir)
+    told = with_scores(im.wanted(["area", "anisometry", "k_factor", "convexity", "roundness", "sides"]), profile)
+    write_csv(told, f"{where}/csv")
+    im.release()
+    return rounded(flat(read_csv(spark, f"{where}/csv", told.schema)))
+
+
+def _bitmap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks written as bitmap files, read again, and run-length encoded."""
+    where = fresh(spark, "bitmaps")
+    write_bitmaps(emb_runs(spark, sf_dir), where, EMB_WIDTH, EMB_HEIGHT)
+    return rounded(runs_of(spark.read.format("bitmap").load(where), EMB_WIDTH))
+
+
+def _strip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the images in scattered order, as a stream of several batches."""
+    where = fresh(spark, "strips")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    runs = emb_runs(spark, sf_dir).groupBy("image_id", "r").agg(F.sort_array(F.collect_list(F.struct("c0", "c1"))).alias("runs"))
+    every = vectors.select(F.floor(F.col("vec_id") / EMB_WIDTH).alias("image_id"), F.pmod("vec_id", F.lit(EMB_WIDTH)).cast("int").alias("r"))
+    rows = every.join(runs, ["image_id", "r"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<c0:int,c1:int>>")))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(86_400))).withColumn("_part", F.pmod(F.xxhash64("image_id", "r"), F.lit(3)))
+    for part in range(3):
+        rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.parquet(f"{where}/in/{part}")
+    # a row of another time moves the watermark on
+    later = spark.createDataFrame([(-1, 0, [])], "image_id long, r int, runs array<struct<c0:int,c1:int>>").withColumn("ts", F.timestamp_seconds(F.lit(2 * 86_400)))
+    later.coalesce(1).write.parquet(f"{where}/in/3")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*").withWatermark("ts", "1 minute")
+        query = strip_features(stream, EMB_WIDTH).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return rounded(spark.read.schema(STRIPS).parquet(f"{where}/out"))
+
+
 #: Rules that name every feature of the three processes.
 PROCESS_RULES = [
     ("coater", "pinhole", [("circularity", 0.7, 1), ("area", 1, 4)]),
@@ -157,12 +212,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q25_smallest_circle": _figures("circle"),
     "q26_in_out_ratio": _features("in_out_ratio"),
     "q27_hu": _features("h1", "h2", "h3", "h4", "h5", "h6", "h7"),
-    "q28_select_and": _of(_select("and")),
-    "q29_select_or": _of(_select("or")),
+    "q28_select_and": _of(_staged_select),
+    "q29_select_or": _of(_select_or),
     "q30_scores": _of(_scores),
-    "q31_defect_codes": _of(_codes(RULES)),
+    "q31_defect_codes": _of(_staged_codes(RULES)),
     "q32_feature_vectors": _of(lambda im: im.features.select("*", *[F.col("hu")[i].alias(f"hu_{i + 1}") for i in range(7)]).drop("hu")),
     "q33_li_runs": _li_runs,
     "q34_li_regions": _li_regions,
-    "q35_process_codes": _of(_codes(PROCESS_RULES)),
+    "q35_process_codes": _of(_staged_codes(PROCESS_RULES)),
+    "q36_outer_contour": _of(_outer_contour),
+    "q37_chain_length": _of(_chain_length),
+    "q38_scored_vectors": _scored_vectors,
+    "q39_bitmap_runs": _bitmap_runs,
+    "q40_strip_stream": _strip_stream,
 }

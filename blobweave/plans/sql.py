@@ -129,6 +129,20 @@ _HU = """hu AS (
         sum(pow(k.r - row_, 2) * (k.c - col_)) / pow(m.area, 2.5) AS e21, sum((k.r - row_) * pow(k.c - col_, 2)) / pow(m.area, 2.5) AS e12
       FROM cells k JOIN mom m USING (image_id, region_id) GROUP BY image_id, region_id, m.mu_rr, m.mu_cc, m.mu_rc, m.area)))"""
 
+#: The outer contour walked edge by edge: where each edge between a region's pixel and another leads, then round from above the first pixel.
+_RING = """crack AS (
+  SELECT k.image_id, k.region_id, k.r, k.c, s.side, s.lr, s.lc, s.dr, s.dc FROM cells k, (VALUES (0, -1, 0, 0, 1), (1, 0, 1, 1, 0), (2, 1, 0, 0, -1), (3, 0, -1, -1, 0)) AS s(side, lr, lc, dr, dc)
+  WHERE NOT EXISTS (SELECT 1 FROM cells o WHERE o.image_id = k.image_id AND o.region_id = k.region_id AND o.r = k.r + s.lr AND o.c = k.c + s.lc)),
+lead_ AS (
+  SELECT c.image_id, c.region_id, c.r, c.c, c.side, coalesce(l.r, a.r, c.r) AS nr, coalesce(l.c, a.c, c.c) AS nc,
+    CASE WHEN l.r IS NOT NULL THEN (c.side + 3) % 4 WHEN a.r IS NOT NULL THEN c.side ELSE (c.side + 1) % 4 END AS nside, l.r IS NOT NULL OR a.r IS NOT NULL AS step
+  FROM crack c LEFT JOIN cells l ON l.image_id = c.image_id AND l.region_id = c.region_id AND l.r = c.r + c.dr + c.lr AND l.c = c.c + c.dc + c.lc
+    LEFT JOIN cells a ON a.image_id = c.image_id AND a.region_id = c.region_id AND a.r = c.r + c.dr AND a.c = c.c + c.dc),
+ring AS (
+  SELECT *, 0 AS n FROM lead_ WHERE side = 0 AND r * 64 + c = region_id
+  UNION ALL SELECT t.*, g.n + 1 FROM ring g JOIN lead_ t ON t.image_id = g.image_id AND t.region_id = g.region_id AND t.r = g.nr AND t.c = g.nc AND t.side = g.nside
+  WHERE NOT (t.side = 0 AND t.r * 64 + t.c = t.region_id))"""
+
 
 def _r(*columns: str) -> str:
     """Columns rounded to six places, without negative zero; ``expression AS name`` or a name."""
@@ -163,6 +177,7 @@ _VECTOR = f"""SELECT {_KEY}, m.area, filled_area - m.area AS area_holes, m.r1, m
       "m.area / (4 * rect2_long * rect2_short) AS fill_ratio", "inner_radius / circle_radius AS in_out_ratio", "mu_rr", "mu_cc", "mu_rc", "ia", "ib", *(f"h{i}" for i in range(1, 8)), *(f"h{i} AS hu_{i}" for i in range(1, 8)),
       "runs / sqrt(m.area) AS k_factor", "CASE WHEN diameter > 0 THEN contlength / diameter END AS contlength_by_diameter")}
 FROM {_JOINED}"""
+_PROFILE = [("coater", "area", 1.0, 50.0, False), ("coater", "convexity", 0.4, 1.0, True), ("roll_press", "anisometry", 1.0, 6.0, False), ("roll_press", "k_factor", 0.5, 3.0, True), ("slitter", "roundness", 0.2, 1.0, True)]
 _CODES = [
     ("coater", "pinhole", "circularity BETWEEN 0.7 AND 1 AND area BETWEEN 1 AND 4"), ("coater", "uncoated", "area >= 60"), ("coater", "tear", "convexity BETWEEN 0 AND 0.6"),
     ("coater", "bubbles", "holes >= 1 AND euler <= 0"), ("roll_press", "wrinkle", "anisometry >= 3 AND orientation BETWEEN -1 AND 1"), ("roll_press", "crack", "anisometry >= 4"),
@@ -210,6 +225,15 @@ UNION ALL SELECT {_KEY}, 'slitter', 'burr' FROM ({_ALL}) WHERE roundness BETWEEN
     "q32_feature_vectors": _sql(_WIDE, _VECTOR),
     "q35_process_codes": _sql([*_WIDE, f"""vector AS (SELECT {_KEY}, m.area, holes, euler, {_CIRCULARITY} AS circularity, m.area / hull_area AS convexity, anisometry, {_ORIENTATION} AS orientation, m.area / (4 * rect2_long * rect2_short) AS rectangularity,
   roundness, sides, CASE WHEN diameter > 0 THEN contlength / diameter END AS contlength_by_diameter FROM {_JOINED})"""], " UNION ALL ".join(f"SELECT {_KEY}, '{p}' AS process, '{code}' AS code FROM vector WHERE {where}" for p, code, where in _CODES)),
+    "q36_outer_contour": _sql([*_BASE, _RING], f"""SELECT {_KEY}, row_number() OVER (PARTITION BY {_KEY} ORDER BY n) - 1 AS k, r, c FROM ring WHERE step
+UNION ALL SELECT {_KEY}, 0, r1, c1 FROM box WHERE area = 1"""),
+    "q37_chain_length": _sql([*_BASE, _FILLED], f"SELECT {_KEY}, {_r('contlength')} FROM cont"),
+    "q38_scored_vectors": _sql([*_BASE, _FILLED, _HULL], f"""SELECT {_KEY}, area, {_r("anisometry", "k_factor", "convexity", "roundness", "sides", *(f"CASE WHEN {v} IS NOT NULL THEN {100 if down else 0} {'-' if down else '+'} 100 * least(1.0, greatest(0.0, ({v} - {lo}) / ({hi} - {lo}))) END AS {p}_{v}" for p, v, lo, hi, down in _PROFILE))}
+FROM ({_ALL}) JOIN (SELECT {_KEY}, sides FROM round_) USING ({_KEY})
+UNION ALL SELECT {_KEY}, area, {_r("anisometry", "k_factor", "convexity", "NULL::DOUBLE AS roundness", "NULL::DOUBLE AS sides", *(f"CASE WHEN {v} IS NOT NULL THEN {100 if down else 0} {'-' if down else '+'} 100 * least(1.0, greatest(0.0, ({v} - {lo}) / ({hi} - {lo}))) END AS {p}_{v}" for p, v, lo, hi, down in _PROFILE[:-1]))}, NULL::DOUBLE AS slitter_roundness
+FROM ({_ALL}) ANTI JOIN round_ USING ({_KEY})"""),
+    "q39_bitmap_runs": _sql([], "SELECT * FROM runs"),
+    "q40_strip_stream": _sql(_BASE, f"SELECT {_KEY}, area, {_r('row_ AS row', 'col_ AS col')}, r1, c1, r2, c2 FROM mom"),
     "q33_li_runs": _sql([], "SELECT * FROM runs", "li", 256),
     "q34_li_regions": _sql(_BASE[:1], f"SELECT {_KEY}, sum(c1 - c0 + 1)::BIGINT AS area, count(*) AS runs FROM reg GROUP BY 1, 2", "li", 256),
 }

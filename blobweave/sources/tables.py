@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import configparser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,21 @@ def flat(features: DataFrame) -> DataFrame:
 
 def write_csv(features: DataFrame, path: str) -> None:
     flat(features).write.option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, like: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote of features of schema ``like``, structs and arrays put together again; nulls and infinite numbers are kept."""
+
+    def leaf(c: Column, kind: T.DataType) -> Column:
+        return F.transform(F.split(c, " "), lambda x: x.cast(kind.elementType)) if isinstance(kind, T.ArrayType) else c
+
+    fields, columns = [], []
+    for f in like:
+        if isinstance(f.dataType, T.StructType):
+            fields += [T.StructField(f"{f.name}_{g.name}", g.dataType) for g in f.dataType]
+            columns.append(F.struct(*[leaf(F.col(f"`{f.name}_{g.name}`"), g.dataType).alias(g.name) for g in f.dataType]).alias(f.name))
+        else:
+            fields.append(T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType))
+            columns.append(leaf(F.col(f"`{f.name}`"), f.dataType).alias(f.name))
+    rows = spark.read.options(header=True, positiveInf="Infinity", negativeInf="-Infinity", nanValue="NaN", enforceSchema=False).schema(T.StructType(fields)).csv(path)
+    return rows.select(*columns)

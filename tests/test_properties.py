@@ -69,7 +69,7 @@ def test_figures_of_a_blob(mask):
     assert (again == full).all()
 
     d2 = ((pixels[:, None] - pixels) ** 2).sum(2)
-    assert G.diameter(r, c0, c1)[0] == pytest.approx(math.sqrt(d2.max()))
+    assert G.diameter(G.centre_hull(r, c0, c1))[0] == pytest.approx(math.sqrt(d2.max()))
 
     corners = G.corner_hull(r, c0, c1)
     every = np.unique(np.concatenate([pixels + d for d in itertools.product((0, 1), repeat=2)]), axis=0)
@@ -97,9 +97,12 @@ def test_figures_of_a_blob(mask):
     want = ((pixels[:, None] - back) ** 2).sum(2).min(1)
     assert (G.squared_distance(here) == want).all()
 
-    r1, k1, r2, k2 = G.inner_rectangle(here)
+    k = int(np.argmax(want))
+    assert G.inner_circle(here) == (want[k], *pixels[k])
+
+    size, r1, k1, r2, k2 = G.inner_rectangle(here)
     boxes = [(-(b - a + 1) * (d - c + 1), a, c, b, d) for a in range(12) for b in range(a, 12) for c in range(12) for d in range(c, 12) if mask[a : b + 1, c : d + 1].all()]
-    assert (r1, k1, r2, k2) == min(boxes)[1:]
+    assert (-size, r1, k1, r2, k2) == min(boxes)
 
 
 def _circles(h: np.ndarray) -> list[float]:
