@@ -32,6 +32,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import CHAR_START, FEW_IDS, class_sums, look_up, only, slices_of, staged, texts_of
@@ -140,8 +141,7 @@ def tally(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is None:
         return each.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
     known = labels.groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int")).alias(f"_{c}") for c in ("quality", "toxic")])
-    met = each.where("doc_id IS NOT NULL").join(known, F.col("doc_id") == F.col("_id"), "left").unionByName(each.where("doc_id IS NULL"), allowMissingColumns=True)
-    return met.groupBy("part", "mask").agg(
+    return each.join(known, F.col("doc_id") == F.col("_id"), "left").groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("_quality", F.lit(0))).alias("good"), F.sum(F.col("n") * F.coalesce("_toxic", F.lit(0))).alias("toxic")
     )
 
@@ -165,8 +165,7 @@ def interactions(counts: DataFrame) -> DataFrame:
         total("n", "(x.mask & bit) != 0 AND (x.mask & before) != 0").alias("redundant"), total("n", "x.mask = bit").alias("unique_fails"),
         total("good", here).alias("good_lost"), total("toxic", here).alias("toxic_lost"),
     )
-    value = rows.groupBy("part", "bit").agg(F.sum("removed").alias("shapley"))
-    return rows.join(value, ["part", "bit"]).drop("bit")
+    return rows.withColumn("shapley", F.sum("removed").over(W.partitionBy("part", "bit"))).drop("bit")
 
 
 def op13_filter_audit(spark, sf_dir: str) -> DataFrame:
