@@ -70,8 +70,11 @@ class Block:
 
     def finished(self, height: int | None) -> np.ndarray:
         """Takes out the regions that no further row can touch."""
-        ends = [x[:, 2] for x, open_ in ((self.top, self.first > 0), (self.bottom, height is None or self.last < height - 1)) if open_]
-        done = ~np.isin(self.parts[:, LABEL], np.concatenate(ends) if ends else [])
+        if self.first == 0:
+            self.top = self.top[:0]
+        if height is not None and self.last >= height - 1:
+            self.bottom = self.bottom[:0]
+        done = ~np.isin(self.parts[:, LABEL], np.concatenate([self.top[:, 2], self.bottom[:, 2]]))
         out, self.parts = self.parts[done], self.parts[~done]
         return out
 
