@@ -62,7 +62,9 @@ FAMILIES = [
     ("artistic", "artistic", 50, ["under the artistic license", "clarified artistic license"], []),
     ("ecl", "educational community", 75, ["educational community license(?: version| v)? {v}"], ["1 0", "2 0"]),
     ("rpl", "reciprocal public", 75, ["reciprocal public license(?: version| v)? {v}"], ["1 1", "1 5"]),
-    ("cecill", "cecill", 75, ["cecill(?: b| c)?(?: version| v)? ?{v}", "cecill (?:free software )?license agreement version {v}"], ["1", "1 0", "2", "2 0", "2 1"]),
+    ("cecill", "cecill", 75, ["cecill(?: version| v)? ?{v}", "cecill (?:free software )?license agreement version {v}"], ["1", "1 0", "2", "2 0", "2 1"]),
+    ("cecill-b", "cecill b", 76, ["cecill b(?: version| v)? ?{v}"], ["1", "1 0"]),
+    ("cecill-c", "cecill c", 76, ["cecill c(?: version| v)? ?{v}"], ["1", "1 0"]),
     ("mulan", "mulan", 75, ["mulan psl v{v}", "mulan permissive software license(?: version| v)? ?{v}"], ["1", "2"]),
     ("ofl", "open font", 75, ["(?:sil )?open font license(?: version| v)? {v}"], ["1 0", "1 1"]),
     ("odbl", "open database", 75, ["open database license(?: odbl)?(?: version| v)? ?{v}"], ["1 0"]),
@@ -112,7 +114,7 @@ FAMILIES = [
     ("no-commercial", "commercial use", 40, ["non ?commercial use only", "not for commercial use", "for non ?commercial use"], []),
     ("permission", "permission", 35, ["(?:used|reprinted|reproduced) (?:with|by) permission", "without (?:the )?(?:prior )?written permission"], []),
     ("terms", "terms of use", 30, ["subject to (?:the|our) terms of use", "terms of use apply"], []),
-    ("licensed", "licen", 20, ["licen[cs]ed under (?:the )?(?:terms of )?", "released under (?:the|a) \\w+(?: \\w+)? licen[cs]e", "see (?:the )?licen[cs]e(?: file)? for (?:more )?(?:details|information)"], []),
+    ("licensed", "licen", 20, ["licen[cs]ed under(?: the)?(?: terms of)?", "released under (?:the|a) \\w+(?: \\w+)? licen[cs]e", "see (?:the )?licen[cs]e(?: file)? for (?:more )?(?:details|information)"], []),
     ("bsd", "redistributions", 58, ["redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice"], []),
     ("bsd-4-clause", "advertising", 68, ["all advertising materials mentioning features or use of this software must display"], []),
     ("bsd-protection", "bsd protection", 65, ["bsd protection license"], []),
@@ -163,16 +165,19 @@ FAMILIES = [
     ("ogc", "open geospatial", 64, ["open geospatial consortium (?:software )?license"], []),
     ("oml", "open market", 62, ["open market license"], []),
     ("ldp", "linux documentation project", 64, ["linux documentation project copying license", "ldp general public license"], []),
-    ("opl", "open publication", 66, ["open publication licen[cs]e", "open content licen[cs]e"], []),
+    ("opl", "open publication", 66, ["open publication licen[cs]e"], []),
+    ("open-content", "open content", 64, ["open content licen[cs]e"], []),
     ("fal", "free art", 66, ["free art license", "licence art libre"], []),
     ("dsl", "design science", 64, ["design science license"], []),
     ("cdla", "community data license", 74, ["community data license agreement (?:permissive|sharing)"], []),
     ("dl-de", "datenlizenz deutschland", 72, ["datenlizenz deutschland (?:namensnennung|zero)"], []),
     ("etalab", "licence ouverte", 70, ["licence ouverte(?: open licence)?", "etalab 2 0"], []),
-    ("ckan", "open data license", 55, ["under an open data license", "open data license"], []),
+    ("open-data", "open data license", 55, ["under an open data license", "open data license"], []),
     ("bigscience", "rail", 74, ["bigscience (?:open ?)?rail", "open ?rail(?: m)? license", "responsible ai license"], []),
-    ("llama", "community license agreement", 70, ["\\w+ community license agreement"], []),
-    ("gust", "latex project public", 70, ["latex project public license", "gust font license"], []),
+    ("llama", "llama", 74, ["llama(?: \\d)?(?: \\d)? community license(?: agreement)?"], []),
+    ("community-license", "community license agreement", 60, ["\\w+ community license agreement"], []),
+    ("lppl", "latex project public", 70, ["latex project public license"], []),
+    ("gust", "gust font", 68, ["gust font license"], []),
     ("bitstream", "bitstream vera", 66, ["bitstream vera (?:fonts )?copyright"], []),
     ("ubuntu-font", "ubuntu font", 68, ["ubuntu font licen[cs]e"], []),
     ("arphic", "arphic", 66, ["arphic public license"], []),
@@ -181,7 +186,8 @@ FAMILIES = [
     ("libtiff", "libtiff", 62, ["libtiff license"], []),
     ("curl", "curl", 58, ["curl license"], []),
     ("jpeg", "independent jpeg group", 64, ["independent jpeg group"], []),
-    ("icu", "unicode", 60, ["unicode (?:license|terms of use)", "icu license"], []),
+    ("unicode", "unicode", 60, ["unicode (?:license|terms of use)"], []),
+    ("icu", "icu", 58, ["icu license"], []),
     ("tcl", "tcl", 55, ["tcl tk license"], []),
     ("xnet", "x net", 55, ["x net license"], []),
     ("zope", "zope public", 68, ["zope public license"], []),
@@ -232,9 +238,25 @@ class Rule:
     pattern: re.Pattern[bytes]
 
 
+def sure_texts(pattern: str) -> list[str]:
+    """Texts that whatever ``pattern`` matches holds: what lies outside of groups, classes and optional letters."""
+    for part in (r"\[[^\]]*\][?*+]?", r"\\[a-z][?*+]?"):
+        pattern = re.sub(part, "\0", pattern)
+    while (shorter := re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", "\0", pattern)) != pattern:
+        pattern = shorter
+    return [text for text in re.sub(r".[?*]", "\0", pattern).strip().split("\0") if text.strip()]
+
+
 def make_rules() -> list[Rule]:
-    """All rules in order: the families, each version of each pattern, then Creative Commons."""
+    """All rules in order: the families, each version of each pattern, then Creative Commons.
+
+    A rule's keyword is its family's if all that the pattern matches holds it, else the longest text that does.
+    """
+
     def rule(label: str, keyword: str, priority: int, pattern: str) -> Rule:
+        sure = sure_texts(pattern)
+        if sure and not any(keyword in text for text in sure):
+            keyword = max(sure, key=len)
         return Rule(label, keyword.encode(), priority, re.compile(f"(?<= ){pattern.strip()}(?= )".encode()))
 
     rules = []

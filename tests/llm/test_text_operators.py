@@ -220,3 +220,51 @@ def test_warc_with_a_popular_payload(spark, tmp_path):
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
     got = warc.resolve_revisits(warc.read_warc(spark, str(tmp_path / "w")))
     assert sorted((tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == warc_truth(rows)
+
+
+def strings_of(pattern: str) -> list[str]:
+    """A short and a long text that a rule's pattern matches: the first choices without what is optional, the last ones with it."""
+    out = []
+    for least in (True, False):
+        text = pattern.replace("\\w+", "word").replace("\\d", "9").replace("[cs]", "c" if least else "s").replace("[123]?", "" if least else "3")
+        while "(?:" in text:
+            text = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and least else m[1].split("|")[0 if least else -1], text, count=1)
+        text = re.sub(r"(.)\?", lambda m: "" if least else m[1], text)
+        out.append(" ".join(text.split()))
+    return out
+
+
+@pytest.mark.parametrize("number", range(len(licenses.RULES)))
+def test_every_license_rule_can_fire(number):
+    rule = licenses.RULES[number]
+    pattern = rule.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+    for text in strings_of(pattern):
+        joined = f" {text} ".encode()
+        spans = [m.span() for m in rule.pattern.finditer(joined)]
+        assert spans and rule.keyword in joined, (pattern, text, rule.keyword)
+        # found, or suppressed by one of at least its priority that contains it
+        got = licenses.scan(text.encode()).detections
+        assert any(a <= spans[0][0] and b >= spans[0][1] and p >= rule.priority for a, b, _, p in got), (text, got)
+
+
+def test_gate_changes_nothing(monkeypatch):
+    rng = random.Random(5)
+    made = [t for r in licenses.RULES for t in strings_of(r.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )"))]
+    texts = [" ".join(x for _ in range(12) for x in (rng.choice(made), rng.choice(["and", "the", "license", "2 0", ""]))).encode() for _ in range(150)]
+    gated = [licenses.scan(t).detections for t in texts]
+    monkeypatch.setattr(licenses, "RULES", [licenses.Rule(r.label, b"", r.priority, r.pattern) for r in licenses.RULES])
+    monkeypatch.setattr(licenses, "KEYWORDS", [b""])
+    assert [licenses.scan(t).detections for t in texts] == gated
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Gemma Community License Agreement", "community-license"), ("Llama 3 Community License Agreement", "llama"), ("Unicode terms of use", "unicode"), ("the ICU License", "icu"), ("an open data license", "open-data"),
+        ("CeCILL-C version 1", "cecill-c-1"), ("CeCILL-B 1.0", "cecill-b-1.0"), ("CeCILL v2.1", "cecill-2.1"), ("LaTeX Project Public License", "lppl"), ("GUST Font License", "gust"), ("open content licence", "open-content"),
+        ("SSPL v1", "sspl"), ("BUSL-1.1", "busl"), ("ASL 2.0", "apache"), ("Etalab 2.0", "etalab"), ("Licence Art Libre", "fal"), ("may not be reproduced", "no-copying"), ("for educational purposes only", "academic"),
+        ("the eclipse of the moon, an apache helicopter, a mozilla browser, unicode text and creative commoners under a patent roof", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    assert ",".join(licenses.scan(text.encode()).labels) == labels
