@@ -21,7 +21,8 @@ The class of a text so far is the most frequent token among its first 8, 32, 128
 
 What is learnt: counts of tokens, pairs, triples and class members over all training
 texts, as hashed n-grams that texts meet by shuffle; slots grow with the input (an
-n-gram's hash has the bits of the corpus size and HASH_SPARE more).  A chunk of a task
+n-gram's hash has the bits of the corpus size and HASH_SPARE more, so that an n-gram
+that was never met gets another's count in a few of a million lookups at any size).  A chunk of a task
 sends each of its distinct n-grams once, packed by slice of the hash range, and gets
 the counts back.  A training text is scored as if it were held out: its own counts
 are taken off, those of its copies stay.  The predictors' slots (at most JOINT joint
@@ -50,7 +51,7 @@ FOLDS, HELD_OUT = 5, 1
 END, START, ANY = np.uint64(1), np.uint64(2), np.uint64(3)
 PAIR, TRIPLE, CLASS = np.uint64(11), np.uint64(12), np.uint64(13)
 #: Bits of an n-gram's hash beyond those of the number of training tokens.
-HASH_SPARE = 7
+HASH_SPARE = 20
 SLICE_BYTES, TOKENS_HELD = 4_000_000, 1_000_000
 #: Positions from which the class is the most frequent of that many first tokens.
 CLASS_AT = (8, 32, 128, 512)

@@ -130,7 +130,6 @@ def some_rows() -> list[tuple]:
 @pytest.mark.parametrize("held", [1_000_000, 50])
 def test_scores_equal_a_plain_model(spark, monkeypatch, held):
     monkeypatch.setattr(lm, "TOKENS_HELD", held)  # 50: a chunk a text or so
-    monkeypatch.setattr(lm, "HASH_SPARE", 45)  # no two n-grams share a hash
     rows = some_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
     got = {}
