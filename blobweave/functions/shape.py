@@ -20,8 +20,7 @@ def region_base(regions: DataFrame) -> DataFrame:
     """Exact integer sums of each region: area, first to third moments about the middle of its box (o_r, o_c), box, runs.
 
     One aggregate: sums are taken about the image's origin and moved to the box's middle afterwards, both exactly.  Coordinates
-    are those of images of up to a million rows and columns; third moments of use for invariants stay within 38 digits
-    for boxes of 20,000 by 20,000 pixels.
+    are those of images of up to a million rows and columns.
     """
     y, a, b = F.col("r").cast("long"), F.col("c0").cast("long"), F.col("c1").cast("long")
     n = b - a + 1
@@ -63,6 +62,14 @@ def _exact(sum_of_products: str) -> Column:
     return out
 
 
+#: Products of sums are exact for boxes of less than this many rows and columns; beyond, they are taken in double precision about the box's middle.
+EXACT_BOX = 20_000
+
+
+def _large() -> Column:
+    return F.greatest(F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")) >= EXACT_BOX
+
+
 def _over(numerator: Column, *areas: Column) -> Column:
     out = numerator.cast("double")
     for a in areas:
@@ -75,15 +82,21 @@ def moments(base: DataFrame) -> DataFrame:
     a, sr, sc = _n("area"), _n("s_r"), _n("s_c")
     area = F.col("area").cast("double")
     r1, c1 = _n("o_r"), _n("o_c")
+
+    def mean(k: str) -> Column:
+        return F.col(f"s_{k}").cast("double") / area
+
+    def second(k: str, x: str, y: str) -> Column:
+        exact = _over(a * _n(f"s_{k}") - _n(f"s_{x}") * _n(f"s_{y}"), area, area)
+        return F.when(_large(), mean(k) - mean(x) * mean(y)).otherwise(exact)
+
     out = base.withColumns({
         "row": F.col("o_r") + F.col("s_r").cast("double") / area,
         "col": F.col("o_c") + F.col("s_c").cast("double") / area,
         "m_rr_origin": (F.col("s_rr") + 2 * r1 * sr + r1 * r1 * a).cast(SUM),
         "m_cc_origin": (F.col("s_cc") + 2 * c1 * sc + c1 * c1 * a).cast(SUM),
         "m_rc_origin": (F.col("s_rc") + r1 * sc + c1 * sr + r1 * c1 * a).cast(SUM),
-        "mu_rr": _over(a * _n("s_rr") - sr * sr, area, area),
-        "mu_cc": _over(a * _n("s_cc") - sc * sc, area, area),
-        "mu_rc": _over(a * _n("s_rc") - sr * sc, area, area),
+        "mu_rr": second("rr", "r", "r"), "mu_cc": second("cc", "c", "c"), "mu_rc": second("rc", "r", "c"),
     })
     root = F.sqrt(F.pow(F.col("mu_rr") - F.col("mu_cc"), F.lit(2.0)) + 4 * F.col("mu_rc") * F.col("mu_rc"))
     out = out.withColumn("_root", root)
@@ -152,7 +165,14 @@ def invariants(m: DataFrame) -> DataFrame:
         "12": d(d(a * a) * s["rcc"]) - d(d(a * sr) * s["cc"]) - d(2 * d(a * sc) * s["rc"]) + d(2 * d(sc * sc) * sr),
     }
     scale = F.pow(area, F.lit(4.5))
-    out = m.withColumns({f"_e{k}": v.cast("double") / scale for k, v in third.items()})
+
+    def about(k: str, x: str, y: str, z: str) -> Column:  # the third central moment of x, y and z over the area to the 1.5
+        mean = {n: F.col(f"s_{n}").cast("double") / area for n in ("r", "c", "rr", "cc", "rc", k)}
+        pair = lambda p, q: mean["".join(sorted(p + q, reverse=True))]
+        return (mean[k] - mean[x] * pair(y, z) - mean[y] * pair(x, z) - mean[z] * pair(x, y) + 2 * mean[x] * mean[y] * mean[z]) / F.pow(area, F.lit(1.5))
+
+    rounded = {"30": about("rrr", "r", "r", "r"), "03": about("ccc", "c", "c", "c"), "21": about("rrc", "r", "r", "c"), "12": about("rcc", "r", "c", "c")}
+    out = m.withColumns({f"_e{k}": F.when(_large(), rounded[k]).otherwise(v.cast("double") / scale) for k, v in third.items()})
     out = out.withColumns({"_e20": F.col("mu_rr") / area, "_e02": F.col("mu_cc") / area, "_e11": F.col("mu_rc") / area})
     e20, e02, e11, e30, e03, e21, e12 = (F.col(f"_e{k}") for k in ("20", "02", "11", "30", "03", "21", "12"))
     p, q, u, v = e30 + e12, e21 + e03, e30 - 3 * e12, 3 * e21 - e03

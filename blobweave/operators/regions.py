@@ -33,10 +33,16 @@ def band_rows_of(width: int) -> int:
 
 
 def runs_of(pixels: DataFrame, width: int) -> DataFrame:
-    """Maximal horizontal runs (image_id, run_id, r, c0, c1); repeated pixels count once."""
-    place = F.dense_rank().over(W.partitionBy("image_id", "r").orderBy("c"))
-    runs = pixels.withColumn("_g", F.col("c") - place).groupBy("image_id", "r", "_g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return runs.select("image_id", (F.col("r").cast("long") * width + F.col("c0")).alias("run_id"), "r", "c0", "c1")
+    """Maximal horizontal runs (image_id, run_id, r, c0, c1) of pixels in any order; repeated pixels count once.
+
+    One aggregate, which combines before the shuffle: the sorted set of the columns of an image's row is cut where it has gaps.
+    """
+    rows = pixels.groupBy("image_id", "r").agg(F.sort_array(F.collect_set("c")).alias("_c"))
+    c = F.col("_c")
+    starts = F.filter(c, lambda x, i: (i == 0) | (F.get(c, i - 1) != x - 1))
+    ends = F.filter(c, lambda x, i: (i == F.size(c) - 1) | (F.get(c, i + 1) != x + 1))
+    runs = rows.select("image_id", "r", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("x"))
+    return runs.select("image_id", (F.col("r").cast("long") * width + F.col("x.s")).alias("run_id"), "r", F.col("x.s").alias("c0"), F.col("x.e").alias("c1"))
 
 
 def touching(r: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:

@@ -56,11 +56,11 @@ def emb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def li_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image for each return flag and line status; part number by fortnight of shipping."""
+    """An image for each return flag and line status; part number by fortnight of shipping.  Pixels come more than once."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     image = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
     c = F.floor(F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 14)
-    return rows.select(image.cast("long").alias("image_id"), F.pmod("l_partkey", F.lit(LI_WIDTH)).cast("int").alias("r"), c.cast("int").alias("c")).distinct()
+    return rows.select(image.cast("long").alias("image_id"), F.pmod("l_partkey", F.lit(LI_WIDTH)).cast("int").alias("r"), c.cast("int").alias("c"))
 
 
 def mask_pixels(spark: SparkSession, masks: dict[int, list[str]]) -> DataFrame:

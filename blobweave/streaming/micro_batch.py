@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.features import Images
 
 
-def stream_features(pixels: DataFrame, width: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False) -> StreamingQuery:
+def stream_features(pixels: DataFrame, width: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, height: int | None = None, once: bool = False) -> StreamingQuery:
     """Hand the feature vectors of each micro-batch of ``pixels`` (a stream) to ``sink(features, batch_id)``.
 
     ``sink`` may see a batch again after a failure and should write by batch id.  What it
@@ -18,7 +18,7 @@ def stream_features(pixels: DataFrame, width: int, sink: Callable[[DataFrame, in
     """
 
     def take(batch: DataFrame, n: int) -> None:
-        images = Images(batch, width)
+        images = Images(batch, width, height)
         try:
             sink(images.features, n)
         finally:

@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from blobweave.functions import geometry as G
+from blobweave.functions import shape
 from blobweave.operators import contract
 from blobweave.operators.regions import fill_up, regions_of, runs_of
 from blobweave.plans.features import FEATURES, Images
 from blobweave.sources.rasters import array_runs, mask_pixels
+from blobweave.streaming.micro_batch import stream_features
 
 from .masks import disc, text
 from .test_properties import blobs, runs
@@ -157,3 +159,29 @@ def test_features_do_not_depend_on_bands(spark, pixels):
     for im in (whole, cut):
         im.release()
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) < kept
+
+
+def test_moments_of_large_boxes(spark):
+    """Boxes beyond those whose products of sums are exact, in one table with a small one."""
+    rng = np.random.default_rng(3)
+    rows = [(1, g, 0, int(r), int(c), int(c + n)) for g, size in ((1, 900_000), (2, 300)) for r, c, n in zip(rng.integers(0, size, 60), rng.integers(0, size, 60), rng.integers(0, 60, 60), strict=True)]
+    base = shape.region_base(spark.createDataFrame(rows, "image_id long, region_id long, run_id long, r int, c0 int, c1 int"))
+    for got in shape.eccentricity(shape.invariants(shape.moments(base))).collect():
+        p = np.array([(r, c) for _, g, _, r, a, b in rows if g == got["region_id"] for c in range(a, b + 1)], float)
+        d = p - p.mean(0)
+        assert (got["row"], got["col"]) == pytest.approx(tuple(p.mean(0))) and got["area"] == len(p)
+        assert (got["mu_rr"], got["mu_cc"], got["mu_rc"]) == pytest.approx(((d[:, 0] ** 2).mean(), (d[:, 1] ** 2).mean(), (d[:, 0] * d[:, 1]).mean()), rel=1e-9)
+        e30, e12, e21, e03 = ((d[:, 0] ** a * d[:, 1] ** b).sum() / len(p) ** 2.5 for a, b in ((3, 0), (1, 2), (2, 1), (0, 3)))
+        assert got["h4"] == pytest.approx((e30 + e12) ** 2 + (e21 + e03) ** 2, rel=1e-6)
+        assert got["h3"] == pytest.approx((e30 - 3 * e12) ** 2 + (3 * e21 - e03) ** 2, rel=1e-6)
+
+
+def test_batches_leave_nothing_cached(spark, tmp_path):
+    for k in range(3):
+        mask_pixels(spark, {k: text(MASKS[k])}).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    stream = spark.readStream.schema("image_id long, r int, c int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    seen = []
+    query = stream_features(stream, 50, lambda features, n: seen.append((n, features.select("area", "euler").count())), str(tmp_path / "state"), once=True)
+    query.awaitTermination()
+    assert len(seen) == 3 and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
