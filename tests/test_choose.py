@@ -20,7 +20,7 @@ INF = math.inf
 
 @pytest.fixture(scope="module")
 def features(spark):
-    return Images(mask_pixels(spark, {i: text(m) for i, (_, m) in DRAWN.items() if i != 8}), 1000).features.persist()
+    return Images(mask_pixels(spark, {i: text(m) for i, (_, m) in DRAWN.items() if i != 8}), 1000, 300).features.persist()
 
 
 def ids(df):

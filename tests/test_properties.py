@@ -145,7 +145,7 @@ def moore_length(mask: np.ndarray) -> float:
 
 
 def test_features_of_blobs(spark):
-    got = {r["image_id"]: r for r in Images(mask_pixels(spark, {i: text(m) for i, m in enumerate(BLOBS)}), 100).features.collect()}
+    got = {r["image_id"]: r for r in Images(mask_pixels(spark, {i: text(m) for i, m in enumerate(BLOBS)}), 100, 12).features.collect()}
     assert len(got) == len(BLOBS)
     for i, m in enumerate(BLOBS):
         r, p = got[i], np.argwhere(m).astype(float)
@@ -169,7 +169,7 @@ def test_moves_and_turns(spark):
     masks = BLOBS[40:]
     shifted = {i: text(np.pad(m, ((7, 0), (11, 0)))) for i, m in enumerate(masks)}
     turned = {i: text(np.rot90(m)) for i, m in enumerate(masks)}
-    plain, other, turn = ({r["image_id"]: r for r in Images(mask_pixels(spark, x), 100).features.collect()} for x in ({i: text(m) for i, m in enumerate(masks)}, shifted, turned))
+    plain, other, turn = ({r["image_id"]: r for r in Images(mask_pixels(spark, x), 100, 30).features.collect()} for x in ({i: text(m) for i, m in enumerate(masks)}, shifted, turned))
     for i in plain:
         for name in MOVED:
             a = plain[i][name]
