@@ -237,8 +237,7 @@ def audited(docs, labels):
     return {tuple(r) for r in audit.interactions(audit.tally(docs, labels)).select(*COLUMNS).collect()}
 
 
-@pytest.mark.parametrize("collide", [False, True])
-@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize(("collide", "few"), [(False, 0), (True, 10**6)])
 def test_audit(spark, monkeypatch, collide, few):
     monkeypatch.setattr(audit, "FEW_IDS", few)
     monkeypatch.setattr(audit, "PART_ROWS", 7)
