@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Spark's setting by which a query's shuffle files are deleted at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,7 +39,12 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again; ``unstage`` deletes it."""
     spark = df.sparkSession
     path = fresh(spark, what)
-    df.write.parquet(path)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held or "false")
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -97,4 +97,4 @@ def test_a_thin_diagonal_takes_no_box():
     g = geometry.Region(n, n, n + 1)
     assert g.contour_length()[0] == pytest.approx(2 * 49_999 * math.sqrt(2) + 2) and g.filled_area() == (100_000,)
     assert geometry.inner_circle(g.pixels) == (1, 0, 0) and geometry.inner_rectangle(g.pixels) == (2, 0, 0, 0, 1)
-    assert geometry.diameter(*g.runs)[0] == pytest.approx(math.hypot(49_999, 50_000))
+    assert geometry.diameter(g.centres)[0] == pytest.approx(math.hypot(49_999, 50_000))
