@@ -53,13 +53,26 @@ def staged(df: DataFrame, what: str = "stage", compression: str | None = None) -
     """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        if at := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete all that this session has staged; no DataFrame built on it can be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/blobweave/{_session}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/blobweave/{_session}")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 class Forest:
@@ -74,9 +74,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        dropped(least)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(old, large, least)
         before, state = state, mark(now)
         if state == before:
             return spark.createDataFrame([], "node long, component long") if not state[0] else now.select(F.col("u").alias("node"), F.col("v").alias("component"))

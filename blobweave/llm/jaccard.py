@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import look_up, mixed, only, partitions, slices_of, staged, texts_of, window_hashes, word_hashes
+from .common import dropped, look_up, mixed, only, partitions, slices_of, staged, texts_of, window_hashes, word_hashes
 from .graph import Forest, components
 
 N, LEAST_PERCENT = 4, 85
@@ -246,14 +246,16 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def without_spare(rows: DataFrame) -> DataFrame:
-    """(leader, class) of ``rows`` (block_rows), less the rows of large blocks whose classes meet their links by other keys."""
+    """(leader, class) of the staged ``rows`` (block_rows), less the rows of large blocks whose classes meet their links by other keys; ``rows`` is dropped."""
     counts = rows.groupBy("leader").agg(F.count("*").alias("_n"))
     hot = staged(counts.where(F.col("_n") > BLOCK_ROWS), "hot-leaders")
     crowded = staged(look_up(rows, hot.withColumn("is_hot", F.lit(True)), "leader", "_n"), "crowded-rows")
     plain = crowded.where("is_hot IS NULL").select("leader", "class")
     tied = crowded.where("is_hot").groupBy("class").agg(F.sum("keys").alias("ties"), F.min("spare").alias("least"))
     stuck = crowded.where("is_hot").join(tied.where("ties >= least").select("class"), "class")
-    return plain.unionByName(stuck.select("leader", "class"))
+    out = staged(plain.unionByName(stuck.select("leader", "class")), "block-rows")
+    dropped(rows, hot, crowded)
+    return out
 
 
 def product(columns: np.ndarray, offsets: np.ndarray, row: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -328,7 +330,7 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     ``table``: class, its representative ``rep`` and its number of rows.
     """
     spark = docs.sparkSession
-    found = staged(without_spare(staged(block_rows(docs, n, percent), "tied-rows")), "block-rows")
+    found = without_spare(staged(block_rows(docs, n, percent), "tied-rows"))
     reps = table.where("rep IS NOT NULL").select("class", "rep")
 
     # blocks that share classes are one, with each class once, unless that gets too large
@@ -339,13 +341,16 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     small_heads = few.select(F.col("component").alias("leader"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("role"), F.col("component").alias("class"))
     large = counts.where(F.col("_n") >= BLOCK_ROWS).select("component")
     members = large.select(F.col("component").alias("class")).unionByName(merged.join(large, "component").select(F.col("node").alias("class")))
-    found = staged(found.join(staged(members, "large-members"), "class"), "large-rows")
+    members = staged(members, "large-members")
+    every, found = found, staged(found.join(members, "class"), "large-rows")
+    dropped(every, members)
 
     sizes = staged(found.groupBy("leader").agg(F.count("*").alias("_n")).withColumn("parts", F.ceil(F.col("_n") / BLOCK_ROWS)), "block-sizes")
     dealt = look_up(found, sizes, "leader", "_n").withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
     own = dealt.select("leader", "part", F.lit(1).alias("role"), "class")
     heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("class"))
     placed = staged(small.unionByName(small_heads).unionByName(own).unionByName(heads), "placed")
+    dropped(merged, counts, found)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches, SLICE_BYTES):
@@ -355,16 +360,18 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["places"], pa.array(got, pa.binary())], ["node", "places", "grams"]).filter(right)
 
     def multiplied(rows: DataFrame) -> DataFrame:
-        """The product of the blocks in ``rows``; texts go from the scan to their places, without a join of sets."""
+        """The product of the blocks in ``rows``, staged; texts go from the scan to their places, without a join of sets."""
         places = rows.groupBy("class").agg(F.collect_list(F.struct("leader", "part", "role")).alias("places"))
         wanted = staged(places.join(reps, "class").select(F.col("rep").alias("doc_id"), "class", "places"), "places")
         texts = only(docs.select("doc_id", "text"), wanted, "doc_id", "places").select("doc_id", "class", "places", "text")
         sets = texts.mapInArrow(grams, f"node long, places {wanted.schema['places'].dataType.simpleString()}, grams binary")
         met = sets.select("node", "grams", F.explode("places").alias("p")).select("p.leader", "p.part", "p.role", "node", "grams")
         blocks = met.repartition(partitions(spark), "leader", "part").sortWithinPartitions("leader", "part", "role", "node")
-        return blocks.mapInArrow(_multiply(percent), "u long, v long, apart boolean, part long")
+        out = staged(blocks.mapInArrow(_multiply(percent), "u long, v long, apart boolean, part long"), "links")
+        dropped(wanted)
+        return out
 
-    first = staged(multiplied(placed), "links")
+    first = multiplied(placed)
     edges = first.where("NOT apart").select("u", "v")
     # rows that don't link with the leader of a block of several parts visit the other parts
     alone = first.where("apart").select(F.col("u").alias("leader"), F.col("v").alias("rep"), F.col("part").alias("own"))
