@@ -45,10 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import SLICE_BYTES, Automaton, Encoder, load
+from .bpe import Automaton, Encoder, load
 from .common import slices_of, staged
 
 LENGTH, END = 2048, 1
+#: Bytes of text that are encoded together; tasks here do nothing else.
+ENCODED_BYTES = 2_000_000
 #: Tokens that are planned together, in windows.
 BLOCK_WINDOWS = 256
 #: Rows of the table of offsets that are broadcast at most.
@@ -63,7 +65,7 @@ def encoded(docs: DataFrame, automaton: Automaton, end: int, kind: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, seen, part = Encoder(told.value), {}, TaskContext.get().partitionId()
-        for batch in slices_of(batches, SLICE_BYTES):
+        for batch in slices_of(batches, ENCODED_BYTES):
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)).astype(kind) for x in e.encode([t or "" for t in batch["text"].to_pylist()])]
             before = []
             for source, x in zip(batch["source"].to_pylist(), ids, strict=True):
