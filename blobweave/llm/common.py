@@ -148,6 +148,11 @@ def only(rows: DataFrame, ids: DataFrame, key: str, array: str | None = None) ->
     return rows.join(F.broadcast(ids) if ids.agg(size).first()[0] <= FEW_IDS else ids, key)
 
 
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is null or not in the staged table ``ids``: by broadcast up to FEW_IDS of them, else by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, "left_anti")
+
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 

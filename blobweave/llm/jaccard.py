@@ -37,10 +37,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, look_up, mixed, only, partitions, slices_of, staged, texts_of, window_hashes, word_hashes
+from .common import dropped, look_up, mixed, only, partitions, slices_of, staged, texts_of, window_hashes, without, word_hashes
 from .graph import Forest, components
 
 N, LEAST_PERCENT = 4, 85
@@ -50,8 +49,10 @@ BLOCK_ROWS = 400
 MOST_TILES = 1 << 31
 #: Bytes of text that are cut to n-grams together, and keys that a task holds before it sends them.
 SLICE_BYTES, KEYS_HELD = 1_000_000, 1_500_000
-#: Bytes of a key that are sent beside its slice; keys that agree in these by chance only cost a product.
+#: Bytes of a key that are sent beside its share; keys that agree in these by chance only cost a product.
 KEY_BYTES = 5
+#: Keys that are sorted together.
+SLICE_KEYS = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,10 +159,10 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(leader, class, keys: how many tie them, spare of the class): the classes of each block but its leader.
 
     Keys travel packed: a task's (key, class) pairs go out as one binary row per
-    slice of the key range, sorted and without repeats, a key as its low bytes and
-    a class as its place among the row's classes.
+    share of the key range, a class once with the low bytes of all its keys there.
+    A share is one partition; it is unpacked and sorted SLICE_KEYS or so at a time.
     """
-    slices = 8 * partitions(docs.sparkSession)
+    shares = partitions(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,23 +172,24 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             key, member = np.concatenate(held).T if held else np.zeros((2, 0), np.uint64)
             classes, place, index = np.unique(member, return_index=True, return_inverse=True)
             spare = np.concatenate(spares)[place] if spares else np.zeros(0, np.int64)
-            order = np.lexsort((index, key))
-            key, index = key[order], index[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (index[1:] != index[:-1])
-            key, index = key[new], index[new]
             held.clear()
             spares.clear()
-            where = (key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+            where = (key >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
+            order = np.lexsort((key, index, where))
+            key, index, where = key[order], index[order], where[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (index[1:] != index[:-1])
+            key, index, where = key[new], index[new], where[new]
+            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(key)]
             rows = []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if j > i:
-                    own, local = np.unique(index[i:j], return_inverse=True)
-                    low = np.ascontiguousarray(key[i:j]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-                    rows.append((int(where[i]), low.tobytes(), local.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), classes[own].tobytes(), spare[own].astype("<i2").tobytes()))
+                    first = np.flatnonzero(np.diff(index[i:j], prepend=-1))
+                    own, counts = index[i:j][first], np.diff(np.append(first, j - i))
+                    rows.append((int(where[i]), low[i:j].tobytes(), counts.astype(f"<u{1 if counts.max() < 256 else 4}").tobytes(), classes[own].tobytes(), spare[own].astype("<i2").tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["slice", "keys", "index", "classes", "spares"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["share", "keys", "counts", "classes", "spares"])
 
         total = 0
         for batch in slices_of(batches, SLICE_BYTES):
@@ -202,18 +204,21 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         yield flush()
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # all pairs of a key are in one slice; rows come sorted by slice
-        slice_now, held = -1, []
-
-        def unpacked(keys: bytes, index: bytes, classes: bytes, spares: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            low = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-            low[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
-            local = np.frombuffer(index, "<u2" if len(index) == 2 * len(low) else "<u4")
-            return low.view("<u8").ravel(), np.frombuffer(classes, np.uint64)[local], np.frombuffer(spares, "<i2")[local]
-
-        def out() -> pa.RecordBatch:
-            key, member, spare = (np.concatenate(c) for c in zip(*(unpacked(*x) for x in held), strict=True)) if held else (np.zeros(0, np.uint64),) * 3
-            held.clear()
+        # all pairs of a key are in one task, and in one of its slices
+        held = [row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("keys", "counts", "classes", "spares")), strict=True)]
+        bits = min(8, (sum(len(row[0]) for row in held) // KEY_BYTES // SLICE_KEYS).bit_length())
+
+        def unpacked(at: int, keys: bytes, counts: bytes, classes: bytes, spares: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+            own = np.flatnonzero(low[:, -1].astype(np.int64) >> (8 - bits) == at)
+            wide = np.zeros((len(own), 8), np.uint8)
+            wide[:, :KEY_BYTES] = low[own]
+            number = np.frombuffer(counts, f"<u{8 * len(counts) // len(classes)}")
+            of = np.repeat(np.arange(len(number)), number)[own]
+            return wide.view("<u8").ravel(), np.frombuffer(classes, np.uint64)[of], np.frombuffer(spares, "<i2")[of]
+
+        for at in range(1 << bits if held else 0):
+            key, member, spare = (np.concatenate(c) for c in zip(*(unpacked(at, *row) for row in held), strict=True))
             order = np.lexsort((member, key))
             key, member, spare = key[order], member[order], spare[order]
             first = np.ones(len(key), bool)
@@ -227,20 +232,12 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             leader, member, spare = leader[order], member[order], spare[order]
             new = np.ones(len(leader), bool)
             new[1:] = (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])
-            at = np.flatnonzero(new)
-            ties = np.diff(np.append(at, len(leader)))
-            return pa.RecordBatch.from_arrays([_signed(leader[at]), _signed(member[at]), pa.array(ties), pa.array(spare[at].astype(np.int64))], ["leader", "class", "keys", "spare"])
+            start = np.flatnonzero(new)
+            ties = np.diff(np.append(start, len(leader)))
+            yield pa.RecordBatch.from_arrays([_signed(leader[start]), _signed(member[start]), pa.array(ties), pa.array(spare[start].astype(np.int64))], ["leader", "class", "keys", "spare"])
 
-        for batch in batches:
-            for at, *packed in zip(batch["slice"].to_pylist(), *(batch[c].to_pylist() for c in ("keys", "index", "classes", "spares")), strict=True):
-                if at != slice_now:
-                    yield out()
-                    slice_now = at
-                held.append(packed)
-        yield out()
-
-    packed = docs.select("text").mapInArrow(pack, "slice int, keys binary, index binary, classes binary, spares binary")
-    dealt = packed.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
+    packed = docs.select("text").mapInArrow(pack, "share int, keys binary, counts binary, classes binary, spares binary")
+    dealt = packed.repartitionById(shares, "share")
     tied = dealt.mapInArrow(lead, "leader long, class long, keys long, spare long")
     return tied.groupBy("leader", "class").agg(F.sum("keys").alias("keys"), F.min("spare").alias("spare"))
 
@@ -318,7 +315,9 @@ def _multiply(percent: int):
                 if key != now:
                     yield from out()
                     now = key
-                rows.append((role.as_py(), node.as_py(), grams.as_py()))
+                row = (role.as_py(), node.as_py(), grams.as_py())
+                if not rows or rows[-1][:2] != row[:2]:  # rows of a document may be repeated, and lie side by side
+                    rows.append(row)
         yield from out()
 
     return run
@@ -413,11 +412,16 @@ def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat the smallest doc_id, the first in the order of their other columns stays.
     """
-    gone = near_duplicates(docs, n=n, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = staged(near_duplicates(docs, n=n, percent=percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    many = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "doc_id"}  # other columns may have any name
     inner = docs.select("doc_id", *[F.col(c).alias(x) for c, x in names.items()])
-    kept = inner.join(staged(gone, "near-copies"), "doc_id", "left_anti")
-    sortable = [F.to_json(F.struct(x)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(x) for c, x in names.items()]
-    order = W.partitionBy("doc_id").orderBy(*sortable or [F.lit(1)])
-    first = kept.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
-    return first.where("_n = 1").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    # texts stay where they are unless more than FEW_IDS documents go
+    once = without(inner, staged(gone.unionByName(many).distinct(), "not-once"), "doc_id")
+    again = staged(many.join(gone, "doc_id", "left_anti"), "again")
+    out = once
+    if not again.isEmpty():
+        sortable = [F.to_json(F.struct(x)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(x) for c, x in names.items()]
+        least = F.min_by(F.struct(*names.values()), F.struct(*sortable)).alias("row")
+        out = once.unionByName(only(inner, again, "doc_id").groupBy("doc_id").agg(least).select("doc_id", "row.*"))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

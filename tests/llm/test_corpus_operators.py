@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blobweave.llm import graph, jaccard, lines, mixing, queries, substrings, vectors
@@ -121,6 +122,35 @@ def test_block_keys_reach_every_link():
                 assert len(set(keys[owner == 0]) & set(keys[owner == 1])) >= max(1, *spare)
 
 
+def test_keep_one_of_repeated_rows(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(4)]
+    # id 1: three rows, one of them null in a column; 2 and 3 are copies of each other, each twice; 4 is a copy of 1; ids may be null
+    rows = [(1, texts[0], "b", {"x": 2}), (1, texts[0], "a", {"x": 1}), (1, texts[0], None, None), (2, texts[1], "q", {}), (2, texts[1], "p", {}), (3, texts[1], "o", {}), (3, texts[1], "o", {}), (4, texts[0], "z", None), (None, texts[2], "n", None), (None, texts[2], "n", None), (5, texts[3], "e", {"k": 7})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, more map<string,int>")
+    got = jaccard.keep_one(docs.repartition(3))
+    assert got.columns == docs.columns
+    want = [rows[2], rows[4], rows[8], rows[9], rows[10]]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_representative_whose_row_is_repeated(spark, monkeypatch):
+    """A block holds one row of it, however often the document's row is repeated."""
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(200)]
+    near = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(8)]
+    rows = near + [near[0]] * 400 + [(50, " ".join(rng.choices(base, k=200)))]
+    most = []
+    plain = jaccard.product
+    monkeypatch.setattr(jaccard, "product", lambda columns, offsets, row, marks: most.append(len(offsets)) or plain(columns, offsets, row, marks))
+    blocks = [(1, 0, int(i > 0), i, jaccard.shingle_sets([t.encode()], 4)[0].tobytes()) for i, t in near for _ in range(300 if i == 3 else 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks, strict=True)], ["leader", "part", "role", "node", "grams"])
+    (out,) = jaccard._multiply(85)(iter([batch]))
+    assert max(most) == len(near) + 1 and out.num_rows == len(near) - 1
+    _, comps = jaccard_truth(rows[:8] + rows[-1:], 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == comps
+
+
 def test_keep_one(spark):
     rows = [(4, "a b c d e f g", "x", 1), (2, "a b c d e f g", "y", 2), (2, "a b c d e f g", "z", 3), (9, None, "x", 4), (None, "a b c d e f g", "x", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, class int").selectExpr("*", "class AS _n", "map('a', class) AS m")
