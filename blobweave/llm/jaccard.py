@@ -14,6 +14,7 @@ of every two sets.  Only blocks of it are computed that can hold a link:
 * Spare buckets.  Linked sets agree in more buckets than they need to meet: m - H, of
   which some may be empty.  So a set leaves the blocks of more than BLOCK_ROWS rows, if
   fewer of its keys than that lie in such blocks: it meets its links by another key.
+  One that lies in fewer blocks of any size than that has no link and leaves all.
 * The smallest set of a key leads its block: each other set becomes a row of the
   leader's block.  Blocks that share sets are merged while they are small, so that
   most sets are sent once.  In a block the product with the leader comes first; then that
@@ -243,7 +244,13 @@ def block_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def without_spare(rows: DataFrame) -> DataFrame:
-    """(leader, class) of the staged ``rows`` (block_rows), less the rows of large blocks whose classes meet their links by other keys; ``rows`` is dropped."""
+    """(leader, class) of the staged ``rows`` (block_rows), less those of classes that have no links, and those of large blocks whose classes meet their links by other keys; ``rows`` is dropped."""
+    # a set that shares fewer keys than with any it is linked with, those that it leads counted once for each row, has no link
+    tied = rows.groupBy("class").agg(F.sum("keys").alias("ties"), F.min("spare").alias("least"))
+    led = rows.groupBy(F.col("leader").alias("class")).agg(F.sum("keys").alias("led"))
+    alone = staged(tied.join(led, "class", "left").where("ties + coalesce(led, 0) < least").select("class"), "unlinked")
+    every, rows = rows, staged(without(rows, alone, "class"), "linked-rows")
+    dropped(every, alone)
     counts = rows.groupBy("leader").agg(F.count("*").alias("_n"))
     hot = staged(counts.where(F.col("_n") > BLOCK_ROWS), "hot-leaders")
     crowded = staged(look_up(rows, hot.withColumn("is_hot", F.lit(True)), "leader", "_n"), "crowded-rows")
