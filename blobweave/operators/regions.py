@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,11 @@ def band_rows_of(width: int) -> int:
     return max(1, BAND_PIXELS // width)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks of a shuffle before costly work: given as a number, adaptive plans don't put small partitions together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def runs_of(pixels: DataFrame, width: int) -> DataFrame:
     """Maximal horizontal runs (image_id, run_id, r, c0, c1) of pixels in any order; repeated pixels count once.
 

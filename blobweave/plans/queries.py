@@ -12,7 +12,7 @@ from ..functions.geometry import geometry
 from ..functions.shape import KEY
 from ..operators.choose import rule_rows, scores, select_shape, with_scores
 from ..operators.outline import chain_length
-from ..operators.regions import fill_up, runs_of
+from ..operators.regions import fill_up, runs_of, shuffle_tasks
 from ..operators.staging import fresh
 from ..sources.bitmaps import write_bitmaps
 from ..sources.rasters import EMB_HEIGHT, EMB_WIDTH, LI_HEIGHT, LI_WIDTH, emb_runs, li_pixels
@@ -41,6 +41,8 @@ roundness.vMax = 1
 roundness.dir = decreasing
 """
 INF = float("inf")
+#: Batches of the rows of _strip_stream.
+STRIP_BATCHES = 3
 RULES = [
     ("coater", "bubbles", [("holes", 1, INF), ("euler", -INF, 0)]),
     ("coater", "tear", [("convexity", 0, 0.6), ("area", 5, INF)]),
@@ -146,23 +148,27 @@ def _bitmap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs_of(spark.read.format("bitmap").load(where), EMB_WIDTH))
 
 
+def scattered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the embedding images (image_id, r, runs in order, none in empty rows), spread by hash over as many tasks as shuffles have."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id IS NOT NULL")
+    every = vectors.select(F.floor(F.col("vec_id") / EMB_WIDTH).alias("image_id"), F.pmod("vec_id", F.lit(EMB_WIDTH)).cast("int").alias("r"))
+    both = every.unionByName(emb_runs(spark, sf_dir).where("image_id IS NOT NULL").select("image_id", "r", "c0", "c1"), allowMissingColumns=True)
+    runs = F.sort_array(F.collect_list(F.when(F.col("c0").isNotNull(), F.struct("c0", "c1"))))  # collect_list leaves out the nulls
+    return both.repartition(shuffle_tasks(spark), "image_id", "r").groupBy("image_id", "r").agg(runs.alias("runs"))
+
+
 def _strip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the images in scattered order, as a stream of several batches."""
     where = fresh(spark, "strips")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    runs = emb_runs(spark, sf_dir).groupBy("image_id", "r").agg(F.sort_array(F.collect_list(F.struct("c0", "c1"))).alias("runs"))
-    every = vectors.select(F.floor(F.col("vec_id") / EMB_WIDTH).alias("image_id"), F.pmod("vec_id", F.lit(EMB_WIDTH)).cast("int").alias("r"))
-    rows = every.join(runs, ["image_id", "r"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<c0:int,c1:int>>")))
-    rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(86_400))).withColumn("_part", F.pmod(F.xxhash64("image_id", "r"), F.lit(3)))
-    for part in range(3):
-        rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.parquet(f"{where}/in/{part}")
+    scattered_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(86_400))).write.parquet(f"{where}/in/0")
+    files = len(spark.read.parquet(f"{where}/in/0").inputFiles())
     # a row of another time moves the watermark on
     later = spark.createDataFrame([(-1, 0, [])], "image_id long, r int, runs array<struct<c0:int,c1:int>>").withColumn("ts", F.timestamp_seconds(F.lit(2 * 86_400)))
-    later.coalesce(1).write.parquet(f"{where}/in/3")
+    later.coalesce(1).write.parquet(f"{where}/in/1")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*").withWatermark("ts", "1 minute")
+        stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", -(-files // STRIP_BATCHES)).parquet(f"{where}/in/*").withWatermark("ts", "1 minute")
         query = strip_features(stream, EMB_WIDTH).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
