@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,13 +20,12 @@ Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Strict convex hull of distinct integer points (r, c), in one turning sense."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
-    rows = points.tolist()
+    rows = sorted(set(map(tuple, points.tolist())))
+    if len(rows) < 3:
+        return np.array(rows)
 
-    def chain(seq: list[list[int]]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def chain(seq: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
         for p in seq:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
@@ -269,6 +268,8 @@ def inner_circle(p: Pixels) -> tuple[int, int, int]:
     """
     least = np.minimum(np.minimum(p.up, p.down), np.minimum(p.c - p.c0, p.c1 - p.c) + 1)
     most = np.maximum.reduceat(least, p.first) ** 2
+    if most.max() == 1:  # every pixel has the background next to it
+        return 1, int(p.r[0]), int(p.c[0])
     order = np.argsort(-most, kind="stable")
     best, at = (0, 0), 0
     while at < len(order) and most[order[at]] >= best[0]:
@@ -429,12 +430,39 @@ FAMILIES: dict[str, tuple[str, Callable[[Region], tuple]]] = {
 }
 
 
-def geometry(regions: DataFrame, families: list[str]) -> DataFrame:
-    """image_id, region_id and the columns of ``families`` of every region; others cost nothing."""
-    found = [FAMILIES[f][1] for f in families]
+#: Runs of a shape at most whose figures are kept for regions of the same shape, and shapes that a process keeps.
+RUNS_KEPT, SHAPES_KEPT = 16, 20_000
+
+
+def figures(families: tuple[str, ...], r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple:
+    region = Region(r, c0, c1)
+    return sum((FAMILIES[f][1](region) for f in families), ())
+
+
+@lru_cache(SHAPES_KEPT)
+def _shape_figures(families: tuple[str, ...], runs: bytes) -> tuple:
+    """Figures of the region whose box begins at (0, 0)."""
+    return figures(families, *np.frombuffer(runs, np.int64).reshape(3, -1))
 
-    def measure(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> list[tuple]:
-        region = Region(r, c0, c1)
-        return [sum((f(region) for f in found), ())]
 
-    return by_region(regions, ["r", "c0", "c1"], measure, ", ".join(["image_id long, region_id long", *(FAMILIES[f][0] for f in families)]))
+def measure(families: tuple[str, ...]) -> Callable[..., list[tuple]]:
+    """Kernel: the columns of ``families``.  Small regions are found where they would lie at (0, 0), each shape once while it is kept, and moved."""
+    names = [x.split()[0] for f in families for x in FAMILIES[f][0].split(", ")]
+    moved = [(k, n.endswith(("_row", "_r1", "_r2"))) for k, n in enumerate(names) if n.endswith(("_row", "_r1", "_r2", "_col", "_c1", "_c2"))]
+
+    def kernel(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> list[tuple]:
+        if len(r) > RUNS_KEPT:
+            return [figures(families, r, c0, c1)]
+        top, left = int(r[0]), int(c0.min())
+        out = list(_shape_figures(families, np.array([r - top, c0 - left, c1 - left]).tobytes()))
+        for k, down in moved:
+            if out[k] is not None:
+                out[k] += top if down else left
+        return [tuple(out)]
+
+    return kernel
+
+
+def geometry(regions: DataFrame, families: list[str]) -> DataFrame:
+    """image_id, region_id and the columns of ``families`` of every region; others cost nothing."""
+    return by_region(regions, ["r", "c0", "c1"], measure(tuple(families)), ", ".join(["image_id long, region_id long", *(FAMILIES[f][0] for f in families)]))

@@ -131,7 +131,8 @@ def by_region(rows: DataFrame, columns: list[str], kernel, schema: str, keys: tu
                     held.append([v[i:j] for v in values])
         yield from out(0)
 
-    return rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, schema)
+    # by a hash of the keys, as a plan that already deals by the keys would leave a shuffle by them out, and its own may be put together
+    return rows.select(*dict.fromkeys([*keys, *columns])).repartition(shuffle_tasks(rows.sparkSession), F.xxhash64(*keys)).sortWithinPartitions(*keys, *columns).mapInArrow(run, schema)
 
 
 PART = ("image_id", "region_id", "band")
@@ -153,6 +154,8 @@ def filled(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, n
     The background of the box with a margin of one is cut into runs; those that do
     not reach the margin 4-connectedly are holes.
     """
+    if (np.diff(r) > 0).all():  # a hole lies between two runs of a row
+        return r, c0, c1
     top, bottom, left, right = r.min() - 1, r.max() + 1, c0.min() - 1, c1.max() + 1
     # background runs: from the margin or a run's end to the next run or the margin
     rows = np.concatenate([[top], r, np.flatnonzero(np.bincount(r - r.min())) + r.min(), [bottom]])
