@@ -65,7 +65,7 @@ class Images:
     def one_band(self) -> bool:
         return self.height is not None and self.height <= self.band_rows
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist())
         return self._kept[-1]
 
@@ -82,11 +82,11 @@ class Images:
     @cached_property
     def once(self) -> DataFrame:
         """The regions, for a result that reads them once."""
-        return regions_of(self.runs, height=self.height, band_rows=self.band_rows, keep=self._keep)
+        return regions_of(self.runs, height=self.height, band_rows=self.band_rows, keep=self.keep)
 
     @cached_property
     def regions(self) -> DataFrame:
-        return self._keep(self.once)
+        return self.keep(self.once)
 
     def of(self, keys: DataFrame) -> Images:
         """The same images with only the regions of ``keys`` (image_id, region_id)."""
@@ -97,7 +97,7 @@ class Images:
     @cached_property
     def contour(self) -> DataFrame:
         """The points of each region's outer contour in order."""
-        return outer_contour(self.regions, self.width, self.band_rows, one_band=self.one_band, keep=self._keep)
+        return outer_contour(self.regions, self.width, self.band_rows, one_band=self.one_band, keep=self.keep)
 
     @cached_property
     def links(self) -> DataFrame:
@@ -109,7 +109,7 @@ class Images:
 
     @cached_property
     def moments(self) -> DataFrame:
-        return self._keep(shape.moments(self.base))
+        return self.keep(shape.moments(self.base))
 
     @cached_property
     def far(self) -> DataFrame:
@@ -118,7 +118,7 @@ class Images:
     def geometry(self, regions: DataFrame, families: list[str]) -> DataFrame:
         if self.one_band:
             return geometry(regions, families)
-        return banded.geometry(regions, families, self.band_rows, self.width, self._keep)
+        return banded.geometry(regions, families, self.band_rows, self.width, self.keep)
 
     def figures(self, *families: str) -> DataFrame:
         """The columns of ``families`` alone."""

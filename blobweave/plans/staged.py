@@ -52,13 +52,17 @@ def known(images: Images, rules: list[list[tuple[str, float, float]]], also: lis
         return reduce(and_, [_inside(*x) for x in rule if x[0] in done], F.lit(True))
 
     for stage in sorted(stages):
-        found = found.where(reduce(or_, map(open_, rules), F.lit(False)))
+        # read twice in each stage: not kept, the first stages would be done anew for each of the later ones, twice as often from one to the next
+        found = images.keep(found.where(reduce(or_, map(open_, rules), F.lit(False))))
         names = stages[stage]
         due = found.where(reduce(or_, [open_(rule) for rule in rules if any(f in names for f, _, _ in rule)]))
         found = found.join(images.of(due.select(*KEY)).wanted(names), KEY, "left")
         done += names
     found = found.where(reduce(or_, map(open_, rules), F.lit(False)))
-    return found.join(images.of(found.select(*KEY)).wanted(also), KEY) if also else found
+    if not also:
+        return found
+    found = images.keep(found)
+    return found.join(images.of(found.select(*KEY)).wanted(also), KEY)
 
 
 def selected(images: Images, names: list[str], least: list[float], most: list[float]) -> DataFrame:
