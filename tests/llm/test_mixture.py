@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blobweave.llm import mixture as lm
@@ -153,6 +154,37 @@ def test_partitions_do_not_matter(spark):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_chunks_of_several_slices_hold_the_words_of_plain_splitting(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 300)
+    monkeypatch.setattr(lm, "TOKENS_HELD", 150)
+    texts = [t for _, t in some_rows()] + [" \tA b\x0b\x1cC ", "\u2003x\u00a0Y É "]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "held_out": [False] * len(texts)})
+    got = list(lm.chunks(iter([batch])))
+    assert len(got) > 3 and [i for c in got for i in c.ids] == list(range(len(texts)))
+    told = [[c.spells[p] for p in c.place[a:b]] for c in got for a, b in zip(c.starts[:-1], c.starts[1:], strict=True)]
+    assert told == [tokens_of(t) for t in texts]
+    assert all((np.diff(c.words) > 0).all() and c.words.tolist() == [1 if w == b"\n" else int(word_hashes([w])[0][0]) for w in c.spells] for c in got)
+
+
+def test_numbers_are_packed_and_unpacked():
+    rng = np.random.default_rng(3)
+    for top in (1, 200, 1 << 20, 1 << 47):
+        for size in (0, 1, 2, 900):
+            x = rng.integers(0, top, size)
+            keys = np.unique(rng.integers(0, top, size + 1).astype(np.uint64))
+            assert (lm.unpacked(lm.packed(x)) == x).all() and len(lm.unpacked(lm.packed(x))) == size
+            assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+
+
+def test_texts_are_shuffled_once(spark):
+    """Texts and n-grams leave their tasks in one shuffle, which both the counting and the join with the counts read; texts are in no other."""
+    docs = lm.fold(spark.read.parquet(f"{SF}/documents.parquet"))
+    made = lm.joined(lm.gathered(docs, lm.survey(docs)))
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("- Exchange hashpartitioning(") == 2 and "places" not in plan.split("hashpartitioning(asked")[1].split("MapInArrow")[0]
+
+
 def test_no_training_text(spark):
     only = [(i, "a b a") for i in range(40) if held_out(i)]
     got = lm.score_documents(spark.createDataFrame(only, "doc_id long, text string")).collect()
