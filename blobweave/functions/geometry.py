@@ -345,9 +345,9 @@ def windows(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> Arrays:
     for top in range(int(r[0]) - 1, int(r[-1]) + 1, BAND):
         own = slice(*np.searchsorted(r, [top, top + BAND + 1]))
         left, width = int(c0[own].min()) - 1, int(c1[own].max() - c0[own].min()) + 4
-        edge = np.zeros((BAND + 1, width), np.int8)
-        np.add.at(edge, (r[own] - top, c0[own] - left), 1)
-        np.add.at(edge, (r[own] - top, c1[own] + 1 - left), -1)
+        edge = np.zeros((min(BAND, int(r[-1]) + 1 - top) + 1, width), np.int8)
+        edge[r[own] - top, c0[own] - left] += 1  # no two runs begin, or end, at one place
+        edge[r[own] - top, c1[own] + 1 - left] -= 1
         m = np.cumsum(edge, axis=1, dtype=np.int8)
         mask = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, :-1] + 8 * m[1:, 1:]
         y, x = np.nonzero(_STEPS[mask])
@@ -356,17 +356,25 @@ def windows(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> Arrays:
 
 
 _STEPS = np.array([m in STEP_ENDS for m in range(16)])
+_ENDS = np.array([STEP_ENDS.get(m, 0) for m in range(16)])
+#: Half a step for each end, of two steps where they cross.
+_END_WEIGHTS = np.array([1.0 if m in CROSSED else 0.5 for m in range(16)])
 
 
 class Region:
-    """A region and what several of its figures need."""
+    """An 8-connected region and what several of its figures need."""
 
     def __init__(self, r: np.ndarray, c0: np.ndarray, c1: np.ndarray):
         self.runs = (r, c0, c1)
 
+    @cached_property
+    def links(self) -> int:
+        return len(touching(*self.runs, 1)[0])
+
     @cached_property
     def filled(self) -> Arrays:
-        return filled(*self.runs)
+        holes = 1 - len(self.runs[0]) + self.links
+        return filled(*self.runs) if holes else self.runs
 
     @cached_property
     def corners(self) -> np.ndarray:
@@ -388,7 +396,7 @@ class Region:
         return (int((self.filled[2] - self.filled[1] + 1).sum()),)
 
     def link_count(self) -> tuple:
-        return (len(touching(*self.runs, 1)[0]),)
+        return (self.links,)
 
     def contour_length(self) -> tuple:
         n = np.bincount(self.windows[2], minlength=16)
@@ -405,12 +413,13 @@ class Region:
         wr, wc, mask = self.windows
         if not len(mask):
             return (None,) * 4
-        ends = np.array([STEP_ENDS.get(m, 0) for m in range(16)])[mask]
-        at = [(ends & (1 << (2 * i + j)) > 0, wr + i, wc + j) for i in (0, 1) for j in (0, 1)]
-        d = np.concatenate([np.hypot(y[here] - row, x[here] - col) for here, y, x in at])
-        w = np.concatenate([np.where(np.isin(mask[here], CROSSED), 1.0, 0.5) for here, _, _ in at])
-        distance = float(np.average(d, weights=w))
-        sigma = math.sqrt(float(np.average((d - distance) ** 2, weights=w)))
+        ends, weights = _ENDS[mask], _END_WEIGHTS[mask]
+        at = [(np.flatnonzero(ends & (1 << (2 * i + j))), i, j) for i in (0, 1) for j in (0, 1)]
+        y, x = (np.concatenate([o[here] + (i, j)[axis] for here, i, j in at]) for axis, o in enumerate((wr, wc)))
+        d, w = np.hypot(y - row, x - col), np.concatenate([weights[here] for here, _, _ in at])
+        whole = w.sum()
+        distance = float((d * w).sum() / whole)
+        sigma = math.sqrt(float(((d - distance) ** 2 * w).sum() / whole))
         sigma = 0.0 if sigma <= 1e-9 * distance else sigma
         return distance, sigma, 1 - sigma / distance if distance > 0 else None, 1.4111 * (distance / sigma) ** 0.4724 if sigma > 0 else None
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from blobweave.functions import geometry as kernels
 from blobweave.functions.geometry import FAMILIES, _shape_figures, figures, geometry, measure
 from blobweave.operators.regions import RUNS, by_region
 from blobweave.plans import queries
@@ -82,3 +83,17 @@ def test_stages_of_rules_are_done_once(spark, tmp_path, monkeypatch):
     with open(log) as f:
         calls = Counter(f.read().splitlines())
     assert len(calls) == 3 and max(calls.values()) <= n
+
+
+def test_regions_without_holes_are_not_filled(monkeypatch):
+    """Links tell that there is no hole, and windows take the rows that a region has."""
+    cup = (np.array([0, 0, 1, 1, 2]), np.array([0, 3, 0, 3, 0]), np.array([0, 3, 0, 3, 3]))
+    ring = (np.array([0, 1, 1, 2]), np.array([0, 0, 3, 0]), np.array([3, 0, 3, 3]))
+    assert kernels.figures(("fill", "links"), *ring) == (12, 4) and kernels.figures(("fill", "links"), *cup) == (8, 4)
+    want = kernels.figures(("roundness", "contour"), *cup)
+    monkeypatch.setattr(kernels, "filled", lambda *runs: pytest.fail("filled"))
+    assert kernels.figures(("roundness", "contour"), *cup) == want
+    made, zeros = [], np.zeros
+    monkeypatch.setattr(kernels.np, "zeros", lambda shape, *a, **b: made.append(shape) or zeros(shape, *a, **b))
+    kernels.windows(*cup)
+    assert made == [(5, 7)]
