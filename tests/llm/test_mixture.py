@@ -205,3 +205,32 @@ def test_decisions_are_a_distribution():
 def test_held_out_texts_cost_less_than_by_the_base(spark):
     got = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
     assert got.score.sum() > 0.9 * got.base_score.sum()
+
+
+def test_keys_are_ordered_with_their_places():
+    """Keys that differ below the bits that are sorted with their places, and those of any width, come out as by stable sorting."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3000):
+        narrow, wide = rng.integers(0, 50, n).astype(np.uint64), rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        for keys in (narrow, wide, narrow << np.uint64(58) | rng.integers(0, 9, n).astype(np.uint64), np.full(n, (1 << 64) - 1, np.uint64)):
+            order, got = lm.ordered(keys)
+            assert (order == np.argsort(keys, kind="stable")).all() and (got == keys[order]).all()
+            for a, b in zip(lm.placed(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+                assert (a == b).all()
+
+
+def test_a_class_stands_once_for_its_stretch():
+    """N-gram keys are those of plain triples, pairs and classes; the class of tokens, which changes at CLASS_AT only, is no key of every token."""
+    texts = [tokens_of(t) for _, t in some_rows()]
+    words, place = np.unique(word_hashes([b" ".join(w for t in texts for w in t[:-1])])[0], return_inverse=True)
+    words, at = np.insert(words, 0, lm.END), iter(place + 1)  # the end token's hash is the smallest
+    place = np.array([0 if w == b"\n" else next(at) for t in texts for w in t])
+    starts = np.cumsum([0, *map(len, texts)])
+    tokens = lm.Tokens(words, place, starts)
+    plain = [g for t in texts for g in grams(t)]
+    n = len(plain)
+    assert len(tokens.keys) == 3 * n + sum(sum(at < len(t) for at in (0, *lm.CLASS_AT)) for t in texts) < 3.5 * n
+    of_class = np.repeat(tokens.keys[3 * n :], tokens.stretch)
+    for keys, told in zip((*np.split(tokens.keys[: 3 * n], 3), of_class), ([(k, pair[1]) for k, pair, _ in plain], [pair for _, pair, _ in plain], [three for _, _, three in plain], [k for k, _, _ in plain]), strict=True):
+        same: dict = {}
+        assert [same.setdefault(t, k) for t, k in zip(told, keys.tolist(), strict=True)] == keys.tolist() and len(set(same.values())) == len(same)
